@@ -206,3 +206,74 @@ SCALE_TH = dict(min_full_rows=25, min_nominal_rows=20, min_calibration_rows=20)
 def masked(spark, sf_dir):
     from fleetgauge.operators import operating
     return operating.operating_mask(attributed(spark, sf_dir))
+
+
+# ---- raw historian text ----------------------------------------------------------------------
+_RAW = {
+    "site": "substr('ABCD', CAST(CAST(floor(l_suppkey/12) AS BIGINT)%4 AS INT)+1, 1)",
+    "device_id": "concat('RAW_', CAST(l_suppkey AS STRING))",
+    "row_id": "n",
+    "stamp": "CASE WHEN l_quantity=23 AND l_suppkey%7=0 THEN 'not-a-date' WHEN l_linestatus='F' THEN concat(day, '+08:00') ELSE concat(day, 'Z') END",
+    "power_kw": "CASE WHEN l_quantity=13 THEN 'n/a' WHEN l_quantity=17 THEN 'NaN' WHEN l_quantity=19 THEN 'Infinity' WHEN l_quantity=29 THEN NULL"
+                " ELSE CAST(CAST(floor(l_extendedprice*100) AS BIGINT) AS STRING) END",
+    "flow_lps": "CASE WHEN l_quantity=31 THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END",
+}
+RAW_SQL = f"""li AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS n,
+ strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS day FROM lineitem),
+raw AS (SELECT {_sel(_RAW)} FROM li),
+canon AS (SELECT site, device_id, row_id, stamp, epoch_us(TRY_CAST(stamp AS TIMESTAMPTZ))//1000000 AS ts_s,
+ CASE WHEN isfinite(TRY_CAST(power_kw AS DOUBLE)) THEN TRY_CAST(power_kw AS DOUBLE) END*1e1+0e0 AS power_W,
+ CASE WHEN isfinite(TRY_CAST(flow_lps AS DOUBLE)) THEN TRY_CAST(flow_lps AS DOUBLE) END*36e-1+1e0 AS chw_flow_m3_h FROM raw)"""
+ADAPTER = {"power_W": {"source": "power_kw", "scale": 10.0, "unit": "W"},
+           "chw_flow_m3_h": {"source": "flow_lps", "scale": 3.6, "offset": 1.0, "unit": "m3/h"}}
+
+
+@staged("raw")
+def raw(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
+                                                 "l_linestatus", "l_shipdate")
+    li = ordered.ordinal(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], ordered.id_chunk("l_orderkey"), name="n")
+    li = li.withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    return li.selectExpr(*[f"{e} AS {n}" for n, e in _RAW.items()])
+
+
+def canonical_raw(spark, sf_dir):
+    from fleetgauge.sources import raw as rw
+    c = rw.canonicalise(raw(spark, sf_dir), ADAPTER, keep=("site", "device_id", "row_id", "stamp"))
+    return rw.utc_normalise(c, "stamp").withColumn("ts_s", F.unix_seconds("ts"))
+
+
+# ---- trend-log documents, one per (device, channel, day) ------------------------------------------
+RING = 16
+
+
+@staged("documents")
+def trend_docs(spark, sf_dir):
+    """XML ring buffers built from the events of one channel and day."""
+    e = events(spark, sf_dir).withColumn("day", F.floor(F.col("us") / F.lit(86400000000)))
+    key = ["site", "device_id", "channel", "day"]
+    g = e.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "value"))).alias("s"))
+    n = F.size("s")
+    size = F.greatest(n, F.lit(2))
+    nxt = (F.pmod(F.col("day"), size) + 1).cast("int")
+    # a full buffer is rotated so that its oldest record sits at next-index
+    pos = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(n >= 2, F.pmod(i + nxt - 1, size) + 1).otherwise(i + 1))
+    timer = F.transform("s", lambda x: F.pmod(F.floor(x["us"] / F.lit(10000)) - F.col("day") * F.lit(8640000) + F.lit(4290000000), F.lit(2 ** 32)))
+    flag = F.transform("s", lambda x: F.when(x["event_id"] % 11 == 0, "fault;error-entry").otherwise("ok"))
+    val = F.transform("s", lambda x: x["value"].cast("string"))
+
+    def buf(name, values, inner=""):
+        items = F.array_join(F.zip_with(pos, values, lambda p, v: F.concat(F.lit('<U name="'), p.cast("string"), F.lit('" value="'), v.cast("string"), F.lit('"/>'))), "")
+        return F.concat(F.lit(f'<S name="{name}">' + (f"<{inner}>" if inner else "")), items, F.lit((f"</{inner}>" if inner else "") + "</S>"))
+
+    def prop(name, v):
+        return F.concat(F.lit(f'<P name="{name}" value="'), v.cast("string"), F.lit('"/>'))
+    # timers start 4290000000 ticks above the reference, so some wrap at 2**32
+    ref = F.date_format(F.timestamp_micros(F.col("day") * F.lit(86400000000) - F.lit(42900000000000)), "yyyy-MM-dd'T'HH:mm:ss")
+    wraps = F.floor((F.floor(F.element_at("s", 1)["us"] / F.lit(10000)) - F.col("day") * F.lit(8640000) + F.lit(4290000000)) / F.lit(2 ** 32))
+    label = F.concat_ws("|", "site", "device_id", "channel", F.col("day").cast("string"))
+    xml = F.concat(F.lit("<Object>"), prop("object-type", F.lit("trend-log")), prop("object-name", label), prop("time-reference", ref),
+                   prop("time-reference-count", wraps), prop("log-interval", F.lit(90000)), prop("record-count", n), prop("total-record-count", n * 3),
+                   prop("buffer-size", size), prop("next-index", nxt), buf("timestamp-buffer", timer), buf("flags-buffer", flag),
+                   buf("data-buffer", val, "Choice"), F.lit("</Object>"))
+    return g.select(label.alias("doc_id"), xml.alias("xml"))

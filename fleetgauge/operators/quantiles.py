@@ -1,10 +1,10 @@
 """Exact linear-interpolated quantiles per group, safe for very large groups.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here a group is reduced to counted distinct values, the
-value range is cut into equal-width buckets, and only the buckets that hold a
-wanted rank are ordered. No task ever sees more than one bucket of one group
-and nothing is approximated, so results equal a full sort.
+aggregation buffer. Here the value range of a group is cut into equal-width
+buckets that are counted map side, so only a few counts per group are
+shuffled. Just the buckets that hold a wanted rank are then ordered: no task
+ever sees more than one bucket of one group, and nothing is approximated.
 
 Use the built-in instead where a group is bounded by construction, such as the
 288 rows of a sliding window.
@@ -20,26 +20,18 @@ from fleetgauge.functions.cols import any_of, dbl
 BUCKETS = 4096
 
 
-def exact_quantiles(long: DataFrame, keys, value: str, probs: dict[str, float],
-                    buckets: int = BUCKETS, counted: str | None = None) -> DataFrame:
-    """One row per key group: ``q_n`` (non-NULL count) and one column per probability.
-
-    ``counted`` names a multiplicity column when ``long`` already holds one row
-    per distinct value.
-    """
+def exact_quantiles(long: DataFrame, keys, value: str, probs: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
+    """One row per key group: ``q_n`` (non-NULL count) and one column per probability."""
     keys = list(keys)
-    weight = F.count(F.lit(1)) if counted is None else F.sum(counted)
-    hist = (long.where(F.col(value).isNotNull())
-            .groupBy(*keys, F.col(value).alias("_v")).agg(weight.alias("_w")))
-    span = hist.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width > 0, F.least(F.lit(buckets - 1),
                                      F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(buckets)).cast("int")))
-    placed = (hist.join(span, keys)
-              .select(*keys, "_v", "_w", F.coalesce(slot, F.lit(0)).alias("_b")))
+    placed = rows.join(span, keys).select(*keys, "_v", F.coalesce(slot, F.lit(0)).alias("_b"))
 
     per_key = Window.partitionBy(*keys)
-    totals = placed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"))
+    totals = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bw"))
     totals = totals.select(
         *keys, "_b", "_bw",
         (F.sum("_bw").over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
@@ -52,7 +44,8 @@ def exact_quantiles(long: DataFrame, keys, value: str, probs: dict[str, float],
     end = F.col("_before") + F.col("_bw")
     wanted = any_of((r >= F.col("_before")) & (r < end)
                     for p in probs.values() for r in (F.floor(rank(p)), F.ceil(rank(p))))
-    candidates = placed.join(totals.where(wanted).drop("_bw"), [*keys, "_b"])
+    candidates = (placed.join(totals.where(wanted).drop("_bw"), [*keys, "_b"])
+                  .groupBy(*keys, "_b", "_before", "q_n", "_v").agg(F.count(F.lit(1)).alias("_w")))
     upto = (F.sum("_w").over(Window.partitionBy(*keys, "_b").orderBy("_v")
                              .rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"))
     ranked = candidates.withColumn("_c1", upto).withColumn("_c0", F.col("_c1") - F.col("_w"))

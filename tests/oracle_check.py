@@ -66,7 +66,7 @@ def compare(df, con, sql):
 def session():
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
-         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return s
