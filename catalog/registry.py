@@ -21,13 +21,21 @@ def query(name, sql=None):
 
 
 def r(c, d=6):
-    """Round for comparison between engines; ``+ 0.0`` folds away negative zero."""
+    """Round for comparison between engines.
+
+    The engines break exact decimal ties differently, so both sides are nudged
+    off the tie by the same hair; ``+ 0.0`` folds away negative zero.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, d) + F.lit(0.0)
+    return F.round(c + F.lit(float(nudge(d))), d) + F.lit(0.0)
+
+
+def nudge(d):
+    return f"137e-{d + 5}"
 
 
 def R(expr, d=6):
-    return f"(round({expr},{d})+0e0)"
+    return f"(round(({expr})+{nudge(d)},{d})+0e0)"
 
 
 def rounded(df, **digits):
