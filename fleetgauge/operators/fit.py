@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetgauge import KEYS
 from fleetgauge.functions import metrics as mx
@@ -310,19 +311,21 @@ _POINT = ["QN", "COPN", "PLRMin", "PLRMax", "CHWR", "CHWS", "CDWS", "CHW", "P_W"
 
 def _screen_chunk(ids: list, coef: np.ndarray):
     """Partial squared errors of every (device, curve) in one batch of points."""
+    cp, names, keys = md.CP, list(_POINT), list(KEYS)
+
     def run(batches):
         for pdf in batches:
-            v = pdf[_POINT].to_numpy(float).T[:, :, None]
+            v = pdf[names].to_numpy(float).T[:, :, None]
             qn, copn, lo, hi, ent, ts, tc, m, pm, qm = v
             c = coef.T[:, None, :]
 
             def quad(o):
                 return np.maximum(0.05, c[o] + c[o + 1] * ts + c[o + 2] * ts * ts + c[o + 3] * tc + c[o + 4] * tc * tc + c[o + 5] * ts * tc)
             avail = np.abs(qn) * quad(0)
-            plr = np.clip(np.maximum(0.0, m) * md.CP * np.maximum(0.0, ent - ts) / np.maximum(1.0, avail), lo, hi)
+            plr = np.clip(np.maximum(0.0, m) * cp * np.maximum(0.0, ent - ts) / np.maximum(1.0, avail), lo, hi)
             ps = avail / np.maximum(0.1, copn) * quad(6) * np.maximum(0.05, c[12] + c[13] * plr + c[14] * plr * plr)
             ep, eq = (ps - pm) ** 2, (avail * plr - qm) ** 2
-            dev = pdf.groupby(list(KEYS), sort=False).indices
+            dev = pdf.groupby(keys, sort=False).indices
             for key, rows in dev.items():
                 yield pd.DataFrame({"site": key[0], "device_id": key[1], "lib_id": ids, "sse_p": ep[rows].sum(0), "sse_q": eq[rows].sum(0)})
     return run
@@ -368,29 +371,36 @@ def best_curve(screen: DataFrame) -> DataFrame:
 RIDGE_WEIGHT = 1e-2
 
 
-def _york_partials(batches):
-    """X'X, X'a and the row count of each device in a batch, flattened to long form."""
-    for pdf in batches:
-        t, r, g, a = (pdf[c].to_numpy(float) for c in ("twb", "rng", "rlg", "app"))
-        tt, rr, ll = [np.ones_like(t), t, t * t], [np.ones_like(r), r, r * r], [np.ones_like(g), g, g * g]
-        x = np.stack([tt[k] * rr[q] * ll[p] for p in range(3) for q in range(3) for k in range(3)], axis=1)
-        for key, rows in pdf.groupby(list(KEYS), sort=False).indices.items():
-            xs = x[rows]
-            flat = np.concatenate([(xs.T @ xs).ravel(), xs.T @ a[rows], [float(len(rows))]])
-            yield pd.DataFrame({"site": key[0], "device_id": key[1], "pos": np.arange(flat.size), "v": flat})
-
+def _york_partials():
+    keys = list(KEYS)
 
-@F.pandas_udf("array<double>")
-def _york_solve(sums: pd.Series) -> pd.Series:
-    prior = np.array(md.YORK)
-    scale = np.maximum(np.abs(prior), 1e-6)
-    out = []
-    for s in sums:
-        s = np.asarray(s, float)
-        xtx, xta, n = s[:729].reshape(27, 27), s[729:756], s[756]
-        a = (xtx / n) * np.outer(scale, scale) + RIDGE_WEIGHT * np.eye(27)
-        out.append((prior + scale * np.linalg.solve(a, scale * (xta - xtx @ prior) / n)).tolist())
-    return pd.Series(out)
+    def partials(batches):
+        """X'X, X'a and the row count of each device in a batch, flattened to long form."""
+        for pdf in batches:
+            t, r, g, a = (pdf[c].to_numpy(float) for c in ("twb", "rng", "rlg", "app"))
+            tt, rr, ll = [np.ones_like(t), t, t * t], [np.ones_like(r), r, r * r], [np.ones_like(g), g, g * g]
+            x = np.stack([tt[k] * rr[q] * ll[p] for p in range(3) for q in range(3) for k in range(3)], axis=1)
+            for key, rows in pdf.groupby(keys, sort=False).indices.items():
+                xs = x[rows]
+                flat = np.concatenate([(xs.T @ xs).ravel(), xs.T @ a[rows], [float(len(rows))]])
+                yield pd.DataFrame({"site": key[0], "device_id": key[1], "pos": np.arange(flat.size), "v": flat})
+    return partials
+
+
+def _york_solver():
+    coefficients, weight = list(md.YORK), RIDGE_WEIGHT
+
+    def solve(sums: pd.Series) -> pd.Series:
+        prior = np.array(coefficients)
+        scale = np.maximum(np.abs(prior), 1e-6)
+        out = []
+        for s in sums:
+            s = np.asarray(s, float)
+            xtx, xta, n = s[:729].reshape(27, 27), s[729:756], s[756]
+            a = (xtx / n) * np.outer(scale, scale) + weight * np.eye(27)
+            out.append((prior + scale * np.linalg.solve(a, scale * (xta - xtx @ prior) / n)).tolist())
+        return pd.Series(out)
+    return F.pandas_udf(solve, T.ArrayType(T.DoubleType()))
 
 
 def york_ridge_fit(rows: DataFrame, min_rows: int = 60) -> DataFrame:
@@ -399,11 +409,11 @@ def york_ridge_fit(rows: DataFrame, min_rows: int = 60) -> DataFrame:
     ``rows`` is ``(keys, twb, rng, rlg, app)``. Tasks return partial normal
     equations; the driver and the solver only ever see 27 by 27 numbers.
     """
-    part = rows.select(*KEYS, "twb", "rng", "rlg", "app").mapInPandas(_york_partials, "site string, device_id string, pos int, v double")
+    part = rows.select(*KEYS, "twb", "rng", "rlg", "app").mapInPandas(_york_partials(), "site string, device_id string, pos int, v double")
     sums = part.groupBy(*KEYS, "pos").agg(F.sum("v").alias("v"))
     g = sums.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("s"))  # 757 numbers
     g = g.where(F.col("s")[756] >= min_rows)
-    return g.select(*KEYS, F.col("s")[756].cast("bigint").alias("n"), _york_solve("s").alias("coefficients"))
+    return g.select(*KEYS, F.col("s")[756].cast("bigint").alias("n"), _york_solver()("s").alias("coefficients"))
 
 
 def york_diagnostics(rows: DataFrame) -> DataFrame:
@@ -432,3 +442,68 @@ def fit_status(rows: DataFrame, split: DataFrame, chosen: DataFrame, min_rows: i
               .when(F.col("_s") != "full_split", F.concat(F.lit("record cannot support an independent test segment: train="), F.col("identification").cast("string"),
                                                          F.lit(" select="), F.col("selection").cast("string"), F.lit(" test="), F.col("test").cast("string"))))
     return j.select(*KEYS, "n_rows", status.alias("status"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+# ---- family selections ------------------------------------------------------------------------------------
+def _numbered_split(table: DataFrame, spec: sp.SplitSpec | None, label: str) -> DataFrame:
+    """The table with ``segment`` and the retained-row index ``rn``, written once."""
+    s = sp.resolve_split(table, spec) if spec is not None else sp.chronological_split(table)
+    if "rn" not in s.columns:
+        s = sp.numbered(s)
+    return settle(s.drop("overlap"), label)
+
+
+def _stages(d: DataFrame, simulate, score) -> DataFrame:
+    """Selection and test scores; the very first evaluation row never counts."""
+    e = simulate(d.where(F.col("segment").isin("selection", "test") & (F.col("rn") >= 1)))
+    return score(e, [*KEYS, "segment"]).withColumnRenamed("segment", "stage")
+
+
+def hx_model_selection(table: DataFrame, spec: sp.SplitSpec | None = None) -> DataFrame:
+    """Best grid point of both exchanger models on training rows, scored on selection and test."""
+    from fleetgauge.operators.features import hx_nominals
+    s = _numbered_split(table, spec, "hx_split")
+    train = s.where("segment = 'identification'")
+    nom = settle(hx_nominals(train), "hx_nominals")
+    out = None
+    for model, grid in (("ConstantEffectiveness", HX_CONSTANT_GRID), ("PlateEffectivenessNTU", HX_PLATE_GRID)):
+        temps = [] if model == "ConstantEffectiveness" else ["T_a1_nominal", "T_b1_nominal", "T_a2_nominal", "T_b2_nominal"]
+        g = expand_grid(nom, grid, keep=(*KEYS, *temps))
+        best = settle(grid_search(train.where("rn >= 1"), g, hx_simulate(model), hx_score), "hx_best")
+        best = best.withColumnsRenamed({"score": "train_score"})
+        st = _stages(s.join(best, list(KEYS)), hx_simulate(model), hx_score)
+        st = st.join(best.select(*KEYS, "grid_id", "train_score"), list(KEYS)).withColumn("candidate", F.lit(model))
+        out = st if out is None else out.unionByName(st)
+    return out
+
+
+def ct_model_selection(table: DataFrame, spec: sp.SplitSpec | None = None, step_s: float = 300.0, window: int = 288, stride: int = 12) -> DataFrame:
+    """Merkel grid on representative training windows, then the fan exponent on fan power alone."""
+    from fleetgauge.operators import operating as op
+    from fleetgauge.operators.features import ct_base_values, fan_nominal
+    s = _numbered_split(table, spec, "ct_split")
+    train = s.where("segment = 'identification'").drop("n", "segment")
+    feats = ["TRan_C", "TAppAct_C", "mdot_cell_kgps", "y_used", "PFan_meas_W", "Q_flow_W"]
+    scores = op.window_scores(op.contiguous_runs(train.drop("rn"), step_s), feats, window, stride)
+    sub = settle(op.window_rows(train, op.select_windows(scores, 3, window), window), "ct_windows")
+    base = settle(ct_base_values(sub), "ct_base")
+    g = expand_grid(base, MERKEL_GRID, keep=(*KEYS, "m_flow_nominal"))
+    first = sub.groupBy(*KEYS).agg(F.min("rn").alias("_r0"))
+    rows = sub.join(first, list(KEYS)).where(F.col("rn") > F.col("_r0")).drop("_r0")
+    best = settle(grid_search(rows, g, merkel_simulate, ct_score), "ct_best").withColumnRenamed("score", "train_score")
+    fan = fan_exponent_search(rows, fan_nominal(sub, FAN_ALPHAS)).select(*KEYS, "alpha", "PFan_nominal", F.col("P_CVRMSE_pct").alias("fan_P_CVRMSE_pct"))
+    st = _stages(s.join(best, list(KEYS)), merkel_simulate, ct_score)
+    return st.join(best.select(*KEYS, "grid_id", "train_score"), list(KEYS)).join(fan, list(KEYS), "left").withColumn("candidate", F.lit("Merkel"))
+
+
+def apply_power_models(masked: DataFrame, forms: dict[str, dict[str, Column]], selected: DataFrame, target: str = "power_W") -> DataFrame:
+    """Measured and simulated power of the selected candidate on every valid operating row.
+
+    ``selected`` is ``(keys, candidate, params)``.
+    """
+    d = masked.where(F.col("operating") & F.col(target).isNotNull()).join(selected.select(*KEYS, "candidate", "params"), list(KEYS))
+    sim = None
+    for n, feats in forms.items():
+        hit = (F.col("candidate") == n) & all_of(F.col(c).isNotNull() for c in FORM_INPUTS[n])
+        sim = F.when(hit, linear_prediction(feats)) if sim is None else sim.when(hit, linear_prediction(feats))
+    return d.select(*KEYS, "ts", "candidate", F.col(target).alias("measured"), sim.alias("simulated")).where("simulated IS NOT NULL")
