@@ -33,7 +33,7 @@ _B1 = {
     "blk": "CAST(floor(k/12) AS BIGINT)",
     "hz": "run*(20+6e-1*q)",
     "chw": "CASE WHEN k%20=8 THEN 7.01e1 WHEN fam IN (0,3) THEN 100+p/500 END",
-    "cw": "CASE WHEN fam=0 AND k%16=4 THEN NULL WHEN fam IN (0,3) THEN 120+p/400 END",
+    "cw": "CASE WHEN fam=0 AND k%16=4 THEN NULL WHEN fam=3 AND k%28=3 THEN 100+p/500 WHEN fam IN (0,3) THEN 120+p/400 END",
     "stuck": "CASE WHEN fam=0 AND k%5=0 AND run=1 AND f='F' THEN 1 ELSE 0 END",
 }
 _FAM = "CASE fam WHEN 0 THEN 'chiller' WHEN 1 THEN 'cooling_tower' WHEN 2 THEN 'pump' ELSE 'heat_exchanger' END"

@@ -127,23 +127,30 @@ exa AS (SELECT *, CASE WHEN same THEN 'identity' WHEN 1e0-po/n>=99e-2 THEN 'prop
   FROM pin WHERE same OR 1e0-po/n>=99e-2 OR 1e0-ao/n>=99e-2)"""
 
 
+@staged("cells")
+def cells(spark, d):
+    return ob.scan_cells(bind.attributed(spark, d), SCAN_ROLES)
+
+
+@staged("forms")
+def forms(spark, d):
+    return ob.pair_forms(cells(spark, d), SCAN_ROLES)
+
+
 @staged("findings")
 def findings(spark, d):
-    return ob.dependency_scan(bind.attributed(spark, d), SCAN_ROLES)
+    return ob.dependency_findings(forms(spark, d))
 
 
 @query("c15_duplicate_channels", with_(PAIR_SQL, body="SELECT site, device_id, target, driver, n FROM pst WHERE same"))
 def c15(spark, d):
-    a = active(spark, d)
-    return ob.duplicate_channels(ob.role_pairs(a, SCAN_ROLES, ob.eligible_roles(a, SCAN_ROLES)))
+    return ob.duplicate_channels(cells(spark, d), SCAN_ROLES)
 
 
 @query("c16_trimmed_fit")
 def c16(spark, d):
     """All four forms of every pair after the trimmed refit (numeric solve in numpy: no SQL twin)."""
-    a = active(spark, d)
-    f = ob.pair_forms(ob.role_pairs(a, SCAN_ROLES, ob.eligible_roles(a, SCAN_ROLES)))
-    return rounded(f.drop("coefficients"))
+    return rounded(forms(spark, d).drop("coefficients"))
 
 
 @query("c17_dependency_scan", with_(PAIR_SQL, body="SELECT site, device_id, target, driver, form, n, n_outlier_rows::BIGINT AS n_outlier_rows, same AS duplicate FROM exa"))

@@ -40,8 +40,8 @@ def m03(spark, d):
     return pv.bind_conflicts(later, existing).groupBy("run_id", "error").agg(F.count(F.lit(1)).alias("attempts"))
 
 
-@query("m04_latest_artifact", """SELECT run_id, path, sha256, epoch_us(at)//1000000 AS at_s FROM (SELECT *, row_number() OVER (PARTITION BY run_id, path ORDER BY at DESC, sha256 DESC) AS o FROM (SELECT CAST(o_custkey%50 AS STRING) AS run_id, o_orderpriority AS path,
- sha256(CAST(o_orderkey AS STRING)) AS sha256, o_orderdate AS at FROM orders)) WHERE o=1""")
+@query("m04_latest_artifact", """SELECT run_id, path, sha256, epoch_us(wr)//1000000 AS at_s FROM (SELECT *, row_number() OVER (PARTITION BY run_id, path ORDER BY wr DESC, sha256 DESC) AS o FROM (SELECT CAST(o_custkey%50 AS STRING) AS run_id, o_orderpriority AS path,
+ sha256(CAST(o_orderkey AS STRING)) AS sha256, o_orderdate AS wr FROM orders)) WHERE o=1""")
 def m04(spark, d):
     a = bind.table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("run_id"), F.col("o_orderpriority").alias("path"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"),
                                               F.col("o_orderdate").cast("timestamp").alias("at"))

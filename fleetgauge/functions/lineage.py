@@ -27,8 +27,18 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{folder}/{spark.sparkContext.applicationId}"
 
 
-def settle(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once and continue from the written table."""
-    path = f"{stage_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+def settle(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFrame:
+    """Write ``df`` once and continue from the written table.
+
+    ``spread`` is for a table that compute-heavy passes will read: when it came
+    out in fewer splits than there are cores (so it is small), it is written
+    again evenly. A large table already has more splits and is left alone.
+    """
+    spark = df.sparkSession
+    path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and back.rdd.getNumPartitions() < cores:
+        return settle(back.repartition(cores), label)
+    return back

@@ -11,7 +11,7 @@ from fleetgauge.functions.cols import dbl, is_true, ratio, share_pct, unpivot
 from fleetgauge.functions.lineage import settle
 from fleetgauge.functions.linear import solve_moments
 from fleetgauge.operators.quality import channel_profile, presence
-from fleetgauge.operators.quantiles import wide_quantiles
+from fleetgauge.operators.quantiles import exact_quantiles, wide_quantiles
 
 FROZEN_SHARE, FROZEN_ROWS = 0.95, 200
 COP_FLOOR, COP_CEILING, COP_SHARE_PCT = 1.0, 10.0, 1.0
@@ -135,29 +135,63 @@ def eligible_roles(active: DataFrame, roles, min_samples: int = MIN_SAMPLES) ->
                                 F.collect_set(F.when(F.col("modal_share") <= MODAL_MAX, F.col("role"))).alias("targets"))
 
 
-def role_pairs(active: DataFrame, roles, eligible: DataFrame) -> DataFrame:
-    """Every (target, driver) pair of a row, exploded inside the scan and aggregated map side."""
-    cells = F.filter(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).cast("double").alias("v")) for r in roles]),
-                     lambda c: c["v"].isNotNull() & F.array_contains("drivers", c["role"]))
-    d = active.where("active").join(eligible, list(KEYS)).select(*KEYS, "targets", cells.alias("cells"))
-    pairs = F.flatten(F.transform(F.filter("cells", lambda t: F.array_contains("targets", t["role"])), lambda t: F.transform(
-        F.filter("cells", lambda x: x["role"] != t["role"]),
-        lambda x: F.struct(t["role"].alias("target"), x["role"].alias("driver"), t["v"].alias("y"), x["v"].alias("x")))))
-    return d.select(*KEYS, F.explode(pairs).alias("p")).select(*KEYS, "p.*")
+def role_cells(active: DataFrame, roles, eligible: DataFrame) -> DataFrame:
+    """Active rows as ``(keys, targets, cells)`` with small integer role codes.
+
+    Every pass over the pairs reads this narrow table; the pairs themselves are
+    unfolded inside the scan and reduced map side, so they are never shuffled.
+    """
+    codes = F.array(*[F.lit(r) for r in roles])
+    picked = eligible.select(*KEYS, *[F.transform(c, lambda r: F.array_position(codes, r).cast("int") - 1).alias(c) for c in ("drivers", "targets")])
+    cells = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(r).cast("double").alias("v")) for i, r in enumerate(roles)]),
+                     lambda c: c["v"].isNotNull() & F.array_contains("drivers", c["i"]))
+    d = active.where("active").join(picked, list(KEYS)).select(*KEYS, "targets", cells.alias("cells"))
+    return settle(d, "role_cells", spread=True)
+
+
+def role_pairs(cells: DataFrame) -> DataFrame:
+    """Every (target, driver) pair of a row with both values."""
+    pairs = F.flatten(F.transform(F.filter("cells", lambda t: F.array_contains("targets", t["i"])), lambda t: F.transform(
+        F.filter("cells", lambda x: x["i"] != t["i"]),
+        lambda x: F.struct(t["i"].alias("t"), x["i"].alias("d"), t["v"].alias("y"), x["v"].alias("x")))))
+    return cells.select(*KEYS, F.explode(pairs).alias("p")).select(*KEYS, "p.*")
 
 
-PAIR = [*KEYS, "target", "driver"]
+PAIR = [*KEYS, "t", "d"]
 
 
-def duplicate_channels(pairs: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    g = pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("x") == F.col("y")).alias("same"))
-    return g.where(F.col("same") & (F.col("n") >= min_samples)).select(*PAIR, "n")
+def _named(df: DataFrame, roles) -> DataFrame:
+    codes = F.array(*[F.lit(r) for r in roles])
+    rest = [c for c in df.columns if c not in PAIR]
+    return df.select(*KEYS, F.get(codes, F.col("t")).alias("target"), F.get(codes, F.col("d")).alias("driver"), *rest)
 
 
-def _scaled(pairs, stats):
-    """Centre and scale first: cubic moments of watt-scale values lose digits."""
-    j = pairs.join(stats, PAIR)
-    return j.withColumns({"u": (F.col("x") - F.col("mx")) / F.col("sx"), "w": (F.col("y") - F.col("my")) / F.col("sy")})
+def duplicate_channels(cells: DataFrame, roles, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    g = role_pairs(cells).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("x") == F.col("y")).alias("same"))
+    return _named(g.where(F.col("same") & (F.col("n") >= min_samples)).select(*PAIR, "n"), roles)
+
+
+def _role_scale(cells: DataFrame) -> DataFrame:
+    """Centre and span of each role, as one short array per device.
+
+    Cubic moments of watt-scale values lose digits, so both sides of a pair are
+    centred and scaled before any moment is taken.
+    """
+    c = cells.select(*KEYS, F.explode("cells").alias("c")).groupBy(*KEYS, "c.i").agg(F.avg("c.v").alias("m"), (F.max("c.v") - F.min("c.v")).alias("s"))
+    s = F.when(F.col("s") > 0, F.col("s")).otherwise(dbl(1.0))
+    return c.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("m", s.alias("s"))))).alias("scale"))  # one entry per role
+
+
+def _scaled(cells: DataFrame, scale: DataFrame) -> DataFrame:
+    z = lambda c: c["v"].isNotNull()
+    j = cells.join(scale, list(KEYS))
+    norm = F.transform(F.filter("cells", z), lambda c: F.struct(c["i"].alias("i"), c["v"].alias("v"), F.try_element_at("scale", c["i"]).alias("q")))
+    pairs = F.flatten(F.transform(F.filter("cells", lambda t: F.array_contains("targets", t["i"])), lambda t: F.transform(
+        F.filter("cells", lambda x: x["i"] != t["i"]),
+        lambda x: F.struct(t["i"].alias("t"), x["i"].alias("d"), t["v"].alias("y"), x["v"].alias("x"), ((x["v"] - x["q"]["m"]) / x["q"]["s"]).alias("u"),
+                           ((t["v"] - t["q"]["m"]) / t["q"]["s"]).alias("w"), x["q"]["m"].alias("mx"), x["q"]["s"].alias("sx"), t["q"]["m"].alias("my"), t["q"]["s"].alias("sy")))))
+    d = j.select(*KEYS, "targets", norm.alias("cells"))
+    return d.select(*KEYS, F.explode(pairs).alias("p")).select(*KEYS, "p.*")
 
 
 def _powers(u, n):
@@ -167,26 +201,32 @@ def _powers(u, n):
     return out
 
 
-def _sums(form, keep=None):
-    """Moment sums of one form over kept rows."""
-    k = FORMS[form]
-    cond = (lambda e: e) if keep is None else (lambda e: F.when(keep, e))
+def _first_sums():
+    """Moments of all rows; the four forms share them."""
+    p = _powers(F.col("u"), 6)
+    return ([F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy")] + [F.sum(p[i]).alias(f"s{i}") for i in range(7)]
+            + [F.sum(p[i] * F.col("w")).alias(f"t{i}") for i in range(4)])
+
+
+def _kept_sums(form):
+    """Moments of the rows a form kept after trimming."""
+    k, keep = FORMS[form], _error(form) <= F.col(f"cut_{form}")
     if form == "proportional":
-        return [F.sum(cond(F.col("x") * F.col("x"))).alias("prop_xx"), F.sum(cond(F.col("x") * F.col("y"))).alias("prop_xy")]
+        return [F.sum(F.when(keep, F.col("x") * F.col("x"))).alias("proportional_xx"), F.sum(F.when(keep, F.col("x") * F.col("y"))).alias("proportional_xy")]
     p = _powers(F.col("u"), 2 * k - 2)
-    return ([F.sum(cond(p[i])).alias(f"{form}_s{i}") for i in range(2 * k - 1)]
-            + [F.sum(cond(p[i] * F.col("w"))).alias(f"{form}_t{i}") for i in range(k)])
+    return ([F.sum(F.when(keep, p[i])).alias(f"{form}_s{i}") for i in range(2 * k - 1)] + [F.sum(F.when(keep, p[i] * F.col("w"))).alias(f"{form}_t{i}") for i in range(k)])
 
 
-def _coefficients(moments):
-    d = moments
+def _coefficients(moments: DataFrame, shared: bool, *keep) -> DataFrame:
+    cols = []
     for form, k in FORMS.items():
+        pre = "" if shared else f"{form}_"
         if form == "proportional":
-            c = F.array(ratio("prop_xy", "prop_xx"))
+            c = F.array(ratio(f"{pre}xy", f"{pre}xx"))
         else:
-            c = solve_moments([F.col(f"{form}_s{i}") for i in range(2 * k - 1)], [F.col(f"{form}_t{i}") for i in range(k)], k - 1)
-        d = d.withColumn(f"c_{form}", c)
-    return d.select(*PAIR, *[f"c_{f}" for f in FORMS])
+            c = solve_moments([F.col(f"{pre}s{i}") for i in range(2 * k - 1)], [F.col(f"{pre}t{i}") for i in range(k)], k - 1)
+        cols.append(c.alias(f"c_{form}"))
+    return moments.select(*PAIR, *keep, *cols)
 
 
 def _error(form):
@@ -201,34 +241,36 @@ def _error(form):
     return F.abs(F.col("w") - fit) * F.col("sy")
 
 
-def pair_forms(pairs: DataFrame, min_samples: int = MIN_SAMPLES, trim: float = 0.05) -> DataFrame:
+def pair_forms(cells: DataFrame, roles, min_samples: int = MIN_SAMPLES, trim: float = 0.05) -> DataFrame:
     """Trimmed least-squares fit of every form for every pair, judged on all rows.
 
-    Five bounded passes over the pairs (statistics, first fit, residual
-    quantile, trimmed fit, score); the small per-pair table between two passes
-    is a stage table, so no pass repeats an earlier one.
+    Fit, residual quantile, trimmed refit, score. The per-pair table between
+    two passes is small and written once, so no pass repeats an earlier one.
     """
-    stats = pairs.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.max("x") - F.min("x")).alias("sx"),
-        (F.max("y") - F.min("y")).alias("sy"), F.min(F.col("x") == F.col("y")).alias("same"))
-    stats = stats.where((F.col("n") >= min_samples) & (F.col("sy") > 0) & (F.col("sx") > 0))
-    stats = settle(stats, "pair_stats")
-    d = _scaled(pairs, stats)
-    first = settle(_coefficients(d.groupBy(*PAIR).agg(*[s for f in FORMS for s in _sums(f)])), "pair_fit")
+    d = _scaled(cells, settle(_role_scale(cells), "role_scale"))
+    first = d.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("x") == F.col("y")).alias("same"), (F.max("y") - F.min("y")).alias("span_y"),
+                                 (F.max("x") - F.min("x")).alias("span_x"), *_first_sums())
+    first = first.where((F.col("n") >= min_samples) & (F.col("span_y") > 0) & (F.col("span_x") > 0))
+    first = settle(_coefficients(first, True, "n", "same", "span_y"), "pair_fit")
     d1 = d.join(first, PAIR)
-    cut = wide_quantiles(d1, PAIR, {f: _error(f) for f in FORMS}, {"cut": 1.0 - trim})
-    cut = settle(cut.select(*PAIR, *[f"{f}_cut" for f in FORMS]), "pair_cut")
-    kept = d1.join(cut, PAIR)
-    second = settle(_coefficients(kept.groupBy(*PAIR).agg(*[s for f in FORMS for s in _sums(f, _error(f) <= F.col(f"{f}_cut"))])), "pair_refit")
-    d2 = d.join(second, PAIR)
-    tol = F.col("sy") * dbl(RESIDUAL_PCT / 100.0)
-    g = d2.groupBy(*PAIR).agg(*[e for f in FORMS for e in (F.max(_error(f)).alias(f"{f}_max"), F.count_if(_error(f) > tol).alias(f"{f}_out"))])
-    j = g.join(stats, PAIR).join(second, PAIR)
+    errs = F.array(*[F.struct(F.lit(i).alias("form"), (_error(f) / F.col("sy")).alias("e")) for i, f in enumerate(FORMS)])
+    long = d1.select(*PAIR, F.explode(errs).alias("z")).select(*PAIR, "z.form", "z.e")
+    decades = F.floor(F.log10(F.col("e") + dbl(1e-20)) * dbl(200.0)).cast("int")  # residuals span many decades
+    cut = exact_quantiles(long, [*PAIR, "form"], "e", {"cut": 1.0 - trim}, slot=decades)
+    cut = cut.groupBy(*PAIR).agg(*[F.max(F.when(F.col("form") == i, F.col("cut"))).alias(f"_k{i}") for i in range(len(FORMS))])
+    cut = settle(cut, "pair_cut")
+    kept = d1.join(cut, PAIR).withColumns({f"cut_{f}": F.col(f"_k{i}") * F.col("sy") for i, f in enumerate(FORMS)})
+    second = settle(_coefficients(kept.groupBy(*PAIR).agg(*[s for f in FORMS for s in _kept_sums(f)]), False), "pair_refit")
+    scale = ["mx", "sx", "my", "sy"]
+    d2 = d.join(second, PAIR).join(first.select(*PAIR, "span_y"), PAIR)
+    tol = F.col("span_y") * dbl(RESIDUAL_PCT / 100.0)
+    g = d2.groupBy(*PAIR).agg(*[F.first(c).alias(c) for c in scale], *[e for f in FORMS for e in (F.max(_error(f)).alias(f"{f}_max"), F.count_if(_error(f) > tol).alias(f"{f}_out"))])
+    j = g.join(first.select(*PAIR, "n", "same", "span_y"), PAIR).join(second, PAIR)
     rows = F.array(*[F.struct(F.lit(i).alias("form_ord"), F.lit(f).alias("form"), F.col(f"{f}_out").alias("n_outlier_rows"),
-                              (dbl(100.0) * F.col(f"{f}_max") / F.col("sy")).alias("max_residual_pct_of_range"), _raw_coefficients(f).alias("coefficients"))
+                              (dbl(100.0) * F.col(f"{f}_max") / F.col("span_y")).alias("max_residual_pct_of_range"), _raw_coefficients(f).alias("coefficients"))
                      for i, f in enumerate(FORMS)])
     out = j.select(*PAIR, "n", "same", F.explode(rows).alias("f")).select(*PAIR, "n", "same", "f.*")
-    return out.withColumn("inlier_fraction", dbl(1.0) - F.col("n_outlier_rows") / F.col("n"))
+    return _named(out.withColumn("inlier_fraction", dbl(1.0) - F.col("n_outlier_rows") / F.col("n")), roles)
 
 
 def _raw_coefficients(form):
@@ -252,14 +294,14 @@ def dependency_findings(forms: DataFrame) -> DataFrame:
     """Per pair the simplest exact form; a target with none keeps its single best fit."""
     exact = forms.where(F.col("same") | (F.col("inlier_fraction") >= INLIER_SHARE))
     pick = F.struct("form", "coefficients", "inlier_fraction", "n_outlier_rows", "max_residual_pct_of_range", "n", "same")
-    per_pair = exact.groupBy(*PAIR).agg(F.min_by(pick, F.col("form_ord")).alias("p"))
+    per_pair = exact.groupBy(*KEYS, "target", "driver").agg(F.min_by(pick, F.col("form_ord")).alias("p"))
     found = exact.select(*KEYS, "target").distinct()
     rest = forms.join(found, [*KEYS, "target"], "left_anti")
     best = rest.groupBy(*KEYS, "target").agg(F.min_by(
         F.struct("driver", pick.alias("p")), F.struct((-F.col("inlier_fraction")).alias("a"), F.col("driver").alias("b"), F.col("form_ord").alias("c"))).alias("m"))
     best = best.select(*KEYS, "target", F.col("m.driver").alias("driver"), F.col("m.p").alias("p"))
-    out = per_pair.unionByName(best).select(*PAIR, "p.*")
-    return out.select(*PAIR, F.when(F.col("same"), "identity").otherwise(F.col("form")).alias("form"),
+    out = per_pair.unionByName(best).select(*KEYS, "target", "driver", "p.*")
+    return out.select(*KEYS, "target", "driver", F.when(F.col("same"), "identity").otherwise(F.col("form")).alias("form"),
                       F.when(F.col("same"), F.array(dbl(1.0))).otherwise(F.col("coefficients")).alias("coefficients"),
                       F.when(F.col("same"), 1.0).otherwise(F.col("inlier_fraction")).alias("inlier_fraction"),
                       F.when(F.col("same"), 0).otherwise(F.col("n_outlier_rows")).alias("n_outlier_rows"),
@@ -268,10 +310,14 @@ def dependency_findings(forms: DataFrame) -> DataFrame:
                       (F.col("same") | (F.col("inlier_fraction") >= INLIER_SHARE)).alias("synthetic"))
 
 
-def dependency_scan(df: DataFrame, roles, min_samples: int = MIN_SAMPLES) -> DataFrame:
+def scan_cells(df: DataFrame, roles, min_samples: int = MIN_SAMPLES) -> DataFrame:
     a = active_mask(df, roles)
-    el = settle(eligible_roles(a, roles, min_samples), "eligible")
-    return dependency_findings(pair_forms(role_pairs(a, roles, el), min_samples))
+    return role_cells(a, roles, eligible_roles(a, roles, min_samples))
+
+
+def dependency_scan(df: DataFrame, roles, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    """Channels that are exact functions of another channel, and the best fit of the others."""
+    return dependency_findings(pair_forms(scan_cells(df, roles, min_samples), roles, min_samples))
 
 
 def synthetic_roles(findings: DataFrame, fleet: DataFrame) -> DataFrame:

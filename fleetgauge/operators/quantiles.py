@@ -12,7 +12,7 @@ Use the built-in instead where a group is bounded by construction, such as the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.cols import any_of, dbl
@@ -20,16 +20,26 @@ from fleetgauge.functions.cols import any_of, dbl
 BUCKETS = 4096
 
 
-def exact_quantiles(long: DataFrame, keys, value: str, probs: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
-    """One row per key group: ``q_n`` (non-NULL count) and one column per probability."""
+def exact_quantiles(long: DataFrame, keys, value: str, probs: dict[str, float], buckets: int = BUCKETS, slot: Column | None = None) -> DataFrame:
+    """One row per key group: ``q_n`` (non-NULL count) and one column per probability.
+
+    ``slot`` may give the bucket directly as any non-decreasing integer
+    function of ``value``; then no pass for the value range is needed.
+    """
     keys = list(keys)
+    if slot is not None:
+        placed = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), slot.alias("_b"))
+        return _pick_ranks(placed, keys, probs)
     rows = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width > 0, F.least(F.lit(buckets - 1),
                                      F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(buckets)).cast("int")))
     placed = rows.join(span, keys).select(*keys, "_v", F.coalesce(slot, F.lit(0)).alias("_b"))
+    return _pick_ranks(placed, keys, probs)
+
 
+def _pick_ranks(placed: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     per_key = Window.partitionBy(*keys)
     totals = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bw"))
     totals = totals.select(
