@@ -87,7 +87,6 @@ def d07(spark, d):
 # windows of 24 rows every 4 rows here (the bound record has ~12-96 row runs); production uses 288 / 12
 W, S = 24, 4
 FEATS = ["power_W", "speed_Hz", "fan1_Hz"]
-_zero = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in FEATS}
 
 
 def _stat(f):
@@ -109,7 +108,7 @@ sc AS (SELECT w.site, w.device_id, w.start, w.start+{W - 1} AS "end", ({'+'.join
 
 
 def scores(spark, d):
-    return op.window_scores(islands(spark, d).withColumns(_zero), FEATS, W, S)
+    return op.window_scores(islands(spark, d).na.fill(0.0, FEATS), FEATS, W, S)
 
 
 @query("d08_sliding_window_scores", with_(WIN_SQL, body=f'SELECT site, device_id, start, "end", {R("score")} AS score FROM sc'))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,7 +147,8 @@ def role_cells(active: DataFrame, roles, eligible: DataFrame) -> DataFrame:
     picked = eligible.select(*KEYS, *[F.transform(c, lambda r: F.array_position(codes, r).cast("int") - 1).alias(c) for c in ("drivers", "targets")])
     cells = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(r).cast("double").alias("v")) for i, r in enumerate(roles)]),
                      lambda c: c["v"].isNotNull() & F.array_contains("drivers", c["i"]))
-    d = active.where("active").join(picked, list(KEYS)).select(*KEYS, "targets", cells.alias("cells"))
+    values = F.array(*[F.when(F.array_contains("drivers", F.lit(i)), F.coalesce(F.col(r).cast("double"), dbl(float("nan")))).otherwise(dbl(float("nan"))) for i, r in enumerate(roles)])
+    d = active.where("active").join(picked, list(KEYS)).select(*KEYS, "targets", cells.alias("cells"), values.alias("values"))
     return settle(d, "role_cells", spread=True)
 
 
@@ -241,9 +244,94 @@ def _error(form):
     return F.abs(F.col("w") - fit) * F.col("sy")
 
 
-def pair_forms(cells: DataFrame, roles, min_samples: int = MIN_SAMPLES, trim: float = 0.05) -> DataFrame:
+FORM_SCHEMA = ("site string, device_id string, t int, d int, n bigint, same boolean, form_ord int, form string, n_outlier_rows bigint, "
+               "max_residual_pct_of_range double, coefficients array<double>")
+
+
+def _device_forms(width: int, min_samples: int, trim: float):
+    """All pairs and forms of one device that fits into a task."""
+    names, tolerance = list(FORMS), RESIDUAL_PCT / 100.0
+
+    steps = np.arange(4)[None, :] - np.arange(4)[:, None]
+    binomial = np.array([[1, 1, 1, 1], [0, 1, 2, 3], [0, 0, 1, 3], [0, 0, 0, 1]], float)
+
+    def fit(r, c):
+        """Triangular solve, least squares where the basis is deficient."""
+        g = np.abs(np.diag(r))
+        return np.linalg.solve(r, c) if g.min() > 1e-12 * g.max() else np.linalg.lstsq(r, c, rcond=None)[0]
+
+    def kept(err):
+        """All but the worst residuals: everything up to the order statistic below the quantile."""
+        i = int((1.0 - trim) * (len(err) - 1))
+        return err <= np.partition(err, i)[i]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        head, targets = pdf.iloc[0], set(pdf["targets"].iloc[0])
+        m = np.stack(pdf["values"].to_numpy()).astype(float)
+        known = np.isfinite(m)
+        live = [k for k in range(width) if known[:, k].any()]
+        out = []
+        for t in (k for k in live if k in targets):
+            for d in (k for k in live if k != t):
+                both = known[:, t] & known[:, d]
+                n = int(both.sum())
+                if n < min_samples:
+                    continue
+                x, y = m[both, d], m[both, t]
+                sx, sy = np.ptp(x), np.ptp(y)
+                if sx <= 0 or sy <= 0:
+                    continue
+                u, w = (x - x.mean()) / sx, (y - y.mean()) / sy
+                v = np.vander(u, 4, increasing=True)
+                same = bool((x == y).all())
+                q, r_all = np.linalg.qr(v)
+                c_all = q.T @ w
+                # powers of u = (x - mean) / sx back to powers of x
+                shift = binomial * (-x.mean() / sx) ** np.maximum(steps, 0) / (sx ** np.arange(4.0))[:, None]
+                for o, form in enumerate(names):
+                    if o == 0:
+                        err = np.abs(y - (x @ y) / (x @ x) * x)
+                        keep = kept(err)
+                        b = (x[keep] @ y[keep]) / max(x[keep] @ x[keep], 1e-300)
+                        err, raw = np.abs(y - b * x), [b]
+                    else:
+                        k = o + 1
+                        keep = kept(np.abs(w - v[:, :k] @ fit(r_all[:k, :k], c_all[:k])))
+                        q, r = np.linalg.qr(v[keep, :k])
+                        beta = fit(r, q.T @ w[keep])
+                        err = np.abs(w - v[:, :k] @ beta) * sy
+                        raw = shift[:k, :k] @ beta * sy
+                        raw[0] += y.mean()
+                    out.append((head["site"], head["device_id"], t, d, n, same, o, form, int((err > tolerance * sy).sum()), 100.0 * float(err.max()) / sy, [float(z) for z in raw]))
+        return pd.DataFrame(out, columns=["site", "device_id", "t", "d", "n", "same", "form_ord", "form", "n_outlier_rows", "max_residual_pct_of_range", "coefficients"])
+    return run
+
+
+LOCAL_ROWS = 131072  # a device of at most this many active rows is fitted inside one task
+
+
+def pair_forms(cells: DataFrame, roles, min_samples: int = MIN_SAMPLES, trim: float = 0.05, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Trimmed least-squares fit of every form for every pair, judged on all rows.
 
+    A device whose checked row count is small goes to one task with its rows;
+    a longer record is fitted by distributed passes. Both are exact.
+    """
+    size = settle(cells.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_rows")), "device_rows")
+    total = size.agg(F.sum("_rows")).first()[0] or 0
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-total // max(2 * local_rows, 1)))
+    small = cells.join(size.where(F.col("_rows") <= local_rows), list(KEYS)).select(*KEYS, "targets", "values")
+    small = small.repartition(parts, *KEYS)  # fitting is heavy: keep the devices apart
+    out = small.groupBy(*KEYS).applyInPandas(_device_forms(len(roles), min_samples, trim), FORM_SCHEMA)
+    out = _named(out.withColumn("inlier_fraction", dbl(1.0) - F.col("n_outlier_rows") / F.col("n")), roles)
+    long = size.where(F.col("_rows") > local_rows).select(*KEYS)
+    if long.isEmpty():
+        return out
+    return out.unionByName(_distributed_forms(cells.join(long, list(KEYS), "left_semi"), roles, min_samples, trim))
+
+
+def _distributed_forms(cells: DataFrame, roles, min_samples: int, trim: float) -> DataFrame:
+    """The same fits for records of any length.
+
     Fit, residual quantile, trimmed refit, score. The per-pair table between
     two passes is small and written once, so no pass repeats an earlier one.
     """
