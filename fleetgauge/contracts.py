@@ -98,7 +98,7 @@ SENSOR_SET = [
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Project thresholds; the defaults are the reference defaults."""
+    """Project thresholds; the defaults suit five-minute records."""
 
     run_on: float = 0.5
     dead_run_policy: str = "fallback"

@@ -18,7 +18,7 @@ EPOCH_2000 = 946684800  # seconds
 
 @dataclass(frozen=True)
 class SplitSpec:
-    """Block plan; the defaults are the reference defaults."""
+    """Block plan; the defaults suit five-minute records."""
 
     buffer_hours: float = 72.0
     n_blocks: int = 12
