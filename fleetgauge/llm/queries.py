@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import piece_bpe
-from fleetgauge.llm.common import table, tokenizer_path
+from fleetgauge.llm import language_id, piece_bpe, quality_crf
+from fleetgauge.llm.common import held_out, table, tokenizer_path
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -29,3 +29,18 @@ def op1_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_quality_crf")
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = quality_crf.score(docs, quality_crf.fit(docs.filter(~F.col("held_out")), labels))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    learned = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs, learned).select("doc_id", "held_out", "lang_pred", "score")
