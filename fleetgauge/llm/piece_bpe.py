@@ -29,7 +29,7 @@ from fleetgauge.llm.common import slices
 
 NONE = np.int64(1) << 40
 #: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 SPACE = "▁"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,20 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
+#: Rows of an Arrow batch: texts are long, and the default of 10,000 takes a worker hundreds of MB.
+ARROW_ROWS = 1000
+
+
 def query(name, sql=None):
     def wrap(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
-        return fn
+        return run
     return wrap
 
 
