@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import functools
+import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgauge.functions.lineage import settle, stage_folder  # noqa: F401
+
 #: Bytes of text that a Python worker takes at a time within an Arrow batch.
 SLICE_BYTES = 2 << 20
 
@@ -22,6 +25,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def new_folder(spark) -> str:
+    """A fresh folder name in the shared folder of the cluster."""
+    return f"{stage_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def slices(column, budget: int = SLICE_BYTES):
     """Cut an Arrow string column into (start, stop) row ranges of about ``budget`` bytes; a longer row stands alone."""
     import pyarrow.compute as pc

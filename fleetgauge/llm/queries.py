@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import language_id, piece_bpe, quality_crf
-from fleetgauge.llm.common import held_out, table, tokenizer_path
+from fleetgauge.llm import language_id, piece_bpe, quality_crf, warc
+from fleetgauge.llm.common import held_out, new_folder, table, tokenizer_path
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -54,3 +54,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     learned = language_id.fit(docs.filter(~F.col("held_out")))
     return language_id.identify(docs, learned).select("doc_id", "held_out", "lang_pred", "score")
+
+
+# base32 of a SHA-1 in hex: digit i is five of the bits in the three hex digits that start at 5 i / 4
+_BASE32 = """list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex || '00', CAST(i * 5 // 4 AS BIGINT) + 1, 3) AS BIGINT) >> CAST(7 - i * 5 % 4 AS BIGINT)) & 31), 1)
+ for i in range(32)], 'string_agg', '')"""
+
+
+@query("op6_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> top THEN top END AS refers_to FROM t""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    path = f"{new_folder(spark)}/warc"
+    warc.write_archives(warc.mark_revisits(pages, min_bytes=0), path)
+    got = warc.read_archives(spark, path, warc.SCHEMA.replace(", payload binary", ""), verify="true").filter(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.regexp_extract(c, f"^{warc.PAGE}(-?[0-9]+)$", 1)
+    number = lambda c: F.when(page(c) != "", page(c).cast("long"))
+    return got.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
