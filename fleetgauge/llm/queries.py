@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import language_id, piece_bpe, quality_crf, warc
+from fleetgauge.llm import language_id, packing, piece_bpe, quality_crf, warc
 from fleetgauge.llm.common import held_out, new_folder, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -76,3 +76,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     return got.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=1024, closing=0)
+    return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
