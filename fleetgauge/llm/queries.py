@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import language_id, packing, piece_bpe, quality_crf, warc
+from fleetgauge.llm import fingerprint_lz, language_id, packing, piece_bpe, quality_crf, suffix_dedup, warc
 from fleetgauge.llm.common import held_out, new_folder, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -82,3 +82,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=1024, closing=0)
     return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), span=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_fingerprint_lz")
+def op7_fingerprint_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint_lz.chain(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                      fingerprint_lz.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+                      fingerprint_lz.likeness("fingerprint", "next_fingerprint").alias("near_next"))
