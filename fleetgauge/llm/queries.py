@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import fingerprint_lz, language_id, packing, piece_bpe, quality_crf, suffix_dedup, warc
+from fleetgauge.llm import fingerprint_lz, language_id, ngram_join, packing, piece_bpe, quality_crf, suffix_dedup, warc
 from fleetgauge.llm.common import held_out, new_folder, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -97,3 +97,8 @@ def op7_fingerprint_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                       fingerprint_lz.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
                       fingerprint_lz.likeness("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
