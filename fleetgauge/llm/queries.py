@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import fingerprint_lz, language_id, ngram_join, packing, piece_bpe, quality_crf, suffix_dedup, warc
+from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, packing, piece_bpe, quality_crf, suffix_dedup, warc
 from fleetgauge.llm.common import held_out, new_folder, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -102,3 +102,8 @@ def op7_fingerprint_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_join")
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
+
+
+@query("op2_neighbours")
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
