@@ -14,6 +14,12 @@ from fleetgauge.functions.lineage import settle, stage_folder  # noqa: F401
 
 #: Bytes of text that a Python worker takes at a time within an Arrow batch.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch: texts are long, and the default of 10,000 takes a worker hundreds of MB.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

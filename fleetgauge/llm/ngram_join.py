@@ -186,50 +186,75 @@ def heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 maps = np.stack([bitmap(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
                                                   *(pa.array(maps[:, i]) for i in range(WORDS))], [key, "n_shingles", "set_id", *(f"w{i}" for i in range(WORDS))])
-    return df.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(make, f"{key} long, {_HEADS}")
+    return df.select(F.col(key), F.col(text)).mapInArrow(make, f"{key} {dict(df.dtypes)[key]}, {_HEADS}")
+
+
+class Packer:
+    """Gathers (set, hashes it is filed under) and sends them packed by range of hash."""
+
+    SCHEMA = "part int, low binary, place binary, sets binary"
+
+    def __init__(self, n_parts: int):
+        self.n_parts, self.hashes, self.owners, self.held = n_parts, [], [], 0
+        self.seen: set[int] = set()
+
+    def known(self, i: int) -> bool:
+        """Whether the task has filed the set lately."""
+        if i in self.seen:
+            return True
+        if len(self.seen) >= FLUSH:
+            self.seen.clear()
+        self.seen.add(i)
+        return False
+
+    def add(self, i: int, hashes: np.ndarray):
+        self.hashes.append(hashes)
+        self.owners.append(np.full(len(hashes), i, np.int64))
+        self.held += len(hashes)
+
+    def flush(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.held < least:
+            return
+        h, o = np.concatenate(self.hashes), np.concatenate(self.owners)
+        self.hashes, self.owners, self.held = [], [], 0
+        part = ((h >> np.uint64(40)) * np.uint64(self.n_parts) >> np.uint64(24)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        h, o, part = h[order], o[order], part[order]
+        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist()
+        rows = []
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            sets, place = np.unique(o[x:y], return_inverse=True)
+            low = h[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            rows.append((int(part[x]), low.tobytes(), place.astype("<u4" if len(sets) > 65535 else "<u2").tobytes(), sets.astype("<i8").tobytes()))
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "low", "place", "sets"])
+
+
+def file_entries(df: DataFrame, text: str, n: int, hashes, n_parts: int) -> DataFrame:
+    """The entries of all rows, packed; ``hashes(set)`` yields arrays of them. Equal sets of a task are filed once."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Packer(n_parts)
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                for s in shingles(batch.column(0)[a:b].to_pylist(), n):
+                    i = set_id(s)
+                    if len(s) and not out.known(i):
+                        for h in hashes(s):
+                            out.add(i, h)
+                yield from out.flush(FLUSH)
+        yield from out.flush()
+    return df.select(F.col(text)).mapInArrow(make, Packer.SCHEMA)
 
 
-def file_entries(df: DataFrame, key: str, text: str, n: int, alloc: list, most: int, num: int, den: int, n_parts: int) -> DataFrame:
-    """(part, low, place, sets): the entries of all rows by range of hash, packed; equal sets of a task are filed once."""
+def cell_entries(alloc: list, most: int, num: int, den: int):
     edge = np.array(bands(most, num, den))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, owners, held, seen = [], [], 0, set()
-
-        def flush():
-            h, o = np.concatenate(hashes), np.concatenate(owners)
-            part = ((h >> np.uint64(40)) * np.uint64(n_parts) >> np.uint64(24)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            h, o, part = h[order], o[order], part[order]
-            cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist()
-            rows = []
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                sets, place = np.unique(o[x:y], return_inverse=True)
-                low = h[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append((int(part[x]), low.tobytes(), place.astype("<u4" if len(sets) > 65535 else "<u2").tobytes(), sets.astype("<i8").tobytes()))
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "low", "place", "sets"])
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                for s in shingles(batch.column(1)[a:b].to_pylist(), n):
-                    i = set_id(s)
-                    if not len(s) or i in seen:
-                        continue
-                    if len(seen) >= FLUSH:
-                        seen.clear()
-                    seen.add(i)
-                    band = int(np.searchsorted(edge, len(s), side="right")) - 1
-                    for cell in (band, band - 1):
-                        if cell >= 0:
-                            hashes.append(entries(s, cell, alloc[cell]))
-                            owners.append(np.full(len(hashes[-1]), i, np.int64))
-                            held += len(hashes[-1])
-                if held >= FLUSH:
-                    yield flush()
-                    hashes, owners, held = [], [], 0
-        if held:
-            yield flush()
-    return df.filter(F.col(key).isNotNull()).select(F.col(key), F.col(text)).mapInArrow(make, "part int, low binary, place binary, sets binary")
+    def hashes(s: np.ndarray) -> Iterator[np.ndarray]:
+        band = int(np.searchsorted(edge, len(s), side="right")) - 1
+        for cell in (band, band - 1):
+            if cell >= 0:
+                yield entries(s, cell, alloc[cell])
+    return hashes
 
 
 def _meet(t: pa.Table) -> pa.Table:
@@ -291,7 +316,7 @@ class Join:
         """Pairs whose whole sets reach the threshold."""
         ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id")
         reps = self.sets.join(ids, "set_id").select(F.col("rep").alias("__rep"))
-        rows = self.docs.select(F.col(self.key).cast("long").alias("__rep"), F.col(self.text).alias("__text")).join(reps, "__rep")
+        rows = self.docs.select(F.col(self.key).alias("__rep"), F.col(self.text).alias("__text")).join(reps, "__rep")
         n = self.n
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,6 +372,15 @@ class Join:
         return rows.select("__g", "__i", "__j", "__mine", "set_id", "root", "n_shingles", *words).groupBy("__g", "__i", "__j").applyInArrow(compare, "a long, b long").distinct()
 
 
+    def linked(self, filed: DataFrame) -> DataFrame:
+        """(node, root): components of the sets, given their packed entries."""
+        met = settle(filed.groupBy("part").applyInArrow(_meet, "a long, b long, members array<long>"), "met")
+        first = settle(self.verified(settle(self.near(met.filter("members IS NULL").select("a", "b").distinct()), "near")), "linked")
+        parts = settle(components(first), "parts")
+        second = self.verified(settle(self.apart(met.filter("members IS NOT NULL").select("members").distinct(), parts), "near"))
+        return components(first.union(second))
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(key, n_shingles, component_id): rows linked by a similarity of at least ``num / den``, named by their smallest key."""
     docs = df.select(F.col(key).cast("long").alias(key), F.col(text))
@@ -358,14 +392,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     edge = bands(most, num, den)
     counts = job.sets.groupBy((F.size(F.filter(F.array(*map(F.lit, edge)), lambda e: e <= F.col("n_shingles"))) - 1).alias("band")).count()
     alloc = plan({r[0]: r[1] for r in counts.collect()}, most, num, den)  # a row a band
-    n_parts = max(1, math.ceil(8 * size / PART_BYTES))
-    filed = file_entries(docs, key, text, n, alloc, most, num, den, n_parts)
-    met = settle(filed.groupBy("part").applyInArrow(_meet, "a long, b long, members array<long>"), "met")
-    first = settle(job.verified(settle(job.near(met.filter("members IS NULL").select("a", "b").distinct()), "near")), "linked")
-    parts = settle(components(first), "parts")
-    rest = settle(job.apart(met.filter("members IS NOT NULL").select("members").distinct(), parts), "near")
-    second = job.verified(rest)
-    parts = components(first.union(second))
-    labelled = settle(out.join(parts.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select(key, "n_shingles", F.coalesce("root", "set_id").alias("__root")), "labelled")
+    filed = file_entries(docs.filter(F.col(key).isNotNull()), text, n, cell_entries(alloc, most, num, den), max(1, math.ceil(8 * size / PART_BYTES)))
+    labelled = settle(out.join(job.linked(filed).select(F.col("node").alias("set_id"), "root"), "set_id", "left").select(key, "n_shingles", F.coalesce("root", "set_id").alias("__root")), "labelled")
     low = labelled.filter(F.col("__root").isNotNull()).groupBy("__root").agg(F.min(key).alias("__low"))
     return labelled.join(low, "__root", "left").select(key, "n_shingles", F.coalesce("__low", key).alias("component_id"))

@@ -7,22 +7,18 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, packing, piece_bpe, quality_crf, suffix_dedup, warc
-from fleetgauge.llm.common import held_out, new_folder, table, tokenizer_path
+from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, packing, paragraph_dedup, piece_bpe, quality_crf, suffix_dedup, warc
+from fleetgauge.llm.common import held_out, new_folder, small_batches, table, tokenizer_path
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-#: Rows of an Arrow batch: texts are long, and the default of 10,000 takes a worker hundreds of MB.
-ARROW_ROWS = 1000
-
-
 def query(name, sql=None):
     def wrap(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+            small_batches(spark)
             return fn(spark, sf_dir)
         QUERIES[name] = run
         if sql:
@@ -107,3 +103,9 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_neighbours")
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20)
+
+
+@query("op8_paragraph_dedup")
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = paragraph_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

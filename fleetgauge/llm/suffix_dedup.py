@@ -25,7 +25,7 @@ are handled once, so a text that a third of all rows repeat costs one entry a
 block. Strings are judged on the input: a string is removed from a document if it
 also starts in one with a smaller key. Null texts are empty. Rows with a null key
 take no part and are kept whole; rows with equal keys do not remove each other's
-bytes. Columns other than the key are not returned.
+bytes. Columns are returned where ``carry`` names them.
 """
 
 from __future__ import annotations
@@ -329,8 +329,8 @@ def replies(runs: list[Run], owner: list[int], span: int) -> dict[int, list[tupl
 
 
 # ---- operator ----------------------------------------------------------------------------
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50, whole_characters: bool = False) -> DataFrame:
-    """(key, n_bytes, spans, kept): maximal removed byte ranges of each text and its other bytes.
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, spans, kept): maximal removed byte ranges of each text and its other bytes; ``carry`` names columns to keep.
 
     ``whole_characters`` removes a character only if all its bytes repeat, so that ``kept`` stays valid text.
     """
@@ -338,7 +338,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span:
         raise ValueError("span must be 16 to 128 bytes")
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_blocks, n_ranges, n_groups = (max(1, math.ceil(total / x)) for x in (BLOCK, 16 << 20, 2 << 20))
-    docs = df.select(F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(n_blocks)).cast("int").alias("blk"), F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    docs = df.select(F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(n_blocks)).cast("int").alias("blk"), F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"), *(F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)))
+    carried = [f for f in docs.columns if f.startswith("carry")]
 
     def block(t: pa.Table) -> Block:
         return Block(t.column("key").to_pylist(), t.column("text").to_pylist(), span)
@@ -396,10 +397,15 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span:
         cols = list(zip(*rows, strict=True)) or [[]] * 2
         return pa.table({"blk": pa.array(cols[0], pa.int32()), "reply": pa.array(cols[1], pa.binary())})
 
+    def add(t: pa.Table, left: pa.Table) -> pa.Table:
+        for c in carried:
+            t = t.append_column(c, left.column(c))
+        return t
+
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
         if not left.num_rows:
-            return schema.empty_table()
+            return add(schema.empty_table(), left)
         b = block(left)
         size = np.array([len(t) for t in b.texts], np.int64)
         start = np.append(0, np.cumsum(size))
@@ -437,12 +443,12 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span:
                     spans = [{"start": x, "end": y} for x, y in zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True)]
                     made[n] = spans, flat[start[n]:start[n + 1]][c == 0].tobytes() if spans else t
                 out.append((k, len(t), *made[n]))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        return add(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema), left)
 
     by_block = docs.groupBy("blk")
     keys = by_block.applyInArrow(send, "blk int, part int, low binary")
     common = keys.groupBy("part").applyInArrow(shared, "blk int, part int, low binary")
     sorted_runs = docs.groupBy("blk").cogroup(common.groupBy("blk")).applyInArrow(runs, "grp int, blk int, run binary")
     answers = sorted_runs.groupBy("grp").applyInArrow(sort, "blk int, reply binary")
-    out = docs.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(cover, "key long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-    return out.withColumnRenamed("key", key)
+    out = docs.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(cover, "key long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried))
+    return out.select(F.col("key").alias(key), "n_bytes", "spans", "kept", *(F.col(a).alias(b) for a, b in zip(carried, carry, strict=True)))
