@@ -198,7 +198,7 @@ class WarcReader(DataSourceReader):
                 out.append(Files(part))
                 part, size = [], 0
             part, size = [*part, p], size + n
-        return [*out, Files(part)] if part else out
+        return [*out, Files(part)]  # an empty folder is one partition without files
 
     @staticmethod
     def values(head: dict[str, str]) -> dict:
