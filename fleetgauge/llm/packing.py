@@ -27,25 +27,30 @@ from fleetgauge.llm.word_ids import WordIds
 
 DIM, AXES, BITS = 256, 3, 10
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 PIECES = "start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
 
 
 # ---- order -------------------------------------------------------------------------------
-def vectors(texts: list[str | None]) -> np.ndarray:
+def vectors(texts: pa.Array) -> np.ndarray:
     """Unit vectors of signed, square-rooted counts of hashed byte trigrams; a text below three bytes is the zero vector."""
-    enc = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    size = np.array([len(e) for e in enc], np.int64)
-    arr = np.frombuffer(b"".join(enc), np.uint8).astype(np.uint32)
-    out = np.zeros(len(texts) * DIM)
+    n = len(texts)
+    texts = pa.concat_arrays([texts.fill_null("")])
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + n + 1].astype(np.int64)
+    arr = np.frombuffer(data, np.uint8)[at[0]:at[-1]].astype(np.uint32) if data is not None and n else np.zeros(0, np.uint32)
+    at = at - at[0]
+    out = np.zeros((n, DIM))
     if len(arr) > 2:
-        doc = np.repeat(np.arange(len(texts)), size)
-        h = (arr[:-2] | arr[1:-1] << 8 | arr[2:] << 16) * np.uint32(2654435761)
-        whole = doc[:-2] == doc[2:]
-        at = doc[:-2] * DIM + (h >> 24)
-        n = np.bincount(at[whole], np.where(h & 0x800000, 1.0, -1.0)[whole], len(out))
-        out = np.sign(n) * np.sqrt(np.abs(n))
-    out = out.reshape(-1, DIM)
+        h = arr[:-2] | arr[1:-1] << 8 | arr[2:] << 16
+        h *= np.uint32(2654435761)
+        row = np.repeat(np.arange(0, n * 2 * DIM, 2 * DIM), np.diff(at))
+        for back in (1, 2):  # trigrams that start here would end in the next text
+            row[np.maximum(at[1:] - back, at[:-1])[at[1:] > at[:-1]]] = n * 2 * DIM
+        cell = row[:-2] + (h >> (32 - (2 * DIM).bit_length() + 1))
+        both = np.bincount(cell, minlength=(n + 1) * 2 * DIM)[:n * 2 * DIM].reshape(n, DIM, 2)
+        diff = both[:, :, 1] - both[:, :, 0]
+        out = np.sign(diff) * np.sqrt(np.abs(diff))
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
 
@@ -90,7 +95,7 @@ def curve_key(col: str | Column) -> Column:
     @F.arrow_udf("long")
     def key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = [hilbert(cells(vectors(texts[a:b].to_pylist()))) for a, b in slices(texts)]
+            parts = [hilbert(cells(vectors(texts[a:b]))) for a, b in slices(texts)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
     return key(F.col(col) if isinstance(col, str) else col)
 
@@ -108,22 +113,50 @@ class ByteBpe:
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
         self.words = WordIds(CACHE_WORDS)
+        alone = [(t.content, i) for i, t in self.lib.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark, self.mark_id = alone[0] if alone else (None, None)
 
-    def split(self, text: str) -> list:
-        words = text.split(" ")
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                words = self.CUT.split(text)
-                return [(words[0],), *(w[1:] for w in words[1:])]
+    @staticmethod
+    def _first_apart(words: list[str]) -> list:
         return [(words[0],), *words[1:]]  # the first word has no space before it
 
+    @staticmethod
+    def _odd(word) -> bool:
+        """Words at whose ends a text must not be cut."""
+        w = word[0] if isinstance(word, tuple) else word
+        return not w or w[0].isspace() or w[-1].isspace()
+
+    def split(self, text: str) -> list:
+        """Words of any text, cut between a space and what is before it only where neither side has more spaces."""
+        words = self.CUT.split(text)
+        return [(words[0],), *(w[1:] for w in words[1:])]
+
     def _new(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.lib.encode_batch_fast([w[0] if isinstance(w, tuple) else " " + w for w in words], add_special_tokens=False)]
-        at = np.append(0, np.cumsum([len(g) for g in got], dtype=np.int64))
-        return np.fromiter((i for g in got for i in g), np.int32, int(at[-1])), at
+        """Ids of words; many words go to the library as one text, parted by a token that stands alone."""
+        texts = [w[0] if isinstance(w, tuple) else " " + w for w in words]
+        got, size = np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        plain = [i for i, t in enumerate(texts) if self.mark and self.mark not in t]
+        if plain:
+            joined = [self.mark.join([texts[i] for i in plain[j:j + 1000]]) + self.mark for j in range(0, len(plain), 1000)]
+            got = np.concatenate([np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)])
+            size[plain] = np.diff(np.append(-1, np.flatnonzero(got == self.mark_id))) - 1
+            got = got[got != self.mark_id]
+        rest = sorted(set(range(len(words))).difference(plain))
+        if rest:
+            ids = [np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+            size[rest] = [len(i) for i in ids]
+            owner = np.concatenate([np.repeat(plain, size[plain]), np.repeat(rest, size[rest])])
+            got = np.concatenate([got, *ids])[np.argsort(owner, kind="stable")]
+        return got, np.append(0, np.cumsum(size))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        return self.words.ids([self.split(t) if t else [] for t in texts], self._new)
+        split = [self._first_apart(t.split(" ")) if t else [] for t in texts]
+        new = self.words.new(split)
+        odd = {w for w in new if self._odd(w)}
+        if odd:
+            split = [self.split(t) if not odd.isdisjoint(ws) else ws for t, ws in zip(texts, split, strict=True)]
+            new = self.words.new(split)
+        return self.words.ids(split, new, self._new)
 
 
 @functools.cache
@@ -184,9 +217,13 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leng
         lib, stream = byte_bpe(path), Stream(TaskContext.get().partitionId() << 40, length)
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                ids, at = lib.encode(batch.column(1)[a:b].to_pylist())
-                for k, x, y in zip(batch.column(0)[a:b].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    stream.add(k, np.append(ids[x:y], np.int32(closing)))
+                texts = batch.column(1)[a:b].to_pylist()
+                place = {t: i for i, t in enumerate(dict.fromkeys(texts))}  # copies lie side by side on the curve
+                ids, at = lib.encode(list(place))
+                at = at.tolist()
+                for k, t in zip(batch.column(0)[a:b].to_pylist(), texts, strict=True):
+                    i = place[t]
+                    stream.add(k, np.append(ids[at[i]:at[i + 1]], np.int32(closing)))
                 yield stream.batch(schema)
         stream.end()
         yield stream.batch(schema)
