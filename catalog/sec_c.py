@@ -30,15 +30,16 @@ def c01(spark, d):
     return rounded(ql.adapter_qa(rw.keep_first(c.where("ts IS NOT NULL")), rw.timestamp_report(c), QA_ROLES))
 
 
-@query("c02_channel_quality", """WITH h AS (SELECT concat('site_', CAST(user_id%3 AS STRING)) AS site, concat('U_', CAST(user_id AS STRING)) AS device_id,
- CASE WHEN event_type='click' THEN value END AS click, CASE WHEN event_type='purchase' THEN value END AS purchase FROM events),
-g AS (SELECT site, device_id, 'click' AS field, count(*) AS rows, count(click) AS valid_rows, min(click) AS minimum, max(click) AS maximum, avg(click) AS mean FROM h GROUP BY 1,2
- UNION ALL SELECT site, device_id, 'purchase', count(*), count(purchase), min(purchase), max(purchase), avg(purchase) FROM h GROUP BY 1,2)
+_CHANNELS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("c02_channel_quality", "WITH h AS (SELECT concat('site_', CAST(user_id%3 AS STRING)) AS site, concat('U_', CAST(user_id AS STRING)) AS device_id, event_type, value FROM events),\ng AS (" + " UNION ALL ".join(
+    f"SELECT site, device_id, '{c}' AS field, count(*) AS rows, count(CASE WHEN event_type='{c}' THEN value END) AS valid_rows, " + ", ".join(f"{f}(CASE WHEN event_type='{c}' THEN value END) AS {n}" for f, n in (("min", "minimum"), ("max", "maximum"), ("avg", "mean"))) + " FROM h GROUP BY 1,2" for c in _CHANNELS) + """)
 SELECT site, device_id, field, rows, valid_rows, """ + f"{R('1e0-valid_rows/rows')} AS missing_rate, {R('minimum')} AS minimum, {R('maximum')} AS maximum, {R('mean')} AS mean FROM g")
 def c02(spark, d):
     e = bind.events(spark, d)
-    w = e.select(*KEYS, *[F.when(F.col("channel") == c, F.col("value")).alias(c) for c in ("click", "purchase")])
-    return rounded(ql.channel_quality(w, ["click", "purchase"]))
+    w = e.select(*KEYS, *[F.when(F.col("channel") == c, F.col("value")).alias(c) for c in _CHANNELS])
+    return rounded(ql.channel_quality(w, list(_CHANNELS)))
 
 
 PROF_SQL = ATT_SQL + """,

@@ -203,9 +203,9 @@ def c21(spark, d):
 _T = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{EVIDENCE_TIERS[i]}'" for i, e in enumerate(["view", "click", "signup", "purchase"])) + f" ELSE '{EVIDENCE_TIERS[5]}' END"
 
 
-@query("c22_evidence_tier_rank", f"WITH e AS (SELECT user_id, CAST(event_id%5 AS BIGINT) AS variable, {_T} AS tier FROM events WHERE value>20) SELECT user_id, variable, min(tier_rank) AS rank, arg_min(tier, tier_rank) AS tier FROM (SELECT *, list_position([{', '.join(chr(39) + t + chr(39) for t in EVIDENCE_TIERS)}], tier)::BIGINT AS tier_rank FROM e) GROUP BY 1,2")
+@query("c22_evidence_tier_rank", f"WITH e AS (SELECT user_id, CAST(event_id%5 AS BIGINT) AS variable, {_T} AS tier FROM events) SELECT user_id, variable, min(tier_rank) AS rank, arg_min(tier, tier_rank) AS tier FROM (SELECT *, list_position([{', '.join(chr(39) + t + chr(39) for t in EVIDENCE_TIERS)}], tier)::BIGINT AS tier_rank FROM e) GROUP BY 1,2")
 def c22(spark, d):
-    e = bind.table(spark, d, "events").where("value > 20").selectExpr("user_id", "CAST(event_id%5 AS BIGINT) AS variable", f"{_T} AS tier")
+    e = bind.table(spark, d, "events").selectExpr("user_id", "CAST(event_id%5 AS BIGINT) AS variable", f"{_T} AS tier")
     return ob.best_tier(e, ["user_id", "variable"])
 
 

@@ -12,6 +12,7 @@ from catalog.sec_k import met_sql, out_cols, power_pairs
 from catalog.sec_k import PAIR_SQL as KP_SQL
 from fleetgauge.functions import metrics as mx
 from fleetgauge.functions import models as md
+from fleetgauge.functions.lineage import settle
 from fleetgauge.functions.cols import dbl
 from fleetgauge.operators import evaluate as ev
 from fleetgauge.operators import features as ft
@@ -77,14 +78,24 @@ def _calibrate(spark, d):
     return a[0].unionByName(b[0]), a[1].unionByName(b[1])
 
 
-@staged("calibration")
+_CALIBRATED: dict = {}
+
+
+def _calibrated(spark, d):
+    """Both tables of one calibration, which is run once per application and input folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CALIBRATED:
+        scores, rows = _calibrate(spark, d)
+        _CALIBRATED[key] = settle(scores, "calibration"), settle(rows, "holdout")
+    return _CALIBRATED[key]
+
+
 def calibration(spark, d):
-    return _calibrate(spark, d)[0]
+    return _calibrated(spark, d)[0]
 
 
-@staged("holdout")
 def holdout(spark, d):
-    return _calibrate(spark, d)[1]
+    return _calibrated(spark, d)[1]
 
 
 def selected(spark, d):
@@ -116,10 +127,9 @@ def j03(spark, d):
     return rounded(bind.masked(spark, d).where("equipment_type = 'cooling_tower'").select(*KEYS, "ts_s", *[p[c].alias(c) for c in ("sum_w3", "q", "q2")]))
 
 
-@query("j04_predict_power", with_(CAL_SQL, body=f"SELECT site, device_id, candidate, ts_s, {R('simulated', 1)} AS simulated FROM scored WHERE candidate IN ('affinity_power','fan_affinity_intercept')"))
+@query("j04_predict_power", with_(CAL_SQL, body=f"SELECT site, device_id, candidate, ts_s, {R('simulated', 1)} AS simulated FROM scored"))
 def j04(spark, d):
-    h = holdout(spark, d).where("candidate IN ('affinity_power', 'fan_affinity_intercept')")
-    return rounded(h.select(*KEYS, "candidate", F.unix_seconds("ts").alias("ts_s"), "simulated"), _=1)
+    return rounded(holdout(spark, d).select(*KEYS, "candidate", F.unix_seconds("ts").alias("ts_s"), "simulated"), _=1)
 
 
 _MC = ["RMSE", "MAE", "MAPE_pct", "CVRMSE_pct", "NMBE_pct", "skill"]
@@ -151,7 +161,7 @@ psim AS (SELECT pv.site, pv.device_id, c.candidate, segment AS stage, P_meas_W,
 @query("j06_pump_normalised_fit", with_(PSEL_SQL, body=f"SELECT site, device_id, candidate, {', '.join(f'{R(f'c{i}', 4)} AS c{i}' for i in range(5))} FROM pfc WHERE candidate<>'speed_flow'"))
 def j06(spark, d):
     t = sp.chronological_split(pump_table(spark, d)).where("segment = 'identification'")
-    p = fit.pump_normalised_fit(t, ft.pump_nominals(t)).where("candidate <> 'speed_flow'")
+    p = fit.pump_normalised_fit(t, ft.pump_nominals(t)).where("candidate <> 'speed_flow'")  # rank-deficient where the flow is constant
     return rounded(p.select(*KEYS, "candidate", *[F.col("c")[i].alias(f"c{i}") for i in range(5)]), _=4)
 
 
@@ -365,6 +375,13 @@ def _mono(t, r, g):
     return ["*".join(z for z in (pw(t, k), pw(r, q), pw(g, p)) if z) or "1e0" for p in range(3) for q in range(3) for k in range(3)]
 
 
+def _slope(t, r, g):
+    """d/dR of the monomials."""
+    of = {1: "1e0", 2: f"2*{r}"}
+    pw = lambda x, k: "*".join([x] * k)
+    return ["*".join(z for z in (pw(t, k), of[q], pw(g, p)) if z) if q else "0e0" for p in range(3) for q in range(3) for k in range(3)]
+
+
 def york_sql(t, r, g):
     return "(" + "+".join(f"({c!r}::DOUBLE)*{m}" for c, m in zip(md.YORK, _mono(t, r, g))) + ")"
 
@@ -402,10 +419,10 @@ def g15(spark, d):
     return _ts(york_rows(spark, d), "rlg")
 
 
-@query("g16_york_design", with_(Y_SQL, body="SELECT site, device_id, ts_s, " + ", ".join(f"{R(m, 2)} AS m{i}" for i, m in enumerate(_mono("Twb_C", "TRan_C", "rlg")) if i in (5, 13, 17, 26)) + f", {R('2*TRan_C*Twb_C*rlg', 4)} AS d16 FROM yr"))
+@query("g16_york_design", with_(Y_SQL, body="SELECT site, device_id, ts_s, " + ", ".join(f"{R(m, 2)} AS m{i}" for i, m in enumerate(_mono("Twb_C", "TRan_C", "rlg"))) + ", " + ", ".join(f"{R(m, 2)} AS d{i}" for i, m in enumerate(_slope("Twb_C", "TRan_C", "rlg"))) + " FROM yr"))
 def g16(spark, d):
     x, dx = md.york_design("Twb_C", "TRan_C", "rlg"), md.york_design_slope("Twb_C", "TRan_C", "rlg")
-    return _ts(york_rows(spark, d), *[x[i].alias(f"m{i}") for i in (5, 13, 17, 26)], dx[16].alias("d16"), _=2, d16=4)
+    return _ts(york_rows(spark, d), *[c.alias(f"m{i}") for i, c in enumerate(x)], *[c.alias(f"d{i}") for i, c in enumerate(dx)], _=2)
 
 
 @query("j18_york_open_loop", with_(Y_SQL, body=f"SELECT site, device_id, ts_s, {R('a')} AS TApp_s, {R('Twb_C+a')} AS TOut_s FROM (SELECT *, least(4e1, greatest(0e0, {york_sql('Twb_C', 'TRan_C', 'rlg')})) AS a FROM yr)"))
@@ -620,10 +637,10 @@ ser AS (SELECT concat(device_id, '/', candidate) AS series_id, N, RMSE AS rmse,
 pub AS (SELECT device_id, N, 'cvrmse' AS kind, round(CVRMSE_pct+137e-7,2) AS expected FROM mets WHERE N>0 AND candidate IN ('affinity_power','fan_affinity_power') AND CVRMSE_pct>1e-1)"""
 
 
-@query("k15_reconcile_series", with_(REC_SQL, body=f"""SELECT device_id, N, kind, expected, {R('gap', 4)} AS gap FROM (SELECT p.*, min(abs(cvrmse-expected)) AS gap FROM pub p JOIN ser USING (N) GROUP BY ALL) WHERE gap<=greatest(2e-2*abs(expected), 1e-3)"""))
+@query("k15_reconcile_series", with_(REC_SQL, body=f"""SELECT device_id, N, kind, expected, series_id, {R('gap', 4)} AS gap FROM (SELECT p.*, min(abs(cvrmse-expected)) AS gap, arg_min(series_id, (round(abs(cvrmse-expected),9), series_id)) AS series_id FROM pub p JOIN ser USING (N) GROUP BY ALL) WHERE gap<=greatest(2e-2*abs(expected), 1e-3)"""))
 def k15(spark, d):
     m = calibration(spark, d).where("N > 0")
     ser = m.select(F.concat("device_id", F.lit("/"), "candidate").alias("series_id"), "N", F.col("RMSE").alias("rmse"), F.col("CVRMSE_pct").alias("cvrmse"))
     pub = (m.where("candidate IN ('affinity_power', 'fan_affinity_power') AND CVRMSE_pct > 0.1")
            .select("device_id", "N", F.lit("cvrmse").alias("kind"), F.round(F.col("CVRMSE_pct") + 137e-7, 2).alias("expected")))
-    return rounded(ev.reconcile_series(ser, pub).drop("series_id"), gap=4, expected=2)
+    return rounded(ev.reconcile_series(ser, pub), gap=4, expected=2)

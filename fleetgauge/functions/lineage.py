@@ -30,15 +30,12 @@ def stage_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
-    ``spread`` is for a table that compute-heavy passes will read: when it came
-    out in fewer splits than there are cores (so it is small), it is written
-    again evenly. A large table already has more splits and is left alone.
+    ``spread`` is for a table that compute-heavy passes will read: it is dealt
+    out evenly over the session's shuffle partitions as it is written.
     """
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if spread:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and back.rdd.getNumPartitions() < cores:
-        return settle(back.repartition(cores), label)
-    return back
+    return spark.read.schema(df.schema).parquet(path)

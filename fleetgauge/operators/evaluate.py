@@ -79,7 +79,7 @@ def reconcile_series(series_scores: DataFrame, published: DataFrame, tolerance:
     """
     j = published.join(series_scores, "N")
     gap = F.abs(F.when(F.col("kind") == "rmse", F.col("rmse")).otherwise(F.col("cvrmse")) - F.col("expected"))
-    best = j.withColumn("gap", gap).groupBy("device_id", "N", "kind", "expected").agg(F.min_by(F.struct("series_id", "gap"), F.struct("gap", "series_id")).alias("b"))
+    best = j.withColumn("gap", gap).groupBy("device_id", "N", "kind", "expected").agg(F.min_by(F.struct("series_id", "gap"), F.struct(F.round("gap", 9), "series_id")).alias("b"))
     tol = F.greatest(dbl(tolerance) * F.abs("expected"), dbl(floor))
     return best.where(F.col("b.gap") <= tol).select("device_id", "N", "kind", "expected", "b.series_id", "b.gap")
 

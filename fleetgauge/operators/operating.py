@@ -49,7 +49,7 @@ def operating_mask(df: DataFrame, th: Thresholds | None = None) -> DataFrame:
     raw = is_true(F.col("run_signal") > th.run_on)
     dead = F.lit(th.dead_run_policy == "fallback")
     bit = F.when(~F.col("run_present"), True).when(~F.col("run_seen"), dead).otherwise(raw)
-    s = s.withColumn("bit", bit)
+    s = s.withColumn("bit", bit).withColumn("ended", F.col("run_present") & ~F.col("run_seen") & ~dead)
     s = s.withColumn("denied", F.col("bit") & is_true(liveness(df) <= F.col("live_floor")))
     return s.withColumn("operating", F.col("bit") & ~F.col("denied"))
 
@@ -58,7 +58,7 @@ def mask_flags(masked: DataFrame) -> DataFrame:
     """One row per device: stuck share and the run-signal flags, in order."""
     a = masked.groupBy(*KEYS, "equipment_type").agg(
         F.max("run_present").alias("p"), F.max("run_seen").alias("s"), F.max("live_floor").alias("live_floor"),
-        F.count(F.lit(1)).alias("rows"), F.count_if("bit").alias("bit_rows"), F.count_if("denied").alias("denied_rows"),
+        F.max("ended").alias("ended"), F.count(F.lit(1)).alias("rows"), F.count_if("bit").alias("bit_rows"), F.count_if("denied").alias("denied_rows"),
         F.count_if("operating").alias("on_rows"))
     stuck = F.coalesce(share_pct(F.col("denied_rows"), F.col("bit_rows")), dbl(0.0))
     channel = per_family(lambda p: p["liveness"][0] if p["liveness"] else None)
@@ -67,7 +67,7 @@ def mask_flags(masked: DataFrame) -> DataFrame:
         F.when(F.col("p") & ~F.col("s"), F.lit("run_signal_dead")),
         F.when(stuck >= STUCK_REPORT_PCT, F.concat(F.lit("run_signal_uncorroborated:"),
                                                    F.bround(stuck, 0).cast("int").cast("string"), F.lit("pct_by_"), channel)),
-        F.when(channel.isNotNull() & F.col("live_floor").isNull(), F.lit("liveness_channel_absent")))
+        F.when(channel.isNotNull() & F.col("live_floor").isNull() & ~F.col("ended"), F.lit("liveness_channel_absent")))
     return a.select(*KEYS, "equipment_type", "rows", "bit_rows", "on_rows", "denied_rows", "live_floor",
                     stuck.alias("stuck_pct"), F.array_compact(flags).alias("flags"))
 

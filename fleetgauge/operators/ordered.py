@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 DAY_SECONDS = 86400
 ROW_ID_CHUNK = 65536
+FIRST_CHUNK = -(1 << 62)  # rows without an order key come before all others
 
 
 def day_chunk(ts: str = "ts", chunk_seconds: int = DAY_SECONDS) -> Column:
@@ -31,7 +32,7 @@ def _prepare(df, keys, order, chunk):
     ck = [*keys, "_chunk"]
     inside = Window.partitionBy(*ck).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_chunk")
-    return df.withColumn("_chunk", chunk), ck, inside, across
+    return df.withColumn("_chunk", F.coalesce(chunk.cast("long"), F.lit(FIRST_CHUNK))), ck, inside, across
 
 
 def _with_summary(local, summary, ck):
