@@ -286,8 +286,6 @@ def _device_forms(width: int, min_samples: int, trim: float):
                 same = bool((x == y).all())
                 q, r_all = np.linalg.qr(v)
                 c_all = q.T @ w
-                # powers of u = (x - mean) / sx back to powers of x
-                shift = binomial * (-x.mean() / sx) ** np.maximum(steps, 0) / (sx ** np.arange(4.0))[:, None]
                 for o, form in enumerate(names):
                     if o == 0:
                         err = np.abs(y - (x @ y) / (x @ x) * x)
@@ -297,10 +295,14 @@ def _device_forms(width: int, min_samples: int, trim: float):
                     else:
                         k = o + 1
                         keep = kept(np.abs(w - v[:, :k] @ fit(r_all[:k, :k], c_all[:k])))
-                        q, r = np.linalg.qr(v[keep, :k])
+                        # on the kept rows' own scale: a trimmed spike must not squeeze the others together
+                        mid, wide = x[keep].mean(), np.ptp(x[keep]) or sx
+                        z = np.vander((x - mid) / wide, k, increasing=True)
+                        q, r = np.linalg.qr(z[keep])
                         beta = fit(r, q.T @ w[keep])
-                        err = np.abs(w - v[:, :k] @ beta) * sy
-                        raw = shift[:k, :k] @ beta * sy
+                        err = np.abs(w - z @ beta) * sy
+                        shift = binomial[:k, :k] * (-mid / wide) ** np.maximum(steps[:k, :k], 0) / (wide ** np.arange(float(k)))[:, None]
+                        raw = shift @ beta * sy
                         raw[0] += y.mean()
                     out.append((head["site"], head["device_id"], t, d, n, same, o, form, int((err > tolerance * sy).sum()), 100.0 * float(err.max()) / sy, [float(z) for z in raw]))
         return pd.DataFrame(out, columns=["site", "device_id", "t", "d", "n", "same", "form_ord", "form", "n_outlier_rows", "max_residual_pct_of_range", "coefficients"])

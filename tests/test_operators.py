@@ -121,6 +121,8 @@ def test_absent_and_dead_run_signal(spark):
     dead = frame(spark, 5, family="heat_exchanger", run_signal=0.0)
     assert operating.mask_flags(operating.operating_mask(dead)).first()["on_rows"] == 5
     assert operating.mask_flags(operating.operating_mask(dead, Thresholds(dead_run_policy="off"))).first()["on_rows"] == 0
+    chiller = frame(spark, 50, family="chiller", run_signal=0.0, load_pct=np.linspace(10, 90, 50))
+    assert operating.mask_flags(operating.operating_mask(chiller, Thresholds(dead_run_policy="off"))).first()["flags"] == ["run_signal_dead"]
     with pytest.raises(ValueError):
         operating.operating_mask(dead, Thresholds(dead_run_policy="x"))
 
@@ -222,6 +224,15 @@ def test_cubic_noise_and_duplicate(spark, local):
     assert not noisy[noisy.target == "power_W"].synthetic.any()
 
 
+@pytest.mark.parametrize("local", [None, 0])
+def test_spike_in_the_driver_does_not_spoil_the_refit(spark, local):
+    x = np.random.default_rng(6).uniform(28, 32, 3000)
+    x[1234] = 5000.0
+    f = _scan(spark, local, speed_Hz=x, power_W=7 - 3 * x + .2 * x ** 2 + .04 * x ** 3)
+    e = f[(f.target == "power_W") & (f.driver == "speed_Hz")].iloc[0]
+    assert e.form == "cubic" and e.synthetic and e.n_outlier_rows == 0 and e.max_residual_pct_of_range < 1e-3
+
+
 def test_status_contradiction_does_not_mask_identity(spark):
     x = np.random.default_rng(2).uniform(20, 50, 3000)
     y = 1293.2 * x
