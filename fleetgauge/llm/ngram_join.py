@@ -16,10 +16,12 @@ the bands.
 
 Equal sets are one set. Sets filed under one entry are linked through its
 smallest one first; candidates are checked by size and by parity bitmaps, whose
-distance never exceeds the true difference, then on the whole sets. After
-components are formed, sets that share an entry but no component are compared
-with each other in blocks, again bitmap first, so no link is lost while copies
-are not expanded into all pairs.
+distance never exceeds the true difference. Sets that share an entry but would
+not be connected so are compared with each other in blocks, by bitmaps, and of
+the pairs found only those that connect more are taken. Whole sets then verify
+these pairs. After that, every pair that shares an entry but no component is
+compared and verified, so no link is lost while copies are not expanded into all
+pairs.
 
 Words are runs of bytes other than space, tab to carriage return, with A-Z
 lowered; a text with fewer than n words is one shingle. Tokens and sets are
@@ -290,6 +292,31 @@ def _meet(t: pa.Table) -> pa.Table:
                      "members": pa.array([*[None] * len(pairs), *members], pa.list_(pa.int64()))})
 
 
+def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of links that join the same nodes as all links do, nearest first: every round each part takes its nearest way out."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, live = at[:len(a)], at[len(a):], np.arange(len(a))
+    label, rank, out = np.arange(len(nodes)), np.argsort(np.argsort(far, kind="stable"), kind="stable"), []
+    while True:
+        apart = label[x[live]] != label[y[live]]
+        live = live[apart]
+        if not len(live):
+            return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, label[x[live]], rank[live])
+        np.minimum.at(best, label[y[live]], rank[live])
+        taken = live[np.isin(rank[live], best)]
+        out.append(taken)
+        while True:
+            low = np.minimum(label[x[taken]], label[y[taken]])
+            before = label.copy()
+            np.minimum.at(label, label[x[taken]], low)
+            np.minimum.at(label, label[y[taken]], low)
+            label = label[label]
+            if (label == before).all():
+                break
+
+
 def _near(na, nb, words, num, den):
     """Sizes and bitmaps allow the threshold; sums over the 64-bit words."""
     far = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(words)])
@@ -334,10 +361,11 @@ class Join:
         both = both.select("a", "b", common("__x", "__y").alias("i"), (F.octet_length("__x") / 8 + F.octet_length("__y") / 8).cast("long").alias("t"))
         return both.filter(self.den * F.col("i") >= self.num * (F.col("t") - F.col("i"))).select("a", "b")
 
-    def apart(self, groups: DataFrame, parts: DataFrame) -> DataFrame:
+    def apart(self, groups: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
         """Pairs of members of one entry that are in different components and that sizes and bitmaps do not rule out.
 
-        Large entries are compared block by block.
+        Large entries are compared block by block. ``few``: of each block only as many, and the nearest, as connect the
+        components that all would.
         """
         num, den = self.num, self.den
         groups = groups.withColumn("__g", F.xxhash64("members"))
@@ -356,7 +384,7 @@ class Join:
             w = np.stack([t.column(c).to_numpy() for c in words], axis=1).view(np.uint64)
             i, j = t.column("__i")[0].as_py(), t.column("__j")[0].as_py()
             left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            a, b = [], []
+            a, b, d = [], [], []
             for x in range(0, len(left), 256):
                 p = left[x:x + 256]
                 total = n[p][:, None] + n[right][None]
@@ -365,9 +393,14 @@ class Join:
                 for k in range(len(words)):
                     far += np.bitwise_count(w[p, k][:, None] ^ w[right, k][None])
                 u, v = np.nonzero(ok & (far * (den + num) <= total * (den - num)))
-                a.append(ids[p[u]])
-                b.append(ids[right[v]])
-            a, b = np.concatenate(a), np.concatenate(b)
+                a.append(p[u])
+                b.append(right[v])
+                d.append(far[u, v])
+            a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+            if few:
+                at = forest(root[a], root[b], d)
+                a, b = a[at], b[at]
+            a, b = ids[a], ids[b]
             return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
         return rows.select("__g", "__i", "__j", "__mine", "set_id", "root", "n_shingles", *words).groupBy("__g", "__i", "__j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -375,9 +408,13 @@ class Join:
     def linked(self, filed: DataFrame) -> DataFrame:
         """(node, root): components of the sets, given their packed entries."""
         met = settle(filed.groupBy("part").applyInArrow(_meet, "a long, b long, members array<long>"), "met")
-        first = settle(self.verified(settle(self.near(met.filter("members IS NULL").select("a", "b").distinct()), "near")), "linked")
-        parts = settle(components(first), "parts")
-        second = self.verified(settle(self.apart(met.filter("members IS NOT NULL").select("members").distinct(), parts), "near"))
+        groups = met.filter("members IS NOT NULL").select("members").distinct()
+        near = settle(self.near(met.filter("members IS NULL").select("a", "b").distinct()), "near")
+        # as if all of these were alike, which nearly all are: what else would connect
+        more = self.apart(groups, settle(components(near), "parts"), few=True)
+        first = settle(self.verified(settle(near.union(more).distinct(), "near")), "linked")
+        # whatever still lies apart is tried in full
+        second = self.verified(settle(self.apart(groups, settle(components(first), "parts"), few=False), "near"))
         return components(first.union(second))
 
 
