@@ -56,3 +56,9 @@ def test_ordered_scans_cross_chunks(spark):
     pd.testing.assert_series_equal(got.cl, p.v.ffill(), check_names=False)
     assert np.allclose(got.rt, p.v.fillna(0).cumsum())
     assert got.has_previous.sum() == len(p) - 1
+
+
+def test_rows_without_an_order_key_come_first(spark):
+    d = spark.createDataFrame([("a", 5), ("a", None), ("a", 200000), ("b", None), ("b", 1)], "k string, i long")
+    got = {(r.k, r.i): r.rn for r in ordered.ordinal(d, ["k"], ["i"], ordered.id_chunk("i")).collect()}
+    assert got == {("a", None): 0, ("a", 5): 1, ("a", 200000): 2, ("b", None): 0, ("b", 1): 1}
