@@ -35,8 +35,9 @@ SAMPLE = 16384
 #: Vectors a partition should hold, most partitions, hidden units, passes over the sample, neighbours in the graph.
 PART_SIZE, MOST_PARTS, HIDDEN, EPOCHS, DEGREE = 256, 1024, 128, 20, 20
 #: Share of the sample's neighbours that the visited partitions must hold.
-COVERAGE = 0.97
-BASE_BLOCK, QUERY_BLOCK = 4096, 1024
+COVERAGE = 0.94
+#: Vectors and queries that meet in a task; partitions that lie side by side are dealt out together up to this size.
+BASE_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
 def graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -201,41 +202,62 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     sample = np.stack([np.frombuffer(r[0], kind) for r in entry.orderBy(F.xxhash64("vec"), "vid").limit(SAMPLE).select("vec").collect()]) if n else np.zeros((0, 1), kind)
     router = Router.fit(sample, parts, coverage) if n else None
 
+    groups = 1
+    while groups < parts and groups * BASE_BLOCK < n:
+        groups *= 2
+    per_group = parts // groups
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([np.frombuffer(v.as_py(), kind) for v in batch.column(1)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(router.place(x).astype(np.int32))], ["vid", "vec", "part"])
+                p = router.place(np.stack([np.frombuffer(v.as_py(), kind) for v in batch.column(1)])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p // per_group, pa.int32()), pa.array(p[:, None].tolist(), pa.list_(pa.int32()))], ["vid", "vec", "grp", "parts"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each group of partitions that a query visits, with those of its partitions."""
         for batch in batches:
             if batch.num_rows:
-                to = router.route(np.stack([np.frombuffer(v.as_py(), kind) for v in batch.column(1)]))
-                at = np.repeat(np.arange(len(to)), to.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(to.ravel().astype(np.int32))], ["vid", "vec", "part"])
-    base = entry.select("vid", "vec").mapInArrow(place, "vid long, vec binary, part int")
-    asked = entry.filter("asks").select("vid", "vec").mapInArrow(route, "vid long, vec binary, part int")
+                to = np.sort(router.route(np.stack([np.frombuffer(v.as_py(), kind) for v in batch.column(1)])), axis=1)
+                at, grp, visited = [], [], []
+                for i, t in enumerate(to):
+                    for g in np.unique(t // per_group).tolist():
+                        at.append(i)
+                        grp.append(g)
+                        visited.append(t[t // per_group == g].tolist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(grp, pa.int32()), pa.array(visited, pa.list_(pa.int32()))], ["vid", "vec", "grp", "parts"])
+    kinds = "vid long, vec binary, grp int, parts array<int>"
+    base, asked = entry.select("vid", "vec").mapInArrow(place, kinds), entry.filter("asks").select("vid", "vec").mapInArrow(route, kinds)
     # at most MOST_PARTS rows
-    shares = base.groupBy("part").agg(F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias("nb")).join(
-        asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("nq")), "part")
+    shares = base.groupBy("grp").agg(F.ceil(F.count("*") / BASE_BLOCK).cast("int").alias("nb")).join(
+        asked.groupBy("grp").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("nq")), "grp")
     shares = F.broadcast(settle(shares, "shares"))
-    deal = lambda d, mine, other: (d.join(shares, "part").withColumn(mine[0], F.pmod(F.xxhash64("vid"), F.col(mine[1])).cast("int"))
-                                   .withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).select("part", "b", "q", "vid", "vec"))
+    deal = lambda d, mine, other: (d.join(shares, "grp").withColumn(mine[0], F.pmod(F.xxhash64("vid"), F.col(mine[1])).cast("int"))
+                                   .withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).select("grp", "b", "q", "vid", "vec", "parts"))
 
     def rank(asks: pa.Table, have: pa.Table) -> pa.Table:
-        out = []
+        """The k + 1 best of a block for each query, over the partitions it visits."""
+        found: dict[int, list] = {}
         if asks.num_rows and have.num_rows:
             x, y = (np.stack([np.frombuffer(v.as_py(), kind) for v in t.column("vec")]).astype(np.float64) for t in (asks, have))
-            ids = have.column("vid").to_numpy()
-            for i in range(0, len(x), 128):
-                s = x[i:i + 128] @ y.T
-                for q, line in zip(asks.column("vid")[i:i + 128].to_pylist(), s, strict=True):
-                    at, best = _top(k + 1, line, ids)
-                    out.append((np.full(len(at), q, np.int64), ids[at], best))
+            ids, askers = have.column("vid").to_numpy(), asks.column("vid").to_numpy()
+            home = np.array([p[0] for p in have.column("parts").to_pylist()])
+            visits = asks.column("parts").to_pylist()
+            who, where = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate(visits)
+            for p in np.unique(home).tolist():
+                q, h = who[where == p], np.flatnonzero(home == p)
+                for i in range(0, len(q), 128):
+                    for a, line in zip(q[i:i + 128].tolist(), x[q[i:i + 128]] @ y[h].T, strict=True):
+                        at, best = _top(k + 1, line, ids[h])
+                        found.setdefault(a, []).append((ids[h[at]], best))
+        out = []
+        for a, lists in found.items():
+            cand, best = (np.concatenate(z) for z in zip(*lists, strict=True))
+            at, best = _top(k + 1, best, cand)
+            out.append((np.full(len(at), askers[a], np.int64), cand[at], best))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"asker": a, "vid": b, "score": c})
     left, right = deal(asked, ("q", "nq"), ("b", "nb")), deal(base, ("b", "nb"), ("q", "nq"))
-    found = left.groupBy("part", "b", "q").cogroup(right.groupBy("part", "b", "q")).applyInArrow(rank, "asker long, vid long, score double")
+    found = left.groupBy("grp", "b", "q").cogroup(right.groupBy("grp", "b", "q")).applyInArrow(rank, "asker long, vid long, score double")
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "vid")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     each = found.join(entry.select("vid", "ids"), "vid").select("asker", "score", F.explode("ids").alias("id"))
