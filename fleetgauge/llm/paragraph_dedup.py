@@ -1,9 +1,12 @@
 """Removal of paragraphs that repeat, exactly or nearly, in other documents.
 
-A paragraph is a line of at least ``min_words`` words. Its five-word shingles are
-hashed to a MinHash signature cut into bands; the number of bands and of rows in
+A paragraph is a line of at least ``min_words`` words and, in a text that has blank
+lines, also what stands between two of them, if that is more than one line: a
+wrapped paragraph is compared as a whole however it is wrapped. Its five-word
+shingles are hashed to a MinHash signature cut into bands; the number of bands and of rows in
 a band is tuned so that a pair at the threshold shares a band with the wanted
-probability. Equal paragraphs count once. Those that share a band are linked
+probability. Equal paragraphs count once; sets so small that only an equal one
+reaches the threshold have no bands. Those that share a band are linked
 through the band's smallest one, then across components within a band, and every
 link is verified by exact Jaccard similarity; components of the links are
 clusters. A paragraph is removed if its cluster has a paragraph in a document
@@ -38,13 +41,16 @@ def tune(threshold: float, recall: float = RECALL, most: int = MOST_BANDS) -> tu
     return most, 1
 
 
-def band_hashes(bands: int, rows: int):
+def band_hashes(bands: int, rows: int, least: int = 1):
+    """Hashes of the bands of a set of at least ``least`` tokens."""
     rng = np.random.default_rng(17)
     mul = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
     weight = rng.integers(1, 1 << 62, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def hashes(s: np.ndarray) -> Iterator[np.ndarray]:
+        if len(s) < least:
+            return
         low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(s), 1024):
             x = s[i:i + 1024, None] * mul + add
@@ -54,38 +60,53 @@ def band_hashes(bands: int, rows: int):
     return hashes
 
 
+def units(t: str, min_words: int) -> Iterator[tuple[int, int, str]]:
+    """(first line, line after the last, paragraph) of a text."""
+    lines = t.split("\n")
+    for j, p in enumerate(lines):
+        if len(p.split()) >= min_words:
+            yield j, j + 1, p
+    ends = [-1, *(j for j, p in enumerate(lines) if not p.strip()), len(lines)]
+    if len(ends) > 2:
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            if j - i > 2 and len((p := " ".join(lines[i + 1:j])).split()) >= min_words:
+                yield i + 1, j, p
+
+
 def paragraphs(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(place: struct<key, line>, paragraph) of all lines long enough."""
+    """(place: struct<key, line, stop>, paragraph) of all paragraphs long enough."""
     kind = dict(df.dtypes)[key]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                who, line, out = [], [], []
+                who, line, stop, out = [], [], [], []
                 for i, t in enumerate(batch.column(1)[a:b].to_pylist()):
-                    for j, p in enumerate(t.split("\n")):
-                        if len(p.split()) >= min_words:
-                            who.append(a + i)
-                            line.append(j)
-                            out.append(p)
-                place = pa.StructArray.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(line, pa.int32())], ["key", "line"])
+                    for j, k, p in units(t, min_words):
+                        who.append(a + i)
+                        line.append(j)
+                        stop.append(k)
+                        out.append(p)
+                place = pa.StructArray.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(line, pa.int32()), pa.array(stop, pa.int32())], ["key", "line", "stop"])
                 yield pa.RecordBatch.from_arrays([place, pa.array(out, pa.string())], ["place", "paragraph"])
     rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.col(text))
-    return rows.mapInArrow(cut, f"place struct<key: {kind}, line: int>, paragraph string")
+    return rows.mapInArrow(cut, f"place struct<key: {kind}, line: int, stop: int>, paragraph string")
 
 
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, min_words: int = 20) -> DataFrame:
+def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, min_words: int = 5) -> DataFrame:
     """(key, removed): the lines, counted from 0, to be removed from each document that has any."""
     rows = paragraphs(df, key, text, min_words)
     job = Join(rows, "place", "paragraph", n, num, den)
     bands, per_band = tune(num / den)
-    sets = job.sets.count()
-    filed = file_entries(rows, "paragraph", n, band_hashes(bands, per_band), max(1, math.ceil(16 * bands * sets / PART_BYTES)))
-    root = job.heads.select(F.col("place.key").alias(key), F.col("place.line").alias("line"), "set_id").join(
+    least = math.ceil(num / max(1, den - num))  # a smaller set and any but an equal one are further apart
+    sets = job.sets.filter(F.col("n_shingles") >= least).count()
+    filed = file_entries(rows, "paragraph", n, band_hashes(bands, per_band, least), max(1, math.ceil(16 * bands * sets / PART_BYTES)))
+    root = job.heads.select(F.col("place.key").alias(key), F.col("place.line").alias("line"), F.col("place.stop").alias("stop"), "set_id").join(
         job.linked(filed).select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    root = settle(root.select(key, "line", "root"), "clusters")
+    root = settle(root.select(key, "line", "stop", "root"), "clusters")
     first = root.groupBy("root").agg(F.min(key).alias("__first"), F.max(key).alias("__last")).filter("__first < __last")
-    return root.join(first, "root").filter(F.col(key) > F.col("__first")).groupBy(key).agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = root.join(first, "root").filter(F.col(key) > F.col("__first")).select(key, F.explode(F.sequence("line", F.col("stop") - 1)).alias("line"))
+    return gone.groupBy(key).agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

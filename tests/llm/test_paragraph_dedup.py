@@ -4,6 +4,7 @@ import pytest
 
 from brute import shingles
 from fleetgauge.llm import paragraph_dedup as P
+from fleetgauge.llm.queries import QUERIES
 
 
 def test_bands_reach_the_recall():
@@ -65,3 +66,28 @@ def test_edges(spark):
     assert sorted((r.doc_id, r.removed, r.text) for r in out if r.doc_id is not None) == [(2, [], f"x\n{p}"), (4, [0], "short"), (4, [0], "short"), (9, [1, 2], "short")]
     assert [r.text for r in out if r.doc_id is None] == [p]
     assert P.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_of_the_query_match_brute_force(spark, tmp_path):
+    r = random.Random(11)
+    base = [" ".join(f"v{r.randrange(400)}" for _ in range(r.choice([1, 3, 5, 7, 8, 9, 12, 19]))) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        lines = [r.choice(base) + r.choice(["", "", " more"]) for _ in range(r.randint(1, 4))]
+        rows.append((i, "\n".join(lines)))
+    want = plain(rows, 1)
+    assert any(len(t.split("\n")[j].split()) < 5 for k, t in rows for j in want.get(k, ()))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op8_paragraph_dedup"](spark, str(tmp_path)).collect()
+    assert {x.doc_id: x.n_removed for x in out if x.n_removed} == {k: len(v) for k, v in want.items()}
+    got = P.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: set(x.removed) for x in got} == plain(rows, 5)
+
+
+def test_wrapped_paragraphs_join(spark):
+    w = [f"w{i}" for i in range(60)]
+    def wrap(n):
+        return "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+    rows = [(1, f"one\n\n{wrap(7)}\n\nend"), (2, f"two\n\n{wrap(11)}\n \nlast"), (3, f"three\n{' '.join(w)}")]
+    got = P.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.removed for x in got} == {2: [2, 3, 4, 5, 6, 7], 3: [1]}
