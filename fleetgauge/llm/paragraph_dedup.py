@@ -12,6 +12,12 @@ link is verified by exact Jaccard similarity; components of the links are
 clusters. A paragraph is removed if its cluster has a paragraph in a document
 with a smaller key, so every cluster stays whole in its first document.
 
+Passages inside longer paragraphs: a paragraph is also cut into sentences, and
+sentences of more than ``LONG`` words behind words chosen by their hash, so that
+equal passages are cut alike. The pieces meet in the same bands as the paragraphs.
+Pieces in a row that all have a place in an earlier document are cut out if they
+have at least ``passage`` words together.
+
 Null texts are empty. Rows with a null key take no part and are kept whole, rows
 with equal keys do not remove each other's paragraphs. Shorter lines always stay.
 """
@@ -19,17 +25,25 @@ with equal keys do not remove each other's paragraphs. Shorter lines always stay
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import mix, settle, slices
 from fleetgauge.llm.ngram_join import PART_BYTES, Join, file_entries
 
 MOST_BANDS, RECALL = 20, 0.999
+#: Words of a sentence beyond which it is cut; one word in so many has a cut behind it.
+LONG, CHOSEN = 40, 8
+_SENTENCE = re.compile(r"[.!?\u2026]+[\"')\]\u201d\u2019\u00bb]*\s+|[\u3002\uff01\uff1f]+\s*")
+_WORD = re.compile(r"\S+\s*")
+_PLACE = "line int, stop int, nth int, words int, at int, end int, sum long"
+_CUT = "struct<line: int, stop: int, sum: long, at: int, end: int>"
 
 
 def tune(threshold: float, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -60,61 +74,118 @@ def band_hashes(bands: int, rows: int, least: int = 1):
     return hashes
 
 
-def units(t: str, min_words: int) -> Iterator[tuple[int, int, str]]:
-    """(first line, line after the last, paragraph) of a text."""
+def pieces(p: str) -> list[tuple[int, int]]:
+    """(start, stop) of the sentences of a paragraph, the long ones cut at chosen words; together they are all of it."""
+    ends = sorted({m.end() for m in _SENTENCE.finditer(p)} | {len(p)})
+    out = []
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        at = [a]
+        if b - a > 2 * LONG and len(p[a:b].split()) > LONG:
+            at += [m.end() for m in _WORD.finditer(p, a, b) if zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) % CHOSEN == 0 and m.end() < b]
+        out += zip(at, [*at[1:], b], strict=True)
+    return out
+
+
+def units(t: str, min_words: int) -> Iterator[tuple]:
+    """(first line, line after the last, number, words, start, stop, checksum, text) of paragraphs (number -1) and of their pieces.
+
+    Start and stop are places in the text; the checksum is that of the paragraph.
+    """
     lines = t.split("\n")
-    for j, p in enumerate(lines):
-        if len(p.split()) >= min_words:
-            yield j, j + 1, p
+    start = [0]
+    for p in lines:
+        start.append(start[-1] + len(p) + 1)
     ends = [-1, *(j for j, p in enumerate(lines) if not p.strip()), len(lines)]
-    if len(ends) > 2:
-        for i, j in zip(ends[:-1], ends[1:], strict=True):
-            if j - i > 2 and len((p := " ".join(lines[i + 1:j])).split()) >= min_words:
-                yield i + 1, j, p
+    blocks = [(i + 1, j) for i, j in zip(ends[:-1], ends[1:], strict=True) if j > i + 1] if len(ends) > 2 else []
+    for j, k in [*((j, j + 1) for j in range(len(lines))), *((j, k) for j, k in blocks if k - j > 1)]:
+        p = " ".join(lines[j:k])
+        if (n := len(p.split())) >= min_words:
+            yield j, k, -1, n, start[j], start[k] - 1, 0, p
+    for j, k in blocks or ((j, j + 1) for j in range(len(lines))):
+        p = " ".join(lines[j:k])
+        if len(cut := pieces(p)) > 1:
+            check = zlib.crc32(p.encode("utf-8", "surrogatepass"))
+            for i, (x, y) in enumerate(cut):
+                if n := len(p[x:y].split()):
+                    yield j, k, i, n, start[j] + x, start[j] + y, check, p[x:y]
 
 
 def paragraphs(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(place: struct<key, line, stop>, paragraph) of all paragraphs long enough."""
+    """(place: struct<key, line, stop, nth, words, at, end, sum>, paragraph) of all paragraphs long enough and of all pieces."""
     kind = dict(df.dtypes)[key]
+    names = [c.split()[0] for c in _PLACE.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                who, line, stop, out = [], [], [], []
-                for i, t in enumerate(batch.column(1)[a:b].to_pylist()):
-                    for j, k, p in units(t, min_words):
-                        who.append(a + i)
-                        line.append(j)
-                        stop.append(k)
-                        out.append(p)
-                place = pa.StructArray.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(line, pa.int32()), pa.array(stop, pa.int32())], ["key", "line", "stop"])
+                rows = [(a + i, *u) for i, t in enumerate(batch.column(1)[a:b].to_pylist()) for u in units(t, min_words)]
+                who, *cols, out = zip(*rows, strict=True) if rows else [[]] * (len(names) + 2)
+                cols = [pa.array(c, pa.int64() if x == "sum" else pa.int32()) for x, c in zip(names, cols, strict=True)]
+                place = pa.StructArray.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), *cols], ["key", *names])
                 yield pa.RecordBatch.from_arrays([place, pa.array(out, pa.string())], ["place", "paragraph"])
     rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.col(text))
-    return rows.mapInArrow(cut, f"place struct<key: {kind}, line: int, stop: int>, paragraph string")
+    return rows.mapInArrow(cut, f"place struct<key: {kind}, {_PLACE.replace(' ', ': ').replace(',:', ',')}>, paragraph string")
 
 
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, min_words: int = 5) -> DataFrame:
-    """(key, removed): the lines, counted from 0, to be removed from each document that has any."""
+def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, min_words: int = 5, passage: int = 20) -> DataFrame:
+    """(key, removed, cut): lines, counted from 0, and passages (line, stop, sum, at, end) to be removed from each document that has any."""
     rows = paragraphs(df, key, text, min_words)
     job = Join(rows, "place", "paragraph", n, num, den)
     bands, per_band = tune(num / den)
     least = math.ceil(num / max(1, den - num))  # a smaller set and any but an equal one are further apart
     sets = job.sets.filter(F.col("n_shingles") >= least).count()
     filed = file_entries(rows, "paragraph", n, band_hashes(bands, per_band, least), max(1, math.ceil(16 * bands * sets / PART_BYTES)))
-    root = job.heads.select(F.col("place.key").alias(key), F.col("place.line").alias("line"), F.col("place.stop").alias("stop"), "set_id").join(
+    root = job.heads.select(F.col("place").alias("__place"), "set_id").join(
         job.linked(filed).select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    root = settle(root.select(key, "line", "stop", "root"), "clusters")
-    first = root.groupBy("root").agg(F.min(key).alias("__first"), F.max(key).alias("__last")).filter("__first < __last")
-    gone = root.join(first, "root").filter(F.col(key) > F.col("__first")).select(key, F.explode(F.sequence("line", F.col("stop") - 1)).alias("line"))
-    return gone.groupBy(key).agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    root = settle(root.select("__place", "root"), "clusters")
+    first = root.groupBy("root").agg(F.min("__place.key").alias("__first"), F.max("__place.key").alias("__last")).filter("__first < __last")
+    gone = settle(root.join(first, "root").filter(F.col("__place.key") > F.col("__first")).select("__place.*"), "gone").withColumnRenamed("key", "__key")
+    whole = gone.filter("nth < 0").select("__key", F.explode(F.sequence("line", F.col("stop") - 1)).alias("__line"), F.lit(None).cast(_CUT).alias("__cut"))
+    # pieces that follow each other in one paragraph: their number and their rank in it grow alike
+    rank = F.row_number().over(Window.partitionBy("__key", "line", "sum").orderBy("nth"))
+    run = gone.filter("nth >= 0").distinct().withColumn("__run", F.col("nth") - rank).groupBy("__key", "line", "stop", "sum", "__run")
+    run = run.agg(F.sum("words").alias("__words"), F.min("at").alias("at"), F.max("end").alias("end")).filter(F.col("__words") >= passage)
+    inside = run.select("__key", F.lit(None).cast("int").alias("__line"), F.struct("line", "stop", "sum", "at", "end").cast(_CUT).alias("__cut"))
+    return whole.union(inside).groupBy(F.col("__key").alias(key)).agg(F.array_sort(F.collect_set("__line")).alias("removed"), F.array_sort(F.collect_set("__cut")).alias("cut"))
+
+
+def _apply(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(removed, kept): lines that are gone and the text without them and without the passages."""
+    def kept(t: str | None, removed: list[int], cuts: list[dict]) -> dict:
+        if t is None or not (removed or cuts):
+            return {"removed": removed, "kept": t}
+        lines, gone = t.split("\n"), set(removed)
+        start = [0]
+        for p in lines:
+            start.append(start[-1] + len(p) + 1)
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for c in cuts:  # of this row, not of another one with its key
+            if zlib.crc32(" ".join(lines[c["line"]:c["stop"]]).encode("utf-8", "surrogatepass")) == c["sum"]:
+                for j in range(c["line"], min(c["stop"], len(lines))):
+                    if (a := max(c["at"], start[j])) < (b := min(c["end"], start[j + 1] - 1)):
+                        spans.setdefault(j, []).append((a - start[j], b - start[j]))
+        out = []
+        for j, p in enumerate(lines):
+            if j in spans and j not in gone:
+                for a, b in sorted(spans[j], reverse=True):
+                    p = p[:a] + p[b:]
+                p = p.rstrip()
+                if not p:
+                    gone.add(j)
+            if j not in gone:
+                out.append(p)
+        return {"removed": sorted(gone), "kept": "\n".join(out)}
+    kind = pa.struct([("removed", pa.list_(pa.int32())), ("kept", pa.string())])
+    for t, removed, cuts in batches:
+        yield pa.array([kept(*x) for x in zip(t.to_pylist(), removed.to_pylist(), cuts.to_pylist(), strict=True)], kind)
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows with their repeated paragraphs taken out, and ``n_paragraphs`` (lines) and ``removed`` (their numbers)."""
-    gone = repeated(df, key, text, **options).withColumnRenamed(key, "__key")
-    out = df.join(gone.select("__key", F.col("removed").alias("__removed")), F.col(key) == F.col("__key"), "left").drop("__key")
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    removed = F.coalesce("__removed", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__removed", i)), "\n")
-    return out.withColumns({"n_paragraphs": F.size(lines).cast("long"), "removed": removed,
-                            text: F.when(F.col("__removed").isNotNull(), kept).otherwise(F.col(text))}).drop("__removed")
+    """The rows with their repeated paragraphs and passages taken out, ``n_paragraphs`` (lines) and ``removed`` (numbers of the lines that are gone)."""
+    gone = repeated(df, key, text, **options).select(F.col(key).alias("__key"), F.col("removed").alias("__removed"), F.col("cut").alias("__cut"))
+    out = df.join(gone, F.col(key) == F.col("__key"), "left").drop("__key")
+    apply = F.arrow_udf(_apply, "struct<removed: array<int>, kept: string>")
+    out = out.withColumn("__out", F.when(F.col("__removed").isNotNull(), apply(text, F.coalesce("__removed", F.array().cast("array<int>")), F.coalesce("__cut", F.array().cast(f"array<{_CUT}>")))))
+    n = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long")
+    return out.withColumns({"n_paragraphs": n, "removed": F.coalesce("__out.removed", F.array().cast("array<int>")),
+                            text: F.when(F.col("__out").isNotNull(), F.col("__out.kept")).otherwise(F.col(text))}).drop("__removed", "__cut", "__out")

@@ -91,3 +91,32 @@ def test_wrapped_paragraphs_join(spark):
     rows = [(1, f"one\n\n{wrap(7)}\n\nend"), (2, f"two\n\n{wrap(11)}\n \nlast"), (3, f"three\n{' '.join(w)}")]
     got = P.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.removed for x in got} == {2: [2, 3, 4, 5, 6, 7], 3: [1]}
+
+
+def test_passages_inside_longer_lines(spark):
+    r = random.Random(3)
+    def sentence(n, end="."):
+        return " ".join(f"u{r.randrange(10**6)}" for _ in range(n)) + end
+    passage = " ".join([sentence(12), sentence(3), sentence(14), sentence(21)])
+    flat = sentence(120, "")  # no sentence ends
+    inner = " ".join(flat.split()[20:110])
+    short = sentence(9)
+    rows = [(1, f"{sentence(60)} {passage} {sentence(40)}"), (2, (a := sentence(45)) + f" {passage} " + (b := sentence(50))),
+            (3, passage), (4, flat), (5, sentence(30, "") + " " + inner + " " + sentence(30, "")),
+            (6, f"{sentence(30)} {short} {sentence(30)}"), (7, f"{sentence(30)} {short} {sentence(30)}")]
+    texts = dict(rows)
+    out = {x.doc_id: x for x in P.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=1).collect()}
+    assert all(out[k].text == texts[k] and not out[k].removed for k in (1, 4, 6, 7))
+    assert out[2].text == f"{a} {b}" and out[2].removed == []
+    assert out[3].text == "" and out[3].removed == [0]
+    left = out[5].text.split()
+    assert left[:30] == texts[5].split()[:30] and left[-30:] == texts[5].split()[-30:]
+    assert len(left) - 60 < 45  # what is left of the 90 lies before the first and behind the last chosen word
+
+
+def test_rows_with_one_key_keep_their_own_text(spark):
+    s = " ".join(f"w{i}" for i in range(25)) + "."
+    head = " ".join(f"h{i}" for i in range(30)) + "."
+    rows = [(1, s), (2, f"{head} {s}"), (2, "quite another text of the key. " + " ".join(f"x{i}" for i in range(40)) + ".")]
+    out = P.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(x.text for x in out) == sorted([s, head, rows[2][1]])
