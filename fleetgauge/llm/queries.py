@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, packing, paragraph_dedup, piece_bpe, quality_crf, suffix_dedup, warc
+from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, packing, paragraph_dedup, periodic_runs, piece_bpe, quality_crf, suffix_dedup, warc
 from fleetgauge.llm.common import held_out, new_folder, small_batches, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -129,3 +129,27 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paragraph_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return out.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _looped(text: str, h: Column) -> Column:
+    """The text with its words from number a on replaced by those at a, a + 1, ... a + p - 1 over and over; a and p follow from ``h``."""
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    g = F.floor(h / 10)
+
+    def loop(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.element_at(w, (a + (i - a) % p + 1).cast("int")))), " "))
+    return F.when(h % 10 == 0, F.transform(F.array(words), loop)[0]).otherwise(F.col(text))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text", _looped("text", F.crc32(F.col("doc_id").cast("string").cast("binary"))))
+    out = periodic_runs.find_runs(docs, least=6, times=4)
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    out = out.withColumn("best", periodic_runs.longest("runs"))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                      F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
