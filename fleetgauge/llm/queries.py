@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, packing, paragraph_dedup, periodic_runs, piece_bpe, quality_crf, suffix_dedup, warc
+from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, packing, paragraph_dedup, periodic_runs, piece_bpe, quality_crf, suffix_dedup, target_resample, warc
 from fleetgauge.llm.common import held_out, new_folder, small_batches, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -153,3 +153,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("best", periodic_runs.longest("runs"))
     return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
                       F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_target_resample")
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return target_resample.resample(docs, target, share=(5, 100), min_words=20)
