@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, packing, paragraph_dedup, periodic_runs, piece_bpe, quality_crf, suffix_dedup, target_resample, warc
+from fleetgauge.llm import fingerprint_lz, language_id, neighbours, ngram_join, odd_minhash, packing, paragraph_dedup, periodic_runs, piece_bpe, quality_crf, suffix_dedup, target_resample, warc
 from fleetgauge.llm.common import held_out, new_folder, small_batches, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -107,15 +107,20 @@ def op7_fingerprint_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-@query("op4_ngram_join", f"""
+def _groups_sql(n: int, num: int, more: str = "") -> str:
+    """Components of all pairs of documents whose ``n``-word shingle sets reach a similarity of ``num`` per cent."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {n} THEN [array_to_string(w[i:i+{n - 1}], ' ') for i in range(1, len(w) - {n - 2})] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
 n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s), u AS (SELECT doc_id, unnest(g) AS g FROM s),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM u x JOIN u y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {num} * (x.n + y.n - i)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
-SELECT n.doc_id, n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2""")
+SELECT n.doc_id, n AS n_shingles, min(r.b) AS component_id{more} FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2"""
+
+
+@query("op4_ngram_join", _groups_sql(4, 85))
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
 
@@ -159,3 +164,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
     return target_resample.resample(docs, target, share=(5, 100), min_words=20)
+
+
+@query("op12_odd_minhash", _groups_sql(2, 80, ", n.doc_id = min(r.b) AS kept"))
+def op12_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_minhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), n=2, num=80, den=100)
