@@ -147,15 +147,54 @@ def c15(spark, d):
     return ob.duplicate_channels(cells(spark, d), SCAN_ROLES)
 
 
-@query("c16_trimmed_fit")
+# the fits of the library in sums: orthogonal polynomials q1, q2, q3 of a centred driver, fitted on all rows, then on the rows kept
+_K = "site, device_id, target, driver"
+_U = "USING (device_id, target, driver)"
+
+
+def _steps(p: str, rows: str, keys: str, z: str, w: str) -> list[str]:
+    """CTEs ``{p}a``, ``{p}b``, ``{p}c``: sums that orthogonalise 1, z, z^2, z^3 over ``rows`` and fit w. Sums of z are zero."""
+    join = f"USING ({keys})"
+    q2 = f"({z}*{z}-a2*{z}-b2)"
+    q3 = f"({z}*{z}*{z}-c2*{q2}-c1*{z}-c0)"
+    return [f"{p}a AS (SELECT {keys}, avg({w}) AS t0, sum({w}*{z})/nullif(sum({z}*{z}),0) AS t1, sum({z}**3)/nullif(sum({z}*{z}),0) AS a2, avg({z}*{z}) AS b2, sum({z}**4)/nullif(sum({z}*{z}),0) AS c1, avg({z}**3) AS c0 FROM {rows} GROUP BY ALL)",
+            f"{p}b AS (SELECT {keys}, CASE WHEN avg({q2}*{q2})>1e-20 THEN sum({w}*{q2})/sum({q2}*{q2}) ELSE 0 END AS t2, CASE WHEN avg({q2}*{q2})>1e-20 THEN sum({z}**3*{q2})/sum({q2}*{q2}) ELSE 0 END AS c2 FROM {rows} JOIN {p}a {join} GROUP BY ALL)",
+            f"{p}c AS (SELECT {keys}, CASE WHEN avg({q3}*{q3})>1e-20 THEN sum({w}*{q3})/sum({q3}*{q3}) ELSE 0 END AS t3 FROM {rows} JOIN {p}a {join} JOIN {p}b {join} GROUP BY ALL)",
+            f"{p} AS (SELECT * FROM {p}a JOIN {p}b {join} JOIN {p}c {join})"]
+
+
+_Q2, _Q3 = "(z*z-a2*z-b2)", "(z*z*z-c2*(z*z-a2*z-b2)-c1*z-c0)"
+_FIT = f"t0 + coalesce(t1,0)*z + CASE WHEN o>=2 THEN t2*{_Q2} ELSE 0 END + CASE WHEN o>=3 THEN t3*{_Q3} ELSE 0 END"
+FORM_SQL = PAIR_SQL + ",\n" + ",\n".join([
+    f"f0 AS (SELECT {_K}, x, y, (x-mx)/xs AS z, (y-my)/sy AS w, pb, sy FROM pr0 JOIN (SELECT *, mx AS _m FROM pst) {_U.replace('device_id', 'site, device_id')} JOIN (SELECT device_id, target, driver, max(x)-min(x) AS xs FROM pr0 GROUP BY ALL) {_U})",
+    *_steps("g", "f0", _K, "z", "w"),
+    "o4 AS (SELECT unnest([0,1,2,3]) AS o)",
+    f"e1 AS (SELECT f0.*, o, CASE WHEN o=0 THEN abs(y-pb*x)/sy ELSE abs(w-({_FIT})) END AS e FROM f0 JOIN g USING ({_K}), o4)",
+    f"e2 AS (SELECT *, row_number() OVER (PARTITION BY {_K}, o ORDER BY e)-1 AS i, count(*) OVER (PARTITION BY {_K}, o) AS nn FROM e1)",
+    f"ct AS (SELECT {_K}, o, max(e) AS cut FROM e2 WHERE i=CAST(floor(95e-2*(nn-1)) AS BIGINT) GROUP BY ALL)",
+    f"k0 AS (SELECT {_K}, o, x, y, w, sy FROM e1 JOIN ct USING ({_K}, o) WHERE e<=cut*(1+1e-9)+1e-13)",
+    f"ks AS (SELECT {_K}, o, avg(x) AS mk, CASE WHEN max(x)>min(x) THEN max(x)-min(x) ELSE 1 END AS sk, sum(x*y)/nullif(sum(x*x),0) AS kb FROM k0 GROUP BY ALL)",
+    f"k1 AS (SELECT k0.*, (x-mk)/sk AS z FROM k0 JOIN ks USING ({_K}, o))",
+    *_steps("h", "k1", _K + ", o", "z", "w"),
+    f"e3 AS (SELECT {_K}, o, sy, CASE WHEN o=0 THEN abs(y-coalesce(kb,0)*x) ELSE abs(w-({_FIT}))*sy END AS err FROM (SELECT f0.site, f0.device_id, f0.target, f0.driver, x, y, w, sy, h.* EXCLUDE ({_K}), kb, (x-mk)/sk AS z FROM f0 JOIN ks USING ({_K}) JOIN h USING ({_K}, o)))",
+    f"fo AS (SELECT {_K}, o, count(CASE WHEN err>1e-8*sy THEN 1 END) AS n_outlier_rows, 1e2*max(err)/any_value(sy) AS mr FROM e3 GROUP BY ALL)",
+    f"fm AS (SELECT {_K}, n, same, o AS form_ord, ['proportional','affine','quadratic','cubic'][o+1] AS form, n_outlier_rows, mr, 1e0-n_outlier_rows/n AS inl FROM fo JOIN pst USING ({_K}))",
+    "ex AS (SELECT * FROM fm WHERE same OR inl>=99e-2)",
+    f"pk AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY form_ord)=1)",
+    "bs AS (SELECT * FROM fm WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.device_id=fm.device_id AND ex.target=fm.target) QUALIFY row_number() OVER (PARTITION BY device_id, target ORDER BY inl DESC, driver, form_ord)=1)",
+    f"fd AS (SELECT {_K}, n, same AS duplicate, form_ord, CASE WHEN same THEN 'identity' ELSE form END AS form, CASE WHEN same THEN 1e0 ELSE inl END AS inlier_fraction, CASE WHEN same THEN 0 ELSE n_outlier_rows END AS n_outlier_rows, (same OR inl>=99e-2) AS synthetic FROM (SELECT * FROM pk UNION ALL SELECT * FROM bs))"])
+
+
+@query("c16_trimmed_fit", with_(FORM_SQL, body=f"SELECT {_K}, n, same, form_ord::BIGINT AS form_ord, form, n_outlier_rows::BIGINT AS n_outlier_rows, {R('mr', 5)} AS max_residual_pct_of_range, {R('inl')} AS inlier_fraction FROM fm"))
 def c16(spark, d):
-    """All four forms of every pair after the trimmed refit (numeric solve in numpy: no SQL twin)."""
-    return rounded(forms(spark, d).drop("coefficients"))
+    """All four forms of every pair after the trimmed refit."""
+    return rounded(forms(spark, d).drop("coefficients"), max_residual_pct_of_range=5)
 
 
-@query("c17_dependency_scan", with_(PAIR_SQL, body="SELECT site, device_id, target, driver, form, n, n_outlier_rows::BIGINT AS n_outlier_rows, same AS duplicate FROM exa"))
+@query("c17_dependency_scan", with_(FORM_SQL, body=f"SELECT {_K}, form, n, n_outlier_rows::BIGINT AS n_outlier_rows, {R('inlier_fraction')} AS inlier_fraction, duplicate, synthetic FROM fd"))
 def c17(spark, d):
-    return rounded(findings(spark, d).where("synthetic").select(*KEYS, "target", "driver", "form", "n", "n_outlier_rows", "duplicate"))
+    """Every finding: exact dependencies and, for targets without one, the best fit."""
+    return rounded(findings(spark, d).select(*KEYS, "target", "driver", "form", "n", "n_outlier_rows", "inlier_fraction", "duplicate", "synthetic"))
 
 
 SYN_SQL = PAIR_SQL + """,
@@ -194,10 +233,19 @@ def c20(spark, d):
     return rounded(ob.device_observability(bind.attributed(spark, d), SCAN_ROLES, findings(spark, d)))
 
 
-@query("c21_dependency_text", with_(PAIR_SQL, body="""SELECT e.site, e.device_id, target, driver, concat(target, ' = ', printf('%.6g', pb), '*', driver) AS relation FROM exa e JOIN pst USING (device_id, target, driver) WHERE form='proportional'"""))
+# coefficients in powers of z, then of the driver x = mk + sk z
+_P = ["t0 + CASE WHEN o>=2 THEN -t2*b2 ELSE 0 END + CASE WHEN o>=3 THEN t3*(c2*b2-c0) ELSE 0 END", "coalesce(t1,0) + CASE WHEN o>=2 THEN -t2*a2 ELSE 0 END + CASE WHEN o>=3 THEN t3*(c2*a2-c1) ELSE 0 END",
+      "CASE WHEN o>=2 THEN t2 ELSE 0 END - CASE WHEN o>=3 THEN t3*c2 ELSE 0 END", "CASE WHEN o>=3 THEN t3 ELSE 0 END"]
+_R = ["my+sy*(p0-p1*mk/sk+p2*(mk/sk)**2-p3*(mk/sk)**3)", "sy*(p1/sk-2*p2*mk/sk**2+3*p3*mk**2/sk**3)", "sy*(p2/sk**2-3*p3*mk/sk**3)", "sy*p3/sk**3"]
+
+
+@query("c21_dependency_text", with_(FORM_SQL, "zp AS (SELECT " + _K + ", o, mk, sk, kb, " + ", ".join(f"{e} AS p{i}" for i, e in enumerate(_P)) + f" FROM h JOIN ks USING ({_K}, o))",
+                                    f"xp AS (SELECT {_K}, o, kb, [" + ", ".join(_R) + f"] AS r FROM zp JOIN pst USING ({_K}))", body=f"""
+ SELECT {_K}, CASE WHEN duplicate THEN concat(target, ' is a copy of ', driver) WHEN form_ord=0 THEN concat(target, ' = ', printf('%.6g', kb), '*', driver)
+  ELSE concat(target, ' = ', array_to_string([printf('%.6g', r[i+1]) || CASE i WHEN 0 THEN '' WHEN 1 THEN '*'||driver ELSE '*'||driver||'^'||i END for i in range(0, form_ord+1)], ' + ')) END AS relation
+ FROM fd JOIN xp USING ({_K}) WHERE xp.o=fd.form_ord"""))
 def c21(spark, d):
-    f = ob.dependency_text(findings(spark, d).where("synthetic AND form = 'proportional'"))
-    return f.select(*KEYS, "target", "driver", "relation")
+    return ob.dependency_text(findings(spark, d)).select(*KEYS, "target", "driver", "relation")
 
 
 _T = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{EVIDENCE_TIERS[i]}'" for i, e in enumerate(["view", "click", "signup", "purchase"])) + f" ELSE '{EVIDENCE_TIERS[5]}' END"

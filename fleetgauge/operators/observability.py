@@ -11,7 +11,7 @@ from fleetgauge import KEYS
 from fleetgauge.contracts import EVIDENCE_TIERS, PROFILES, SENSOR_SET, per_family, role_or_null
 from fleetgauge.functions.cols import dbl, is_true, ratio, share_pct, unpivot
 from fleetgauge.functions.lineage import settle
-from fleetgauge.functions.linear import solve_moments
+from fleetgauge.operators.dependency import CHUNK_ROWS, pair_fits
 from fleetgauge.operators.quality import channel_profile, presence
 from fleetgauge.operators.quantiles import exact_quantiles, wide_quantiles
 
@@ -148,8 +148,8 @@ def role_cells(active: DataFrame, roles, eligible: DataFrame) -> DataFrame:
     cells = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(r).cast("double").alias("v")) for i, r in enumerate(roles)]),
                      lambda c: c["v"].isNotNull() & F.array_contains("drivers", c["i"]))
     values = F.array(*[F.when(F.array_contains("drivers", F.lit(i)), F.coalesce(F.col(r).cast("double"), dbl(float("nan")))).otherwise(dbl(float("nan"))) for i, r in enumerate(roles)])
-    d = active.where("active").join(picked, list(KEYS)).select(*KEYS, "targets", cells.alias("cells"), values.alias("values"))
-    return settle(d, "role_cells", spread=True)
+    d = active.where("active").join(picked, list(KEYS)).select(*KEYS, "ts", "targets", cells.alias("cells"), values.alias("values"))
+    return settle(d, "role_cells")
 
 
 def role_pairs(cells: DataFrame) -> DataFrame:
@@ -174,212 +174,12 @@ def duplicate_channels(cells: DataFrame, roles, min_samples: int = MIN_SAMPLES)
     return _named(g.where(F.col("same") & (F.col("n") >= min_samples)).select(*PAIR, "n"), roles)
 
 
-def _role_scale(cells: DataFrame) -> DataFrame:
-    """Centre and span of each role, as one short array per device.
-
-    Cubic moments of watt-scale values lose digits, so both sides of a pair are
-    centred and scaled before any moment is taken.
-    """
-    c = cells.select(*KEYS, F.explode("cells").alias("c")).groupBy(*KEYS, "c.i").agg(F.avg("c.v").alias("m"), (F.max("c.v") - F.min("c.v")).alias("s"))
-    s = F.when(F.col("s") > 0, F.col("s")).otherwise(dbl(1.0))
-    return c.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("m", s.alias("s"))))).alias("scale"))  # one entry per role
-
-
-def _scaled(cells: DataFrame, scale: DataFrame) -> DataFrame:
-    z = lambda c: c["v"].isNotNull()
-    j = cells.join(scale, list(KEYS))
-    norm = F.transform(F.filter("cells", z), lambda c: F.struct(c["i"].alias("i"), c["v"].alias("v"), F.try_element_at("scale", c["i"]).alias("q")))
-    pairs = F.flatten(F.transform(F.filter("cells", lambda t: F.array_contains("targets", t["i"])), lambda t: F.transform(
-        F.filter("cells", lambda x: x["i"] != t["i"]),
-        lambda x: F.struct(t["i"].alias("t"), x["i"].alias("d"), t["v"].alias("y"), x["v"].alias("x"), ((x["v"] - x["q"]["m"]) / x["q"]["s"]).alias("u"),
-                           ((t["v"] - t["q"]["m"]) / t["q"]["s"]).alias("w"), x["q"]["m"].alias("mx"), x["q"]["s"].alias("sx"), t["q"]["m"].alias("my"), t["q"]["s"].alias("sy")))))
-    d = j.select(*KEYS, "targets", norm.alias("cells"))
-    return d.select(*KEYS, F.explode(pairs).alias("p")).select(*KEYS, "p.*")
-
-
-def _powers(u, n):
-    out = [dbl(1.0)]
-    for _ in range(n):
-        out.append(out[-1] * u)
-    return out
-
-
-def _first_sums():
-    """Moments of all rows; the four forms share them."""
-    p = _powers(F.col("u"), 6)
-    return ([F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy")] + [F.sum(p[i]).alias(f"s{i}") for i in range(7)]
-            + [F.sum(p[i] * F.col("w")).alias(f"t{i}") for i in range(4)])
-
-
-def _kept_sums(form):
-    """Moments of the rows a form kept after trimming."""
-    k, keep = FORMS[form], _error(form) <= F.col(f"cut_{form}")
-    if form == "proportional":
-        return [F.sum(F.when(keep, F.col("x") * F.col("x"))).alias("proportional_xx"), F.sum(F.when(keep, F.col("x") * F.col("y"))).alias("proportional_xy")]
-    p = _powers(F.col("u"), 2 * k - 2)
-    return ([F.sum(F.when(keep, p[i])).alias(f"{form}_s{i}") for i in range(2 * k - 1)] + [F.sum(F.when(keep, p[i] * F.col("w"))).alias(f"{form}_t{i}") for i in range(k)])
-
-
-def _coefficients(moments: DataFrame, shared: bool, *keep) -> DataFrame:
-    cols = []
-    for form, k in FORMS.items():
-        pre = "" if shared else f"{form}_"
-        if form == "proportional":
-            c = F.array(ratio(f"{pre}xy", f"{pre}xx"))
-        else:
-            c = solve_moments([F.col(f"{pre}s{i}") for i in range(2 * k - 1)], [F.col(f"{pre}t{i}") for i in range(k)], k - 1)
-        cols.append(c.alias(f"c_{form}"))
-    return moments.select(*PAIR, *keep, *cols)
-
-
-def _error(form):
-    """|y - fitted| in the target's unit."""
-    c = F.col(f"c_{form}")
-    if form == "proportional":
-        return F.abs(F.col("y") - c[0] * F.col("x"))
-    p = _powers(F.col("u"), FORMS[form] - 1)
-    fit = c[0]
-    for i in range(1, FORMS[form]):
-        fit = fit + c[i] * p[i]
-    return F.abs(F.col("w") - fit) * F.col("sy")
-
-
-FORM_SCHEMA = ("site string, device_id string, t int, d int, n bigint, same boolean, form_ord int, form string, n_outlier_rows bigint, "
-               "max_residual_pct_of_range double, coefficients array<double>")
-
-
-def _device_forms(width: int, min_samples: int, trim: float):
-    """All pairs and forms of one device that fits into a task."""
-    names, tolerance = list(FORMS), RESIDUAL_PCT / 100.0
-
-    steps = np.arange(4)[None, :] - np.arange(4)[:, None]
-    binomial = np.array([[1, 1, 1, 1], [0, 1, 2, 3], [0, 0, 1, 3], [0, 0, 0, 1]], float)
-
-    def fit(r, c):
-        """Triangular solve, least squares where the basis is deficient."""
-        g = np.abs(np.diag(r))
-        return np.linalg.solve(r, c) if g.min() > 1e-12 * g.max() else np.linalg.lstsq(r, c, rcond=None)[0]
-
-    def kept(err):
-        """All but the worst residuals: everything up to the order statistic below the quantile."""
-        i = int((1.0 - trim) * (len(err) - 1))
-        return err <= np.partition(err, i)[i]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head, targets = pdf.iloc[0], set(pdf["targets"].iloc[0])
-        m = np.stack(pdf["values"].to_numpy()).astype(float)
-        known = np.isfinite(m)
-        live = [k for k in range(width) if known[:, k].any()]
-        out = []
-        for t in (k for k in live if k in targets):
-            for d in (k for k in live if k != t):
-                both = known[:, t] & known[:, d]
-                n = int(both.sum())
-                if n < min_samples:
-                    continue
-                x, y = m[both, d], m[both, t]
-                sx, sy = np.ptp(x), np.ptp(y)
-                if sx <= 0 or sy <= 0:
-                    continue
-                u, w = (x - x.mean()) / sx, (y - y.mean()) / sy
-                v = np.vander(u, 4, increasing=True)
-                same = bool((x == y).all())
-                q, r_all = np.linalg.qr(v)
-                c_all = q.T @ w
-                for o, form in enumerate(names):
-                    if o == 0:
-                        err = np.abs(y - (x @ y) / (x @ x) * x)
-                        keep = kept(err)
-                        b = (x[keep] @ y[keep]) / max(x[keep] @ x[keep], 1e-300)
-                        err, raw = np.abs(y - b * x), [b]
-                    else:
-                        k = o + 1
-                        keep = kept(np.abs(w - v[:, :k] @ fit(r_all[:k, :k], c_all[:k])))
-                        # on the kept rows' own scale: a trimmed spike must not squeeze the others together
-                        mid, wide = x[keep].mean(), np.ptp(x[keep]) or sx
-                        z = np.vander((x - mid) / wide, k, increasing=True)
-                        q, r = np.linalg.qr(z[keep])
-                        beta = fit(r, q.T @ w[keep])
-                        err = np.abs(w - z @ beta) * sy
-                        shift = binomial[:k, :k] * (-mid / wide) ** np.maximum(steps[:k, :k], 0) / (wide ** np.arange(float(k)))[:, None]
-                        raw = shift @ beta * sy
-                        raw[0] += y.mean()
-                    out.append((head["site"], head["device_id"], t, d, n, same, o, form, int((err > tolerance * sy).sum()), 100.0 * float(err.max()) / sy, [float(z) for z in raw]))
-        return pd.DataFrame(out, columns=["site", "device_id", "t", "d", "n", "same", "form_ord", "form", "n_outlier_rows", "max_residual_pct_of_range", "coefficients"])
-    return run
-
-
-LOCAL_ROWS = 131072  # a device of at most this many active rows is fitted inside one task
-
-
-def pair_forms(cells: DataFrame, roles, min_samples: int = MIN_SAMPLES, trim: float = 0.05, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Trimmed least-squares fit of every form for every pair, judged on all rows.
-
-    A device whose checked row count is small goes to one task with its rows;
-    a longer record is fitted by distributed passes. Both are exact.
-    """
-    size = settle(cells.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_rows")), "device_rows")
-    total = size.agg(F.sum("_rows")).first()[0] or 0
-    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-total // max(2 * local_rows, 1)))
-    small = cells.join(size.where(F.col("_rows") <= local_rows), list(KEYS)).select(*KEYS, "targets", "values")
-    small = small.repartition(parts, *KEYS)  # fitting is heavy: keep the devices apart
-    out = small.groupBy(*KEYS).applyInPandas(_device_forms(len(roles), min_samples, trim), FORM_SCHEMA)
-    out = _named(out.withColumn("inlier_fraction", dbl(1.0) - F.col("n_outlier_rows") / F.col("n")), roles)
-    long = size.where(F.col("_rows") > local_rows).select(*KEYS)
-    if long.isEmpty():
-        return out
-    return out.unionByName(_distributed_forms(cells.join(long, list(KEYS), "left_semi"), roles, min_samples, trim))
-
-
-def _distributed_forms(cells: DataFrame, roles, min_samples: int, trim: float) -> DataFrame:
-    """The same fits for records of any length.
-
-    Fit, residual quantile, trimmed refit, score. The per-pair table between
-    two passes is small and written once, so no pass repeats an earlier one.
-    """
-    d = _scaled(cells, settle(_role_scale(cells), "role_scale"))
-    first = d.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("x") == F.col("y")).alias("same"), (F.max("y") - F.min("y")).alias("span_y"),
-                                 (F.max("x") - F.min("x")).alias("span_x"), *_first_sums())
-    first = first.where((F.col("n") >= min_samples) & (F.col("span_y") > 0) & (F.col("span_x") > 0))
-    first = settle(_coefficients(first, True, "n", "same", "span_y"), "pair_fit")
-    d1 = d.join(first, PAIR)
-    errs = F.array(*[F.struct(F.lit(i).alias("form"), (_error(f) / F.col("sy")).alias("e")) for i, f in enumerate(FORMS)])
-    long = d1.select(*PAIR, F.explode(errs).alias("z")).select(*PAIR, "z.form", "z.e")
-    decades = F.floor(F.log10(F.col("e") + dbl(1e-20)) * dbl(200.0)).cast("int")  # residuals span many decades
-    cut = exact_quantiles(long, [*PAIR, "form"], "e", {"cut": 1.0 - trim}, slot=decades)
-    cut = cut.groupBy(*PAIR).agg(*[F.max(F.when(F.col("form") == i, F.col("cut"))).alias(f"_k{i}") for i in range(len(FORMS))])
-    cut = settle(cut, "pair_cut")
-    kept = d1.join(cut, PAIR).withColumns({f"cut_{f}": F.col(f"_k{i}") * F.col("sy") for i, f in enumerate(FORMS)})
-    second = settle(_coefficients(kept.groupBy(*PAIR).agg(*[s for f in FORMS for s in _kept_sums(f)]), False), "pair_refit")
-    scale = ["mx", "sx", "my", "sy"]
-    d2 = d.join(second, PAIR).join(first.select(*PAIR, "span_y"), PAIR)
-    tol = F.col("span_y") * dbl(RESIDUAL_PCT / 100.0)
-    g = d2.groupBy(*PAIR).agg(*[F.first(c).alias(c) for c in scale], *[e for f in FORMS for e in (F.max(_error(f)).alias(f"{f}_max"), F.count_if(_error(f) > tol).alias(f"{f}_out"))])
-    j = g.join(first.select(*PAIR, "n", "same", "span_y"), PAIR).join(second, PAIR)
-    rows = F.array(*[F.struct(F.lit(i).alias("form_ord"), F.lit(f).alias("form"), F.col(f"{f}_out").alias("n_outlier_rows"),
-                              (dbl(100.0) * F.col(f"{f}_max") / F.col("span_y")).alias("max_residual_pct_of_range"), _raw_coefficients(f).alias("coefficients"))
-                     for i, f in enumerate(FORMS)])
-    out = j.select(*PAIR, "n", "same", F.explode(rows).alias("f")).select(*PAIR, "n", "same", "f.*")
+def pair_forms(cells: DataFrame, roles, min_samples: int = MIN_SAMPLES, trim: float = 0.05, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Trimmed least-squares fit of every form for every pair, judged on all rows; one way for records of any length."""
+    out = pair_fits(cells, len(roles), tuple(FORMS), min_samples, trim, RESIDUAL_PCT, chunk_rows)
     return _named(out.withColumn("inlier_fraction", dbl(1.0) - F.col("n_outlier_rows") / F.col("n")), roles)
 
 
-def _raw_coefficients(form):
-    """Back from the scaled variable to powers of the driver itself."""
-    c, m, s, sy, my = F.col(f"c_{form}"), F.col("mx"), F.col("sx"), F.col("sy"), F.col("my")
-    if form == "proportional":
-        return c
-    k = FORMS[form]
-    b = [c[i] * sy / _powers(s, i)[i] for i in range(k)]
-    choose = {(1, 0): 1, (1, 1): 1, (2, 0): 1, (2, 1): 2, (2, 2): 1, (3, 0): 1, (3, 1): 3, (3, 2): 3, (3, 3): 1}
-    out = []
-    for i in range(k):
-        acc = my + b[0] if i == 0 else dbl(0.0)
-        for j in range(max(i, 1), k):
-            acc = acc + b[j] * dbl(choose[(j, i)]) * _powers(-m, j - i)[j - i]
-        out.append(acc)
-    return F.array(*out)
-
-
 def dependency_findings(forms: DataFrame) -> DataFrame:
     """Per pair the simplest exact form; a target with none keeps its single best fit."""
     exact = forms.where(F.col("same") | (F.col("inlier_fraction") >= INLIER_SHARE))

@@ -194,45 +194,83 @@ def test_apportion_conserves_total(spark):
 ROLES = ["power_W", "speed_Hz", "flow_m3_h", "run_signal"]
 
 
-def _scan(spark, local=None, n=3000, **cols):
+def _scan(spark, chunk=None, n=3000, **cols):
     base = {"run_signal": 1.0, "flow_m3_h": np.nan} | cols
     c = ob.scan_cells(frame(spark, n, **base), ROLES)
-    kw = {} if local is None else {"local_rows": local}
+    kw = {} if chunk is None else {"chunk_rows": chunk}
     return ob.dependency_findings(ob.pair_forms(c, ROLES, **kw)).toPandas()
 
 
-@pytest.mark.parametrize("local", [None, 0])
-def test_outlier_rows_do_not_hide_an_identity(spark, local):
+@pytest.mark.parametrize("chunk", [None, 170])
+def test_outlier_rows_do_not_hide_an_identity(spark, chunk):
     x = np.random.default_rng(0).uniform(20, 50, 3000)
     y = 1293.2 * x
     y[:7] = 0.0
-    f = _scan(spark, local, speed_Hz=x, power_W=y)
+    f = _scan(spark, chunk, speed_Hz=x, power_W=y)
     hit = f[(f.target == "power_W") & (f.driver == "speed_Hz")].iloc[0]
     assert hit.synthetic and hit.form == "proportional" and hit.n_outlier_rows == 7
     assert hit.coefficients[0] == pytest.approx(1293.2)
 
 
-@pytest.mark.parametrize("local", [None, 0])
-def test_cubic_noise_and_duplicate(spark, local):
+@pytest.mark.parametrize("chunk", [None, 170])
+def test_cubic_noise_and_duplicate(spark, chunk):
     rng = np.random.default_rng(1)
     x = rng.uniform(20, 50, 3000)
-    exact = _scan(spark, local, speed_Hz=x, power_W=5 + 2 * x - .1 * x ** 2 + .003 * x ** 3, flow_m3_h=x)
+    exact = _scan(spark, chunk, speed_Hz=x, power_W=5 + 2 * x - .1 * x ** 2 + .003 * x ** 3, flow_m3_h=x)
     e = exact[(exact.target == "power_W") & (exact.driver == "speed_Hz")].iloc[0]
     assert e.form == "cubic" and e.synthetic and np.allclose(e.coefficients, [5, 2, -.1, .003], rtol=1e-6)
     assert exact[(exact.target == "flow_m3_h") & (exact.driver == "speed_Hz")].iloc[0].duplicate
-    noisy = _scan(spark, local, speed_Hz=x, power_W=x ** 3 * (1 + rng.normal(0, .01, 3000)))
+    noisy = _scan(spark, chunk, speed_Hz=x, power_W=x ** 3 * (1 + rng.normal(0, .01, 3000)))
     assert not noisy[noisy.target == "power_W"].synthetic.any()
 
 
-@pytest.mark.parametrize("local", [None, 0])
-def test_spike_in_the_driver_does_not_spoil_the_refit(spark, local):
+@pytest.mark.parametrize("chunk", [None, 170])
+def test_spike_in_the_driver_does_not_spoil_the_refit(spark, chunk):
     x = np.random.default_rng(6).uniform(28, 32, 3000)
     x[1234] = 5000.0
-    f = _scan(spark, local, speed_Hz=x, power_W=7 - 3 * x + .2 * x ** 2 + .04 * x ** 3)
+    f = _scan(spark, chunk, speed_Hz=x, power_W=7 - 3 * x + .2 * x ** 2 + .04 * x ** 3)
     e = f[(f.target == "power_W") & (f.driver == "speed_Hz")].iloc[0]
     assert e.form == "cubic" and e.synthetic and e.n_outlier_rows == 0 and e.max_residual_pct_of_range < 1e-3
 
 
+def _plain_forms(x, y, trim=.05):
+    """(outliers, largest residual) of each form: plain least squares, trimmed refit, judged on all rows."""
+    out = []
+    for k in range(4):
+        v = x[:, None] if k == 0 else np.vander((x - x.mean()) / np.ptp(x), k + 1, increasing=True)
+        err = np.abs(y - v @ np.linalg.lstsq(v, y, rcond=None)[0])
+        keep = err <= np.sort(err)[int((1 - trim) * (len(err) - 1))]
+        err = np.abs(y - v @ np.linalg.lstsq(v[keep], y[keep], rcond=None)[0])
+        out.append((int((err > 1e-8 * np.ptp(y)).sum()), 100 * err.max() / np.ptp(y)))
+    return out
+
+
+def test_chunks_leave_the_fits_unchanged(spark):
+    """A record in 1, 3 or 50 chunks, with gaps, ties and repeated values, against plain fits."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    x = rng.uniform(10, 60, n).round(1)
+    y = 3 + .5 * x + .02 * x ** 2 + rng.normal(0, 1, n)
+    y[:40] += 500
+    z = np.where(rng.random(n) < .3, np.nan, np.where(rng.random(n) < .5, 4.0, 4.0 * x))
+    d = frame(spark, n, speed_Hz=x, power_W=y, flow_m3_h=z, run_signal=1.0).unionByName(frame(spark, 400, device="E", speed_Hz=x[:400], power_W=7 * x[:400], flow_m3_h=np.nan, run_signal=1.0))
+    cells = ob.scan_cells(d, ROLES)
+    got = [{(r["device_id"], r["target"], r["driver"], r["form_ord"]): r for r in ob.pair_forms(cells, ROLES, chunk_rows=c).collect()} for c in (n, 1000, 60)]
+    assert got[0].keys() == got[1].keys() == got[2].keys() and len(got[0]) == 4 * (6 + 2)
+    columns = {"speed_Hz": x, "power_W": y, "flow_m3_h": z}
+    for k, r in got[0].items():
+        for other in got[1:]:
+            assert (other[k]["n"], other[k]["same"], other[k]["n_outlier_rows"]) == (r["n"], r["same"], r["n_outlier_rows"])
+            assert other[k]["max_residual_pct_of_range"] == pytest.approx(r["max_residual_pct_of_range"], rel=1e-9, abs=1e-9)
+            assert np.allclose(other[k]["coefficients"], r["coefficients"], rtol=1e-6, atol=1e-6)
+        if k[0] != "E":
+            a, b = columns[k[2]], columns[k[1]]
+            both = np.isfinite(a) & np.isfinite(b)
+            want = _plain_forms(a[both], b[both])[k[3]]
+            assert r["n"] == both.sum() and r["n_outlier_rows"] == want[0] and r["max_residual_pct_of_range"] == pytest.approx(want[1], rel=1e-6)
+    assert ob.pair_forms(cells.limit(0), ROLES).count() == 0
+
+
 def test_status_contradiction_does_not_mask_identity(spark):
     x = np.random.default_rng(2).uniform(20, 50, 3000)
     y = 1293.2 * x
