@@ -12,23 +12,28 @@ from pyspark.sql import functions as F
 from fleetgauge.llm.common import settle
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every node to the smallest node it reaches, in place of the links given."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    keep = root != np.arange(len(nodes))
+    return nodes[keep], nodes[root[keep]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the links of each batch by links of every node to the smallest node it reaches within the batch."""
+    """Links of each batch reduced to a forest."""
     for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = at[:len(a)], at[len(a):]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[x], root[y])
-            before = root.copy()
-            np.minimum.at(root, root[x], low)
-            np.minimum.at(root, root[y], low)
-            root = root[root]
-            if (root == before).all():
-                break
-        keep = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[root[keep]])], ["a", "b"])
+        a, b = forest(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:

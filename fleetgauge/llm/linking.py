@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import settle, slices
-from fleetgauge.llm.components import components
+from fleetgauge.llm.components import components, forest
 
 #: Members of a group that are compared at a time, rows and bytes that a task takes at a time.
 BLOCK, PART_ROWS, PART_BYTES = 1024, 20_000, 32 << 20
@@ -84,19 +84,23 @@ def _live(near):
         gid, i, j, ids, root, n, kind = (t.column(c).to_numpy() for c in ("gid", "__i", "__j", "set_id", "root", "n_shingles", "__kind"))
         sk = _sketches(t)
         order, cut = _units(j, i, gid)
-        keep = np.zeros(len(ids), bool)
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             u = order[a:b]
             left, right = u[kind[u] != 1], u[kind[u] != 0]
-            for x in range(0, len(left), 128):
-                p = left[x:x + 128]
+            for k in range(0, len(left), 128):
+                p = left[k:k + 128]
                 pop = np.zeros((len(p), len(right)), np.int64)
-                for k in range(sk.shape[1]):
-                    pop += np.bitwise_count(sk[p, k][:, None] ^ sk[right, k][None])
+                for w in range(sk.shape[1]):
+                    pop += np.bitwise_count(sk[p, w][:, None] ^ sk[right, w][None])
                 ok = near(n[p][:, None], n[right][None], pop) & (root[p][:, None] != root[right][None])
-                keep[p[ok.any(axis=1)]] = True
-                keep[right[ok.any(axis=0)]] = True
-        return pa.table({"gid": gid[keep], "set_id": ids[keep]})
+                i, j = np.nonzero(ok)
+                x.append(ids[p[i]])
+                y.append(ids[right[j]])
+                if sum(map(len, x)) > 1 << 20:
+                    x, y = ([z] for z in forest(np.concatenate(x), np.concatenate(y)))
+        x, y = forest(np.concatenate(x), np.concatenate(y))
+        return pa.table({"a": x, "b": y})
     return live
 
 
@@ -185,9 +189,11 @@ def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: in
     # what lies apart
     rows = rows.join(parts.select(F.col("node").alias("set_id"), F.col("root").alias("__root")), "set_id", "left").withColumn("root", F.coalesce("__root", "set_id")).drop("__root")
     units = _blocks(rows)
-    live = settle(_parts(units, "gid", "__i", "__j").groupBy("__part").applyInArrow(_live(near), "gid long, set_id long").distinct(), "live")
-    whole = settle(tokens(live.select("set_id").distinct()), "tokens")
-    units = _blocks(rows.select("gid", "set_id", "root").join(live, ["gid", "set_id"], "left_semi")).join(whole, "set_id")
+    candidates = settle(_parts(units, "gid", "__i", "__j").groupBy("__part").applyInArrow(_live(near), "a long, b long"), "candidates")
+    live = settle(components(candidates).select(F.col("root").alias("gid"), F.col("node").alias("set_id")), "live")
+    whole = settle(tokens(live.select("set_id")), "tokens")
+    own = live.join(parts.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    units = _blocks(own).join(whole, "set_id")
     more = _parts(units, "gid", "__i", "__j", size=PART_ROWS // 4).groupBy("__part").applyInArrow(_links(num, den), "a long, b long")
     return components(links.union(more))
 
@@ -203,6 +209,12 @@ def verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFram
     return both.filter(den * F.col("i") >= num * (F.col("t") - F.col("i"))).select("a", "b")
 
 
+def smallest(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """(set_id, __low): the smallest key (``rep``) of each set's component, given (node, root)."""
+    of = settle(sets.select("set_id", "rep").join(found.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "roots")
+    return of.join(of.groupBy("root").agg(F.min("rep").alias("__low")), "root").select("set_id", "__low")
+
+
 def tokens_of(docs: DataFrame, key: str, text: str, n: int, sets: DataFrame):
     """``tokens`` for ``connect``: whole sets read again from one document each (``rep`` of ``sets``)."""
     from fleetgauge.llm.ngram_join import set_id, shingles

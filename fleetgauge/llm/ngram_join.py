@@ -14,14 +14,11 @@ both still file a common one. m0, m1 and k are chosen per cell by the number of
 entries filed and of unrelated sets expected to meet, given the corpus counts of
 the bands.
 
-Equal sets are one set. Sets filed under one entry are linked through its
-smallest one first; candidates are checked by size and by parity bitmaps, whose
-distance never exceeds the true difference. Sets that share an entry but would
-not be connected so are compared with each other in blocks, by bitmaps, and of
-the pairs found only those that connect more are taken. Whole sets then verify
-these pairs. After that, every pair that shares an entry but no component is
-compared and verified, so no link is lost while copies are not expanded into all
-pairs.
+Equal sets are one set. Sets filed under one entry are a group, and groups with
+the same members are one; ``linking`` finds the links that connect a group, with
+parity bitmaps, whose distance never exceeds the true difference, as a screen and
+whole sets to verify. Pairs that share an entry but no component are all compared,
+so no link is lost while copies are not expanded into all pairs.
 
 Words are runs of bytes other than space, tab to carriage return, with A-Z
 lowered; a text with fewer than n words is one shingle. Tokens and sets are
@@ -41,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import byte_weights, mix, settle, slices
-from fleetgauge.llm.components import components
+from fleetgauge.llm.linking import connect, smallest, tokens_of
 
 WORDS = 8  # 64-bit words of a bitmap
-#: Entries that a task gathers before it sends them, members of a block that is compared at a time, text bytes per group of entries.
-FLUSH, BLOCK, PART_BYTES = 1 << 20, 1024, 8 << 20
+#: Entries that a task gathers before it sends them, text bytes per group of entries.
+FLUSH, PART_BYTES = 1 << 20, 8 << 20
 #: Cost of a pair that meets without being alike, in entries filed.
 MEETING = 10.0
-_HEADS = "n_shingles long, set_id long, " + ", ".join(f"w{i} long" for i in range(WORDS))
+_HEADS = "n_shingles long, set_id long, sketch binary"
 
 
 # ---- sets --------------------------------------------------------------------------------
@@ -180,14 +177,13 @@ def entries(s: np.ndarray, cell: int, alloc: tuple[int, int, int]) -> np.ndarray
 
 # ---- jobs --------------------------------------------------------------------------------
 def heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, n_shingles, set_id, bitmap words) of every row."""
+    """(key, n_shingles, set_id, bitmap) of every row."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 sets = shingles(batch.column(1)[a:b].to_pylist(), n)
-                maps = np.stack([bitmap(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
-                                                  *(pa.array(maps[:, i]) for i in range(WORDS))], [key, "n_shingles", "set_id", *(f"w{i}" for i in range(WORDS))])
+                                                  pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], [key, "n_shingles", "set_id", "sketch"])
     return df.select(F.col(key), F.col(text)).mapInArrow(make, f"{key} {dict(df.dtypes)[key]}, {_HEADS}")
 
 
@@ -260,7 +256,7 @@ def cell_entries(alloc: list, most: int, num: int, den: int):
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """Links of every set filed under an entry to the entry's smallest set, and the members of entries with more than two."""
+    """(group, set) of all sets filed under an entry with others; a group is named by its members, so equal groups are one."""
     h, o = [], []
     for low, place, sets in zip(t.column("low"), t.column("place"), t.column("sets"), strict=True):
         raw = np.frombuffer(low.as_py(), np.uint8).reshape(-1, 5)
@@ -281,46 +277,11 @@ def _meet(t: pa.Table) -> pa.Table:
     h, o = h[keep], o[keep]
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(h)))
-    low = np.repeat(o[start], size)
-    pairs = np.unique(np.stack([low, o], axis=1)[low != o], axis=0) if len(o) else np.zeros((0, 2), np.int64)
-    groups: dict[bytes, np.ndarray] = {}
-    for x, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        groups.setdefault(o[x:x + n].tobytes(), o[x:x + n])
-    members = list(groups.values())
-    k = len(members)
-    return pa.table({"a": pa.array([*pairs[:, 0].tolist(), *[None] * k], pa.int64()), "b": pa.array([*pairs[:, 1].tolist(), *[None] * k], pa.int64()),
-                     "members": pa.array([*[None] * len(pairs), *members], pa.list_(pa.int64()))})
-
-
-def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Places of links that join the same nodes as all links do, nearest first: every round each part takes its nearest way out."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, live = at[:len(a)], at[len(a):], np.arange(len(a))
-    label, rank, out = np.arange(len(nodes)), np.argsort(np.argsort(far, kind="stable"), kind="stable"), []
-    while True:
-        apart = label[x[live]] != label[y[live]]
-        live = live[apart]
-        if not len(live):
-            return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-        best = np.full(len(nodes), len(a))
-        np.minimum.at(best, label[x[live]], rank[live])
-        np.minimum.at(best, label[y[live]], rank[live])
-        taken = live[np.isin(rank[live], best)]
-        out.append(taken)
-        while True:
-            low = np.minimum(label[x[taken]], label[y[taken]])
-            before = label.copy()
-            np.minimum.at(label, label[x[taken]], low)
-            np.minimum.at(label, label[y[taken]], low)
-            label = label[label]
-            if (label == before).all():
-                break
-
-
-def _near(na, nb, words, num, den):
-    """Sizes and bitmaps allow the threshold; sums over the 64-bit words."""
-    far = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(words)])
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (far * (den + num) <= (na + nb) * (den - num))
+    name = mix(np.add.reduceat(mix(o.view(np.uint64) + np.uint64(1)), start) + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+    once = np.zeros(len(start), bool)
+    once[np.unique(name, return_index=True)[1]] = True
+    keep = np.repeat(once & (size > 1), size)
+    return pa.table({"gid": np.repeat(name.view(np.int64), size)[keep], "set_id": o[keep]})
 
 
 class Join:
@@ -330,92 +291,16 @@ class Join:
         self.docs, self.key, self.text, self.n, self.num, self.den = docs, key, text, n, num, den
         self.heads = settle(heads(docs, key, text, n), "heads")
         known = self.heads.filter(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
-        self.sets = settle(known.groupBy("set_id").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", *(f"w{i}" for i in range(WORDS))))), "sets")
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and bitmaps do not rule out."""
-        s = self.sets.drop("rep")
-        both = pairs.join(s.select(F.col("set_id").alias("a"), F.struct(*s.columns).alias("sa")), "a").join(s.select(F.col("set_id").alias("b"), F.struct(*s.columns).alias("sb")), "b")
-        both = both.select(F.col("sa").alias("a"), F.col("sb").alias("b"))
-        return both.filter(_near(F.col("a.n_shingles"), F.col("b.n_shingles"), WORDS, self.num, self.den)).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole sets reach the threshold."""
-        ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id")
-        reps = self.sets.join(ids, "set_id").select(F.col("rep").alias("__rep"))
-        rows = self.docs.select(F.col(self.key).alias("__rep"), F.col(self.text).alias("__text")).join(reps, "__rep")
-        n = self.n
-
-        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b in slices(batch.column(0)):
-                    got = shingles(batch.column(0)[a:b].to_pylist(), n)
-                    yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["set_id", "tokens"])
-        sets = settle(rows.select("__text").mapInArrow(make, "set_id long, tokens binary").dropDuplicates(["set_id"]), "tokens")
-
-        @F.arrow_udf("long")
-        def common(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            for x, y in batches:
-                yield pa.array([len(np.intersect1d(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)], pa.int64())
-        both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("__x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("__y")), "b")
-        both = both.select("a", "b", common("__x", "__y").alias("i"), (F.octet_length("__x") / 8 + F.octet_length("__y") / 8).cast("long").alias("t"))
-        return both.filter(self.den * F.col("i") >= self.num * (F.col("t") - F.col("i"))).select("a", "b")
-
-    def apart(self, groups: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
-        """Pairs of members of one entry that are in different components and that sizes and bitmaps do not rule out.
-
-        Large entries are compared block by block. ``few``: of each block only as many, and the nearest, as connect the
-        components that all would.
-        """
-        num, den = self.num, self.den
-        groups = groups.withColumn("__g", F.xxhash64("members"))
-        rows = groups.select("__g", F.size("members").alias("__n"), F.explode("members").alias("set_id"))
-        rows = rows.join(parts.select(F.col("node").alias("set_id"), F.col("root")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        mixed = rows.groupBy("__g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("__g")
-        rows = rows.join(mixed, "__g").join(self.sets.drop("rep"), "set_id")
-        blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-        rows = rows.withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.withColumn("__i", F.least("__mine", "__other")).withColumn("__j", F.greatest("__mine", "__other"))
-        words = [f"w{i}" for i in range(WORDS)]
-
-        def compare(t: pa.Table) -> pa.Table:
-            ids, root, n, mine = (t.column(c).to_numpy() for c in ("set_id", "root", "n_shingles", "__mine"))
-            w = np.stack([t.column(c).to_numpy() for c in words], axis=1).view(np.uint64)
-            i, j = t.column("__i")[0].as_py(), t.column("__j")[0].as_py()
-            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            a, b, d = [], [], []
-            for x in range(0, len(left), 256):
-                p = left[x:x + 256]
-                total = n[p][:, None] + n[right][None]
-                ok = (np.minimum(n[p][:, None], n[right][None]) * den >= np.maximum(n[p][:, None], n[right][None]) * num) & (root[p][:, None] != root[right][None])
-                far = np.zeros(ok.shape, np.int64)
-                for k in range(len(words)):
-                    far += np.bitwise_count(w[p, k][:, None] ^ w[right, k][None])
-                u, v = np.nonzero(ok & (far * (den + num) <= total * (den - num)))
-                a.append(p[u])
-                b.append(right[v])
-                d.append(far[u, v])
-            a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
-            if few:
-                at = forest(root[a], root[b], d)
-                a, b = a[at], b[at]
-            a, b = ids[a], ids[b]
-            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        return rows.select("__g", "__i", "__j", "__mine", "set_id", "root", "n_shingles", *words).groupBy("__g", "__i", "__j").applyInArrow(compare, "a long, b long").distinct()
-
+        self.sets = settle(known.groupBy("set_id").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch"))), "sets")
 
     def linked(self, filed: DataFrame) -> DataFrame:
         """(node, root): components of the sets, given their packed entries."""
-        met = settle(filed.groupBy("part").applyInArrow(_meet, "a long, b long, members array<long>"), "met")
-        groups = met.filter("members IS NOT NULL").select("members").distinct()
-        near = settle(self.near(met.filter("members IS NULL").select("a", "b").distinct()), "near")
-        # as if all of these were alike, which nearly all are: what else would connect
-        more = self.apart(groups, settle(components(near), "parts"), few=True)
-        first = settle(self.verified(settle(near.union(more).distinct(), "near")), "linked")
-        # whatever still lies apart is tried in full
-        second = self.verified(settle(self.apart(groups, settle(components(first), "parts"), few=False), "near"))
-        return components(first.union(second))
+        num, den = self.num, self.den
+
+        def near(x, y, bits):
+            return (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (bits * (den + num) <= (x + y) * (den - num))
+        members = filed.groupBy("part").applyInArrow(_meet, "gid long, set_id long").distinct()
+        return connect(members, self.sets.select("set_id", "n_shingles", "sketch"), tokens_of(self.docs, self.key, self.text, self.n, self.sets), near, num, den)
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -430,6 +315,5 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     counts = job.sets.groupBy((F.size(F.filter(F.array(*map(F.lit, edge)), lambda e: e <= F.col("n_shingles"))) - 1).alias("band")).count()
     alloc = plan({r[0]: r[1] for r in counts.collect()}, most, num, den)  # a row a band
     filed = file_entries(docs.filter(F.col(key).isNotNull()), text, n, cell_entries(alloc, most, num, den), max(1, math.ceil(8 * size / PART_BYTES)))
-    labelled = settle(out.join(job.linked(filed).select(F.col("node").alias("set_id"), "root"), "set_id", "left").select(key, "n_shingles", F.coalesce("root", "set_id").alias("__root")), "labelled")
-    low = labelled.filter(F.col("__root").isNotNull()).groupBy("__root").agg(F.min(key).alias("__low"))
-    return labelled.join(low, "__root", "left").select(key, "n_shingles", F.coalesce("__low", key).alias("component_id"))
+    named = smallest(job.sets, job.linked(filed))
+    return out.join(named, "set_id", "left").select(key, "n_shingles", F.coalesce("__low", key).alias("component_id"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import mix, settle, slices
-from fleetgauge.llm.linking import connect, tokens_of
+from fleetgauge.llm.linking import connect, smallest, tokens_of
 from fleetgauge.llm.ngram_join import set_id, shingles
 
 BITS, SIGMAS = 512, 5.0
@@ -119,9 +119,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     def near(x, y, bits):
         return (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (bits <= most)
     found = connect(members, sets.select("set_id", "n_shingles", "sketch"), tokens_of(docs, key, text, n, sets), near, num, den)
-    of = settle(sets.select("set_id", "rep").join(found.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "roots")
-    low = of.groupBy("root").agg(F.min("rep").alias("__low"))
-    named = of.join(low, "root").select("set_id", "__low")
+    named = smallest(sets, found)
     out = rows.select(key, "n_shingles", F.when(F.col(key).isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
     component = F.coalesce("__low", key)
     return out.select(key, "n_shingles", component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(False)).alias("kept"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from brute import near_groups
+from fleetgauge.llm import linking as L
 from fleetgauge.llm import ngram_join as J
 from fleetgauge.llm.components import components
 
@@ -51,7 +52,7 @@ def made(seed):
 
 
 def test_groups_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 3)  # entries are compared block by block
+    monkeypatch.setattr(L, "BLOCK", 3)  # entries are compared block by block
     for seed, (n, num) in ((1, (4, 85)), (2, (5, 80))):
         rows = made(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
