@@ -238,24 +238,27 @@ _GM = ", ".join(f"({i * 4 + j},{a}::DOUBLE,{b}::DOUBLE)" for i, a in enumerate(_
 _UA = "greatest(5e-2, 1082e-4*b+1667e-3*b*wat-7713e-4*b*wat*wat)"
 CTS_SQL = CTT_SQL + f""",
 cv0 AS (SELECT *, {CHR} FROM ctt), cvs AS (SELECT *, {SEG} FROM cv0),
-csub AS (SELECT * FROM cvs WHERE segment='identification' AND rn<288),
+csub AS (SELECT * FROM cvs WHERE segment='identification'),
 cbn AS (SELECT device_id AS dn, median(mdot_cell_kgps) AS mn FROM csub GROUP BY 1),
 cg AS (SELECT * FROM (VALUES {_GM}) AS g(grid_id, a, b)),
-ce AS (SELECT c.*, grid_id, a, b, greatest(0,mdot_cell_kgps)/greatest(1e-6,mn) AS wat, least(1e0, greatest(y_used,5e-2)) AS air FROM (SELECT *, rn<288 AND segment='identification' AS sub FROM cvs) c JOIN cbn ON dn=device_id CROSS JOIN cg WHERE sub OR segment<>'identification'),
+ce AS (SELECT c.*, grid_id, a, b, greatest(0,mdot_cell_kgps)/greatest(1e-6,mn) AS wat, least(1e0, greatest(y_used,5e-2)) AS air FROM cvs c JOIN cbn ON dn=device_id CROSS JOIN cg),
 cm AS (SELECT *, Twb_C+greatest(0e0, TRan_C/greatest(1e0, 1+{_UA}*air/greatest(5e-2, wat*a))) AS ts FROM ce),
 csc AS (SELECT site, device_id, grid_id, segment, count(*) AS N, sqrt(avg((ts-Tout_meas_C)*(ts-Tout_meas_C))) AS T_RMSE_K, avg(ts-Tout_meas_C) AS T_MBE_K, sqrt(avg((ts-Tout_meas_C)*(ts-Tout_meas_C)))/sqrt(nullif(var_pop(Tout_meas_C),0)) AS T_skill,
+  1e2*sqrt(avg((ts-Tout_meas_C)*(ts-Tout_meas_C)))/nullif(avg(Tout_meas_C),0) AS T_CVRMSE_pct, 1e2*avg(ts-Tout_meas_C)/nullif(avg(Tout_meas_C),0) AS T_NMBE_pct, sqrt(avg((qs-Q_flow_W)*(qs-Q_flow_W)))/sqrt(nullif(var_pop(Q_flow_W),0)) AS Q_skill,
   1e2*sqrt(avg((qs-Q_flow_W)*(qs-Q_flow_W)))/avg(Q_flow_W) AS Q_CVRMSE_pct, 1e2*avg(qs-Q_flow_W)/avg(Q_flow_W) AS Q_NMBE_pct FROM (SELECT *, fans_on_count*greatest(0,mdot_cell_kgps)*4180*(Tin_C-ts) AS qs FROM cm) WHERE rn>=1 GROUP BY ALL),
 cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY T_RMSE_K, grid_id) AS o FROM csc WHERE segment='identification') WHERE o=1),
 al AS (SELECT unnest([12e-1,16e-1,2e0,25e-1,3e0]) AS alpha),
 fn AS (SELECT device_id AS dn, alpha AS an, coalesce(median(CASE WHEN e>0 THEN e END), median(PFan_meas_W)) AS pn FROM (SELECT *, PFan_meas_W/(greatest(fans_on_count,1)*pow(least(1e0,greatest(5e-2,y_used)),alpha)) AS e FROM csub CROSS JOIN al) GROUP BY 1,2),
 fs AS (SELECT device_id, alpha, pn, count(*) AS k, 1e2*sqrt(avg((ps-PFan_meas_W)*(ps-PFan_meas_W)))/avg(PFan_meas_W) AS fcv FROM (SELECT *, pn*fans_on_count*{fan_sql('alpha', 'air')} AS ps FROM (SELECT *, least(1e0, greatest(y_used,5e-2)) AS air FROM csub) CROSS JOIN al JOIN fn ON dn=device_id AND an=alpha WHERE rn>=1) GROUP BY 1,2,3 HAVING count(*)>=10),
 fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY fcv, alpha) AS o FROM fs) WHERE o=1),
-cst AS (SELECT s.*, b.T_RMSE_K AS train_score, fb.alpha, fb.fcv FROM csc s JOIN cb b ON b.device_id=s.device_id AND b.grid_id=s.grid_id LEFT JOIN fb ON fb.device_id=s.device_id WHERE s.segment IN ('selection','test'))"""
+cps AS (SELECT device_id AS dp, segment AS sp, count(*) AS P_N, 1e2*sqrt(avg((ps-PFan_meas_W)*(ps-PFan_meas_W)))/nullif(avg(PFan_meas_W),0) AS P_CVRMSE_pct, 1e2*avg(ps-PFan_meas_W)/nullif(avg(PFan_meas_W),0) AS P_NMBE_pct,
+  sqrt(avg((ps-PFan_meas_W)*(ps-PFan_meas_W)))/sqrt(nullif(var_pop(PFan_meas_W),0)) AS P_skill FROM (SELECT c.*, pn*fans_on_count*{fan_sql('alpha', 'air')} AS ps FROM (SELECT *, least(1e0, greatest(y_used,5e-2)) AS air FROM cvs WHERE segment<>'identification' AND rn>=1) c JOIN fb ON fb.device_id=c.device_id) GROUP BY 1,2 HAVING count(*)>=10),
+cst AS (SELECT s.*, b.T_RMSE_K AS train_score, fb.alpha, fb.fcv, P_N, P_CVRMSE_pct, P_NMBE_pct, P_skill FROM csc s JOIN cb b ON b.device_id=s.device_id AND b.grid_id=s.grid_id LEFT JOIN fb ON fb.device_id=s.device_id LEFT JOIN cps ON dp=s.device_id AND sp=s.segment WHERE s.segment IN ('selection','test'))"""
 
 
 @staged("ct_selection")
 def ct_stages(spark, d):
-    return fit.ct_model_selection(ct_table(spark, d), step_s=1800.0)
+    return fit.ct_model_selection(ct_table(spark, d))
 
 
 @query("j10_ct_grid_search", with_(CTS_SQL, body=f"SELECT site, device_id, segment AS stage, grid_id::BIGINT AS grid_id, {R('train_score')} AS train_score, alpha, {R('fcv', 4)} AS fan_P_CVRMSE_pct, {R('T_RMSE_K')} AS T_RMSE_K FROM cst"))
@@ -263,9 +266,12 @@ def j10(spark, d):
     return rounded(ct_stages(spark, d).select(*KEYS, "stage", "grid_id", "train_score", "alpha", "fan_P_CVRMSE_pct", "T_RMSE_K"), fan_P_CVRMSE_pct=4)
 
 
-@query("k08_ct_score", with_(CTS_SQL, body=f"SELECT site, device_id, segment AS stage, N, {out_cols(['T_RMSE_K', 'T_MBE_K', 'T_skill', 'Q_CVRMSE_pct', 'Q_NMBE_pct'], 4)} FROM cst"))
+_CTK = ["T_RMSE_K", "T_MBE_K", "T_CVRMSE_pct", "T_NMBE_pct", "T_skill", "Q_CVRMSE_pct", "Q_NMBE_pct", "Q_skill", "P_CVRMSE_pct", "P_NMBE_pct", "P_skill"]
+
+
+@query("k08_ct_score", with_(CTS_SQL, body=f"SELECT site, device_id, segment AS stage, N, P_N, {out_cols(_CTK, 4)} FROM cst"))
 def k08(spark, d):
-    return rounded(ct_stages(spark, d).select(*KEYS, "stage", "N", "T_RMSE_K", "T_MBE_K", "T_skill", "Q_CVRMSE_pct", "Q_NMBE_pct"), _=4)
+    return rounded(ct_stages(spark, d).select(*KEYS, "stage", "N", "P_N", *_CTK), _=4)
 
 
 @query("j11_fan_curve", with_(CTT_SQL, body=f"SELECT site, device_id, ts_s, {R(fan_sql('25e-1', 'least(1e0,greatest(y_used,5e-2))'))} AS fan_rel FROM ctt"))

@@ -96,10 +96,10 @@ def ct_base_values(table: DataFrame) -> DataFrame:
 def fan_nominal(table: DataFrame, alphas) -> DataFrame:
     """Nominal fan power per exponent: median of P / (fans * y^alpha), else the median power."""
     y, n = clip("y_used", 0.05, 1.0), F.greatest(F.col("fans_on_count"), dbl(1.0))
-    d = table.select(*KEYS, F.col("PFan_meas_W").alias("p"), y.alias("y"), n.alias("n"), F.explode(F.array(*[dbl(a) for a in alphas])).alias("alpha"))
-    est = F.col("p") / (F.col("n") * F.pow("y", "alpha"))
-    q = wide_quantiles(d, [*KEYS, "alpha"], {"e": F.when(est > 0, est), "p": F.col("p")}, {"m": 0.5})
-    return q.select(*KEYS, "alpha", F.coalesce("e_m", "p_m").alias("PFan_nominal"))
+    est = {f"e{i}": F.col("PFan_meas_W") / (n * F.pow(y, dbl(a))) for i, a in enumerate(alphas)}
+    q = wide_quantiles(table, KEYS, {k: F.when(e > 0, e) for k, e in est.items()} | {"p": F.col("PFan_meas_W")}, {"m": 0.5})
+    each = F.array(*[F.struct(dbl(a).alias("alpha"), F.coalesce(f"e{i}_m", "p_m").alias("PFan_nominal")) for i, a in enumerate(alphas)])
+    return q.select(*KEYS, F.inline(each))
 
 
 # ---- pump ---------------------------------------------------------------------------------------

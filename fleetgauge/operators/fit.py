@@ -175,12 +175,10 @@ def _axis_value(spec: dict, axis) -> Column:
     return F.least(v, dbl(spec["ceil"])) if "ceil" in spec else v
 
 
-def expand_grid(base: DataFrame, grid: dict | None, keep=KEYS) -> DataFrame:
-    """One row per device and grid point: ``grid_id`` and a parameter MAP.
+def grid_points(grid: dict | None) -> list[dict[str, Column]]:
+    """Parameters of every grid point, as columns of the per-device nominals.
 
-    Axes are configuration, so the product is unfolded inside the projection
-    of the per-device nominals. ``mode: coordinate`` moves one axis at a time;
-    no grid gives one empty candidate.
+    ``mode: coordinate`` moves one axis at a time; no grid gives one empty point.
     """
     axes = (grid or {}).get("axes", [])
     points: list[list[tuple[dict, float]]] = [[]]
@@ -189,12 +187,17 @@ def expand_grid(base: DataFrame, grid: dict | None, keep=KEYS) -> DataFrame:
     else:
         for a in axes:
             points = [p + [(a["apply"], v)] for p in points for v in a["values"]]
+    return [{name: _axis_value(spec, v) for apply, v in p for name, spec in apply.items()} for p in points]
+
+
+def expand_grid(base: DataFrame, grid: dict | None, keep=KEYS) -> DataFrame:
+    """One row per device and grid point: ``grid_id`` and a parameter MAP.
+
+    Axes are configuration, so the product is unfolded inside the projection
+    of the per-device nominals.
+    """
     rows = []
-    for i, p in enumerate(points):
-        entries: dict[str, Column] = {}
-        for apply, v in p:
-            for name, spec in apply.items():
-                entries[name] = _axis_value(spec, v)
+    for i, entries in enumerate(grid_points(grid)):
         m = F.map_from_arrays(F.array(*[F.lit(n) for n in entries]), F.array(*entries.values())) if entries else F.create_map().cast("map<string,double>")
         rows.append(F.struct(F.lit(i).alias("grid_id"), m.alias("params")))
     return base.select(*keep, F.explode(F.array(*rows)).alias("g")).select(*keep, "g.grid_id", "g.params")
@@ -225,15 +228,19 @@ def enabled_candidates(candidates: DataFrame, project: DataFrame, contract: Data
     return j.select("equipment_type", "candidate", pos.alias("position")).where(F.col("position") >= 0)
 
 
-def grid_search(rows: DataFrame, grid: DataFrame, simulate: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
-    """Score of every grid point; the best (lowest, then first) point per device.
+def grid_search(rows: DataFrame, base: DataFrame, grid: dict, errors: Callable[[dict], dict], score: Callable[[dict], Column], keep=KEYS) -> DataFrame:
+    """The best (lowest, then first) grid point per device, from one scan of all rows.
 
-    The grid of a device is a few dozen points, joined on the device key and
-    reduced map side before anything is shuffled.
+    No row is copied: the error sums of all points are columns of one
+    aggregate, so a map task sends one row per device whatever the grid.
+    ``errors(params)`` names the sums of a point, ``score(sums)`` ranks it. The
+    nominals in ``base`` that ``keep`` names stay beside the parameters.
     """
-    s = score(simulate(rows.join(grid, list(KEYS))), [*KEYS, "grid_id"])
-    best = s.where("score IS NOT NULL").groupBy(*KEYS).agg(F.min_by(F.struct("grid_id", "score"), F.struct("score", "grid_id")).alias("b"))
-    return best.select(*KEYS, F.col("b.grid_id").alias("grid_id"), F.col("b.score").alias("score")).join(grid, [*KEYS, "grid_id"])
+    sums = [errors(p) for p in grid_points(grid)]
+    g = rows.join(base, list(KEYS)).groupBy(*KEYS).agg(*[c.alias(f"_{i}_{n}") for i, s in enumerate(sums) for n, c in s.items()])
+    scored = F.array(*[F.struct(score({n: F.col(f"_{i}_{n}") for n in s}).alias("score"), F.lit(i).alias("grid_id")) for i, s in enumerate(sums)])
+    best = g.select(*KEYS, F.array_min(F.filter(scored, lambda p: p["score"].isNotNull())).alias("b")).where("b IS NOT NULL")
+    return best.select(*KEYS, "b.grid_id", "b.score").join(expand_grid(base, grid, keep), [*KEYS, "grid_id"])
 
 
 # --- fixed values: search grids -------------------------------------------------------------------
@@ -249,18 +256,36 @@ MERKEL_GRID = {"axes": [{"name": "ratWatAir", "values": [0.8, 1.0, 1.2, 1.5, 1.8
 FAN_ALPHAS = [1.2, 1.6, 2.0, 2.5, 3.0]
 
 
+def _hx_outputs(model: str, p) -> dict[str, Column]:
+    if model == "ConstantEffectiveness":
+        return md.hx_constant({"eps": p["eps"]}, "T1In_C", "T2In_C", "m1_kgps", "m2_kgps")
+    return md.hx_plate({k: p[k] for k in ("Q_flow_nominal", "m1_flow_nominal", "m2_flow_nominal")}
+                       | {k: F.col(k) for k in ("T_a1_nominal", "T_b1_nominal", "T_a2_nominal", "T_b2_nominal")}, "T1In_C", "T2In_C", "m1_kgps", "m2_kgps")
+
+
 def hx_simulate(model: str):
     def run(d: DataFrame) -> DataFrame:
-        p = F.col("params")
-        if model == "ConstantEffectiveness":
-            o = md.hx_constant({"eps": p["eps"]}, "T1In_C", "T2In_C", "m1_kgps", "m2_kgps")
-        else:
-            o = md.hx_plate({k: p[k] for k in ("Q_flow_nominal", "m1_flow_nominal", "m2_flow_nominal")}
-                            | {k: F.col(k) for k in ("T_a1_nominal", "T_b1_nominal", "T_a2_nominal", "T_b2_nominal")}, "T1In_C", "T2In_C", "m1_kgps", "m2_kgps")
+        o = _hx_outputs(model, F.col("params"))
         return d.withColumns({k: o[k] for k in ("Q_s", "T1Out_s", "T2Out_s")})
     return run
 
 
+def _square(measured: str, simulated: Column) -> Column:
+    e = simulated - F.col(measured)
+    return F.avg(e * e)
+
+
+def hx_errors(model: str):
+    def sums(p) -> dict[str, Column]:
+        o = _hx_outputs(model, p)
+        return {"t2": _square("T2Out_C", o["T2Out_s"]), "q": _square("Q_W", o["Q_s"]), "m": F.avg(F.when(o["Q_s"].isNotNull(), F.col("Q_W")))}
+    return sums
+
+
+def hx_rank(s: dict) -> Column:
+    return dbl(100.0) * ratio(F.sqrt(s["q"]), s["m"]) + F.when(is_true(F.sqrt(s["t2"]) <= mx.T_ADMISSIBLE_K), dbl(0.0)).otherwise(dbl(1000.0))
+
+
 def hx_score(d: DataFrame, keys) -> DataFrame:
     """Heat CVRMSE decides; an outlet off by more than 1 K RMSE is inadmissible (+1000)."""
     g = d.groupBy(*keys).agg(*mx.error_sums("T2Out_C", "T2Out_s", "T2_"), *mx.error_sums("Q_W", "Q_s", "Q_"), *mx.error_sums("T1Out_C", "T1Out_s", "T1_"))
@@ -272,35 +297,62 @@ def hx_score(d: DataFrame, keys) -> DataFrame:
                     (cv + F.when(ok, dbl(0.0)).otherwise(dbl(1000.0))).alias("score"))
 
 
+def _merkel_outputs(p) -> dict[str, Column]:
+    return md.merkel({"m_flow_nominal": F.col("m_flow_nominal"), "ratWatAir_nominal": p["ratWatAir_nominal"], "cWatFra": [p["cWatFra1"], p["cWatFra2"], p["cWatFra3"]]},
+                     "Tin_C", "Twb_C", "mdot_cell_kgps", "y_used", "TRan_C")
+
+
 def merkel_simulate(d: DataFrame) -> DataFrame:
-    p = F.col("params")
-    o = md.merkel({"m_flow_nominal": F.col("m_flow_nominal"), "ratWatAir_nominal": p["ratWatAir_nominal"], "cWatFra": [p["cWatFra1"], p["cWatFra2"], p["cWatFra3"]]},
-                  "Tin_C", "Twb_C", "mdot_cell_kgps", "y_used", "TRan_C")
-    return d.withColumns({"TOut_s": o["TOut_s"], "Q_s": o["Q_s"]})
+    """Outlet temperature and heat per cell, fan power of all running cells (NULL where no exponent was found)."""
+    o = _merkel_outputs(F.col("params"))
+    return d.withColumns({"TOut_s": o["TOut_s"], "Q_s": o["Q_s"], "P_s": fan_simulated(F.col("alpha"), F.col("PFan_nominal"))})
+
+
+def merkel_errors(p) -> dict[str, Column]:
+    return {"t": _square("Tout_meas_C", _merkel_outputs(p)["TOut_s"])}
 
 
-def ct_score(d: DataFrame, keys) -> DataFrame:
-    """Leaving-water RMSE ranks; heat (scaled by running cells) is reported beside it."""
-    g = d.withColumn("_Q", F.col("Q_s") * F.col("fans_on_count")).groupBy(*keys).agg(*mx.error_sums("Tout_meas_C", "TOut_s", "T_"), *mx.error_sums("Q_flow_W", "_Q", "Q_"))
-    return g.select(*keys, F.col("T_N").alias("N"), F.sqrt("T__e2").alias("T_RMSE_K"), F.col("T__e").alias("T_MBE_K"),
-                    (F.sqrt("T__e2") / F.sqrt(F.nullif(F.col("T__v"), dbl(0.0)))).alias("T_skill"), (dbl(100.0) * ratio(F.sqrt("Q__e2"), F.col("Q__m"))).alias("Q_CVRMSE_pct"),
-                    (dbl(100.0) * ratio("Q__e", "Q__m")).alias("Q_NMBE_pct"), F.sqrt("T__e2").alias("score"))
+def ct_score(d: DataFrame, keys, min_pairs: int = 10) -> DataFrame:
+    """Leaving-water RMSE ranks; heat (scaled by running cells) and, from ``min_pairs`` pairs on, fan power are reported beside it."""
+    g = d.withColumn("_Q", F.col("Q_s") * F.col("fans_on_count")).groupBy(*keys).agg(
+        *mx.error_sums("Tout_meas_C", "TOut_s", "T_"), *mx.error_sums("Q_flow_W", "_Q", "Q_"), *mx.error_sums("PFan_meas_W", "P_s", "P_"))
 
+    def cv(q):
+        return dbl(100.0) * ratio(F.sqrt(f"{q}__e2"), F.col(f"{q}__m"))
 
-def fan_power(table: DataFrame, nominal: DataFrame) -> DataFrame:
-    """Simulated fan power of every exponent; ``nominal`` is ``(keys, alpha, PFan_nominal)``."""
-    d = table.join(nominal, list(KEYS))
+    def nmbe(q):
+        return dbl(100.0) * ratio(f"{q}__e", f"{q}__m")
+
+    def skill(q):
+        return F.sqrt(f"{q}__e2") / F.sqrt(F.nullif(F.col(f"{q}__v"), dbl(0.0)))
+    power = {"P_N": F.col("P_N"), "P_CVRMSE_pct": cv("P"), "P_NMBE_pct": nmbe("P"), "P_skill": skill("P")}
+    return g.select(*keys, F.col("T_N").alias("N"), F.sqrt("T__e2").alias("T_RMSE_K"), F.col("T__e").alias("T_MBE_K"), cv("T").alias("T_CVRMSE_pct"), nmbe("T").alias("T_NMBE_pct"),
+                    skill("T").alias("T_skill"), cv("Q").alias("Q_CVRMSE_pct"), nmbe("Q").alias("Q_NMBE_pct"), skill("Q").alias("Q_skill"),
+                    *[F.when(F.col("P_N") >= min_pairs, c).alias(n) for n, c in power.items()], F.sqrt("T__e2").alias("score"))
+
+
+def fan_simulated(alpha, nominal: Column) -> Column:
+    """Power of all running fans at one exponent."""
     air = F.least(F.greatest(F.col("y_used"), dbl(0.05)), dbl(1.0))
-    rel = md.fan_relative_power(md.fan_curve(F.col("alpha")), air)
-    return d.withColumn("P_s", F.col("PFan_nominal") * rel * F.col("fans_on_count"))
+    return nominal * md.fan_relative_power(md.fan_curve(alpha), air) * F.col("fans_on_count")
 
 
-def fan_exponent_search(table: DataFrame, nominal: DataFrame, min_pairs: int = 10) -> DataFrame:
-    """Exponent with the lowest fan-power CVRMSE; ties go to the smaller exponent."""
-    g = fan_power(table, nominal).groupBy(*KEYS, "alpha").agg(*mx.error_sums("PFan_meas_W", "P_s"), F.max("PFan_nominal").alias("PFan_nominal"))
-    g = g.where(F.col("N") >= min_pairs).select(*KEYS, "alpha", "PFan_nominal", "N", (dbl(100.0) * ratio(F.sqrt("_e2"), F.col("_m"))).alias("P_CVRMSE_pct"))
-    b = g.where("P_CVRMSE_pct IS NOT NULL").groupBy(*KEYS).agg(F.min_by(F.struct("alpha", "PFan_nominal", "N", "P_CVRMSE_pct"), F.struct("P_CVRMSE_pct", "alpha")).alias("b"))
-    return b.select(*KEYS, "b.*")
+def fan_exponent_search(table: DataFrame, nominal: DataFrame, alphas=FAN_ALPHAS, min_pairs: int = 10) -> DataFrame:
+    """Exponent with the lowest fan-power CVRMSE, all of them in one scan; ties go to the smaller exponent.
+
+    ``nominal`` is ``(keys, alpha, PFan_nominal)``.
+    """
+    wide = nominal.groupBy(*KEYS).agg(*[F.max(F.when(F.col("alpha") == a, F.col("PFan_nominal"))).alias(f"_p{i}") for i, a in enumerate(alphas)])
+    sums = []
+    for i, a in enumerate(alphas):
+        sim = fan_simulated(a, F.col(f"_p{i}"))
+        both = sim.isNotNull() & F.col("PFan_meas_W").isNotNull()
+        sums += [F.count_if(both).alias(f"_n{i}"), _square("PFan_meas_W", sim).alias(f"_e{i}"), F.avg(F.when(both, F.col("PFan_meas_W"))).alias(f"_m{i}"), F.max(f"_p{i}").alias(f"_p{i}")]
+    g = table.join(wide, list(KEYS)).groupBy(*KEYS).agg(*sums)
+    tried = F.array(*[F.struct((dbl(100.0) * ratio(F.sqrt(f"_e{i}"), F.col(f"_m{i}"))).alias("P_CVRMSE_pct"), dbl(a).alias("alpha"),
+                               F.col(f"_p{i}").alias("PFan_nominal"), F.col(f"_n{i}").alias("N")) for i, a in enumerate(alphas)])
+    best = F.array_min(F.filter(tried, lambda x: x["P_CVRMSE_pct"].isNotNull() & (x["N"] >= min_pairs)))
+    return g.select(*KEYS, best.alias("b")).where("b IS NOT NULL").select(*KEYS, "b.alpha", "b.PFan_nominal", "b.N", "b.P_CVRMSE_pct")
 
 
 # ---- curve library -----------------------------------------------------------------------------------
@@ -468,8 +520,7 @@ def hx_model_selection(table: DataFrame, spec: sp.SplitSpec | None = None) -> Da
     out = None
     for model, grid in (("ConstantEffectiveness", HX_CONSTANT_GRID), ("PlateEffectivenessNTU", HX_PLATE_GRID)):
         temps = [] if model == "ConstantEffectiveness" else ["T_a1_nominal", "T_b1_nominal", "T_a2_nominal", "T_b2_nominal"]
-        g = expand_grid(nom, grid, keep=(*KEYS, *temps))
-        best = settle(grid_search(train.where("rn >= 1"), g, hx_simulate(model), hx_score), "hx_best")
+        best = settle(grid_search(train.where("rn >= 1"), nom, grid, hx_errors(model), hx_rank, keep=(*KEYS, *temps)), "hx_best")
         best = best.withColumnsRenamed({"score": "train_score"})
         st = _stages(s.join(best, list(KEYS)), hx_simulate(model), hx_score)
         st = st.join(best.select(*KEYS, "grid_id", "train_score"), list(KEYS)).withColumn("candidate", F.lit(model))
@@ -477,22 +528,17 @@ def hx_model_selection(table: DataFrame, spec: sp.SplitSpec | None = None) -> Da
     return out
 
 
-def ct_model_selection(table: DataFrame, spec: sp.SplitSpec | None = None, step_s: float = 300.0, window: int = 288, stride: int = 12) -> DataFrame:
-    """Merkel grid on representative training windows, then the fan exponent on fan power alone."""
-    from fleetgauge.operators import operating as op
+def ct_model_selection(table: DataFrame, spec: sp.SplitSpec | None = None) -> DataFrame:
+    """Merkel grid, then the fan exponent on fan power alone, both fitted on all training rows; the very first one never counts."""
     from fleetgauge.operators.features import ct_base_values, fan_nominal
     s = _numbered_split(table, spec, "ct_split")
-    train = s.where("segment = 'identification'").drop("n", "segment")
-    feats = ["TRan_C", "TAppAct_C", "mdot_cell_kgps", "y_used", "PFan_meas_W", "Q_flow_W"]
-    scores = op.window_scores(op.contiguous_runs(train.drop("rn"), step_s), feats, window, stride)
-    sub = settle(op.window_rows(train, op.select_windows(scores, 3, window), window), "ct_windows")
-    base = settle(ct_base_values(sub), "ct_base")
-    g = expand_grid(base, MERKEL_GRID, keep=(*KEYS, "m_flow_nominal"))
-    first = sub.groupBy(*KEYS).agg(F.min("rn").alias("_r0"))
-    rows = sub.join(first, list(KEYS)).where(F.col("rn") > F.col("_r0")).drop("_r0")
-    best = settle(grid_search(rows, g, merkel_simulate, ct_score), "ct_best").withColumnRenamed("score", "train_score")
-    fan = fan_exponent_search(rows, fan_nominal(sub, FAN_ALPHAS)).select(*KEYS, "alpha", "PFan_nominal", F.col("P_CVRMSE_pct").alias("fan_P_CVRMSE_pct"))
-    st = _stages(s.join(best, list(KEYS)), merkel_simulate, ct_score)
+    train = s.where("segment = 'identification'")
+    first = train.groupBy(*KEYS).agg(F.min("rn").alias("_r0"))
+    base = settle(ct_base_values(train).select(*KEYS, "m_flow_nominal").join(first, list(KEYS)), "ct_base")
+    rows = train.join(base.select(*KEYS, "_r0"), list(KEYS)).where(F.col("rn") > F.col("_r0")).drop("_r0")
+    best = settle(grid_search(rows, base.drop("_r0"), MERKEL_GRID, merkel_errors, lambda e: F.sqrt(e["t"]), keep=(*KEYS, "m_flow_nominal")), "ct_best").withColumnRenamed("score", "train_score")
+    fan = settle(fan_exponent_search(rows, fan_nominal(train, FAN_ALPHAS)), "ct_fan").select(*KEYS, "alpha", "PFan_nominal", F.col("P_CVRMSE_pct").alias("fan_P_CVRMSE_pct"))
+    st = _stages(s.join(best, list(KEYS)).join(fan.drop("fan_P_CVRMSE_pct"), list(KEYS), "left"), merkel_simulate, ct_score)
     return st.join(best.select(*KEYS, "grid_id", "train_score"), list(KEYS)).join(fan, list(KEYS), "left").withColumn("candidate", F.lit("Merkel"))
 
 

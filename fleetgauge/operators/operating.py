@@ -189,14 +189,6 @@ def select_windows(scores: DataFrame, n: int = 3, gap: int = 288) -> DataFrame:
     return out.select(*KEYS, (F.col("pick") + 1).alias("pick"), "w.start", "w.end", "w.score")
 
 
-def window_rows(df_rn: DataFrame, picks: DataFrame, rows: int = 288) -> DataFrame:
-    """Rows of the chosen windows; devices without any fall back to their first rows."""
-    p = picks.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("picks"))  # <= 3 entries
-    j = df_rn.join(p, list(KEYS), "left")
-    inside = F.exists("picks", lambda w: (F.col("rn") >= w["start"]) & (F.col("rn") <= w["end"]))
-    return j.where(F.when(F.col("picks").isNull(), F.col("rn") < rows).otherwise(inside)).drop("picks")
-
-
 def record_span(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("rows"),

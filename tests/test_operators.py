@@ -480,3 +480,41 @@ def test_params_json_round_trip_is_sorted(spark):
     assert rw.params_from_json(j.select("parameters")).first()["params"] == {"a": 1.5, "b": 2.0}
 
 
+
+
+def test_grid_search_uses_every_row_and_copies_none(spark):
+    rows = [("s", d, i, float(i % 7), (2.0 if i < 300 else 3.0) * (i % 7) * k) for d, k in (("a", 1.0), ("b", 0.5)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "site string, device_id string, rn long, x double, y double")
+    base = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 0.5)], "site string, device_id string, slope double")
+    grid = {"axes": [{"name": "k", "values": [2.0, 2.5, 2.75, 3.0], "apply": {"k": {"base": "slope", "scale": "axis"}}}]}
+    out = fit.grid_search(df, base, grid, lambda p: {"e": F.avg((p["k"] * F.col("x") - F.col("y")) ** 2)}, lambda s: s["e"])
+    want = {}
+    for d, k in (("a", 1.0), ("b", 0.5)):
+        mine = [r for r in rows if r[1] == d]
+        err = [sum((g * k * r[3] - r[4]) ** 2 for r in mine) / len(mine) for g in (2.0, 2.5, 2.75, 3.0)]
+        want[d] = (err.index(min(err)), min(err))
+    got = {r["device_id"]: (r["grid_id"], r["score"], r["params"]["k"]) for r in out.collect()}
+    assert {d: (g, pytest.approx(e)) for d, (g, e) in want.items()} == {d: (g, e) for d, (g, e, _) in got.items()}
+    assert got["b"][2] == 2.75 * 0.5 and want["a"][0] == 2  # the first 300 rows alone would choose 2.0
+    empty = fit.grid_search(df.where("false"), base, grid, lambda p: {"e": F.avg(p["k"] * F.col("x"))}, lambda s: s["e"])
+    assert empty.count() == 0
+
+
+def test_tower_is_fitted_on_late_training_rows(spark):
+    def outlet(i, ratio):
+        wat, air = m[i] / 10.0, max(0.05, y[i])
+        ua = max(0.05, 0.1082 + 1.667 * wat - 0.7713 * wat * wat)
+        return 20.0 + max(0.0, 5.0 / max(1.0, 1 + ua * air / max(0.05, wat * ratio)))
+    n = 12000
+    m, y = [10.0 + (i % 5 - 2) for i in range(n)], [(0.3, 0.6, 1.0)[i % 3] for i in range(n)]
+    rows = []
+    for i in range(n):
+        t, fans = outlet(i, 0.8 if i < 200 else 1.8), 1.0 + i % 2
+        rows.append(("s", "t", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=5 * i), 300.0 * i, t + 5.0, t, 20.0, 5.0, t - 20.0, m[i], y[i], 50 * y[i], fans, fans * m[i] * md.CP * 5.0, fans * 900.0 * y[i] ** 3))
+    table = spark.createDataFrame(rows, "site string, device_id string, ts timestamp, time_s double, Tin_C double, Tout_meas_C double, Twb_C double, TRan_C double, TAppAct_C double, mdot_cell_kgps double, "
+                                        "y_used double, fanHz double, fans_on_count double, Q_flow_W double, PFan_meas_W double")
+    out = fit.ct_model_selection(table).collect()
+    assert {r["stage"] for r in out} == {"selection", "test"}
+    for r in out:
+        assert fit.expand_grid(spark.range(1).selectExpr("'s' site", "'t' device_id"), fit.MERKEL_GRID).where(F.col("grid_id") == r["grid_id"]).first()["params"]["ratWatAir_nominal"] == 1.8
+        assert r["alpha"] == 3.0 and r["P_N"] == r["N"] and r["T_RMSE_K"] < 1e-6 and abs(r["T_CVRMSE_pct"]) < 1e-4 and abs(r["Q_skill"]) < 1e-6
