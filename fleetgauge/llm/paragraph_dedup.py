@@ -6,17 +6,20 @@ wrapped paragraph is compared as a whole however it is wrapped. Its five-word
 shingles are hashed to a MinHash signature cut into bands; the number of bands and of rows in
 a band is tuned so that a pair at the threshold shares a band with the wanted
 probability. Equal paragraphs count once; sets so small that only an equal one
-reaches the threshold have no bands. Those that share a band are linked
-through the band's smallest one, then across components within a band, and every
-link is verified by exact Jaccard similarity; components of the links are
-clusters. A paragraph is removed if its cluster has a paragraph in a document
+reaches the threshold have no bands. Those that share a band meet (see
+``linking``) and every link is verified by exact Jaccard similarity; components
+of the links are clusters. A paragraph is removed if its cluster has a paragraph in a document
 with a smaller key, so every cluster stays whole in its first document.
 
 Passages inside longer paragraphs: a paragraph is also cut into sentences, and
 sentences of more than ``LONG`` words behind words chosen by their hash, so that
-equal passages are cut alike. The pieces meet in the same bands as the paragraphs.
-Pieces in a row that all have a place in an earlier document are cut out if they
-have at least ``passage`` words together.
+equal passages are cut alike. A piece is a copy if an earlier document has a piece or a
+paragraph with the same set of shingles, or a paragraph in the cluster of that
+one; pieces have no bands of their own. Pieces in a row that are all copies are cut out
+if they have at least ``passage`` words together.
+
+Texts are cut and shingled once. What is written are places, sets and bands, no
+texts; the whole sets of candidates are read again from one document each.
 
 Null texts are empty. Rows with a null key take no part and are kept whole, rows
 with equal keys do not remove each other's paragraphs. Shorter lines always stay.
@@ -34,15 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import mix, settle, slices
-from fleetgauge.llm.ngram_join import PART_BYTES, Join, file_entries
+from fleetgauge.llm.common import settle, slices
+from fleetgauge.llm.flat_sets import Sets, band_hashes, parity_bitmaps
+from fleetgauge.llm.linking import connect
+from fleetgauge.llm.ngram_join import FLUSH, PART_BYTES, Packer, _meet
 
 MOST_BANDS, RECALL = 20, 0.999
 #: Words of a sentence beyond which it is cut; one word in so many has a cut behind it.
 LONG, CHOSEN = 40, 8
 _SENTENCE = re.compile(r"[.!?\u2026]+[\"')\]\u201d\u2019\u00bb]*\s+|[\u3002\uff01\uff1f]+\s*")
 _WORD = re.compile(r"\S+\s*")
-_PLACE = "line int, stop int, nth int, words int, at int, end int, sum long"
+_PLACE = ("line", "stop", "nth", "words", "at", "end")
+#: Places of units; sketches of the sets that a task meets for the first time; bands of these, packed.
+_ROWS = ", ".join(f"{c} int" for c in _PLACE) + ", sum long, set_id long, n_shingles long, sketch binary, part int, low binary, place binary, sets binary"
 _CUT = "struct<line: int, stop: int, sum: long, at: int, end: int>"
 
 
@@ -55,25 +62,6 @@ def tune(threshold: float, recall: float = RECALL, most: int = MOST_BANDS) -> tu
     return most, 1
 
 
-def band_hashes(bands: int, rows: int, least: int = 1):
-    """Hashes of the bands of a set of at least ``least`` tokens."""
-    rng = np.random.default_rng(17)
-    mul = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
-    weight = rng.integers(1, 1 << 62, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def hashes(s: np.ndarray) -> Iterator[np.ndarray]:
-        if len(s) < least:
-            return
-        low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(s), 1024):
-            x = s[i:i + 1024, None] * mul + add
-            x ^= x >> np.uint64(29)
-            low = np.minimum(low, x.min(axis=0))
-        yield mix((low.reshape(bands, rows) * weight).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-    return hashes
-
-
 def pieces(p: str) -> list[tuple[int, int]]:
     """(start, stop) of the sentences of a paragraph, the long ones cut at chosen words; together they are all of it."""
     ends = sorted({m.end() for m in _SENTENCE.finditer(p)} | {len(p)})
@@ -110,36 +98,86 @@ def units(t: str, min_words: int) -> Iterator[tuple]:
                     yield j, k, i, n, start[j] + x, start[j] + y, check, p[x:y]
 
 
-def paragraphs(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(place: struct<key, line, stop, nth, words, at, end, sum>, paragraph) of all paragraphs long enough and of all pieces."""
-    kind = dict(df.dtypes)[key]
-    names = [c.split()[0] for c in _PLACE.split(", ")]
+def places(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int, least: int, min_words: int, n_parts: int) -> DataFrame:
+    """Rows of three kinds, for one pass over the texts: (key, place, set_id) of every unit, (key, place, set_id, n_shingles,
+    sketch) of paragraphs with at least ``least`` shingles whose set the task has not met lately, and the bands of these."""
+    kind = dict(docs.dtypes)[key]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, schema = Packer(n_parts), None
         for batch in batches:
+            schema = schema or pa.schema([pa.field(key, batch.schema.field(0).type), *(pa.field(c, pa.int32()) for c in _PLACE), ("sum", pa.int64()), ("set_id", pa.int64()),
+                                          ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("low", pa.binary()), ("place", pa.binary()), ("sets", pa.binary())])
             for a, b in slices(batch.column(1)):
-                rows = [(a + i, *u) for i, t in enumerate(batch.column(1)[a:b].to_pylist()) for u in units(t, min_words)]
-                who, *cols, out = zip(*rows, strict=True) if rows else [[]] * (len(names) + 2)
-                cols = [pa.array(c, pa.int64() if x == "sum" else pa.int32()) for x, c in zip(names, cols, strict=True)]
-                place = pa.StructArray.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), *cols], ["key", *names])
-                yield pa.RecordBatch.from_arrays([place, pa.array(out, pa.string())], ["place", "paragraph"])
-    rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.col(text))
-    return rows.mapInArrow(cut, f"place struct<key: {kind}, {_PLACE.replace(' ', ': ').replace(',:', ',')}>, paragraph string")
+                found = [(a + i, *u) for i, t in enumerate(batch.column(1)[a:b].to_pylist()) for u in units(t, min_words)]
+                if not found:
+                    continue
+                who, *cols, check, out = zip(*found, strict=True)
+                own = Sets(list(out), n)
+                ids = own.ids()
+                sketch = [None] * len(found)
+                big = np.flatnonzero((np.array(cols[2]) < 0) & (own.sizes >= least))
+                big = np.array([i for i, x in zip(big.tolist(), ids[big].tolist(), strict=True) if not pack.known(x)], np.int64)
+                if len(big):
+                    tokens, starts = own.take(big)
+                    for i, x in zip(big.tolist(), parity_bitmaps(tokens, starts), strict=True):
+                        sketch[i] = x
+                    met = band_hashes(tokens, starts, bands, rows)
+                    pack.hashes.append(met.ravel())
+                    pack.owners.append(np.repeat(ids[big], bands))
+                    pack.held += met.size
+                size = pa.array(own.sizes.astype(np.int64), mask=np.array([x is None for x in sketch]))
+                cols = [batch.column(0).take(pa.array(who, pa.int64())), *(pa.array(c, pa.int32()) for c in cols), pa.array(check, pa.int64()), pa.array(ids), size, pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(found), t) for t in schema.types[len(cols):])], schema=schema)
+                yield from filed(pack, schema, FLUSH)
+        if schema:
+            yield from filed(pack, schema, 1)
+
+    def filed(pack: Packer, schema: pa.Schema, least: int) -> Iterator[pa.RecordBatch]:
+        for x in pack.flush(least):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(x.num_rows, t) for t in schema.types[:-x.num_columns]), *x.columns], schema=schema)
+    return docs.mapInArrow(cut, f"`{key}` {kind}, {_ROWS}")
+
+
+def _tokens(docs: DataFrame, key: str, text: str, n: int, sets: DataFrame):
+    """``tokens`` for ``connect``: whole sets, read again from the place of one paragraph each."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                out = [t[u["at"]:u["end"]] for t, us in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), strict=True) for u in us]
+                own = Sets(out, n)
+                cut = own.offsets.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(own.ids()), pa.array([own.tokens[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["set_id", "tokens"])
+
+    def tokens(ids: DataFrame) -> DataFrame:
+        reps = sets.join(ids, "set_id").groupBy(F.col("rep.key").alias("__key")).agg(F.collect_list(F.struct("rep.at", "rep.end")).alias("__at"))  # paragraphs of one document
+        return docs.join(reps, F.col(key) == F.col("__key")).select(text, "__at").mapInArrow(make, "set_id long, tokens binary").dropDuplicates(["set_id"])
+    return tokens
 
 
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, min_words: int = 5, passage: int = 20) -> DataFrame:
     """(key, removed, cut): lines, counted from 0, and passages (line, stop, sum, at, end) to be removed from each document that has any."""
-    rows = paragraphs(df, key, text, min_words)
-    job = Join(rows, "place", "paragraph", n, num, den)
+    docs = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.col(text))
     bands, per_band = tune(num / den)
     least = math.ceil(num / max(1, den - num))  # a smaller set and any but an equal one are further apart
-    sets = job.sets.filter(F.col("n_shingles") >= least).count()
-    filed = file_entries(rows, "paragraph", n, band_hashes(bands, per_band, least), max(1, math.ceil(16 * bands * sets / PART_BYTES)))
-    root = job.heads.select(F.col("place").alias("__place"), "set_id").join(
-        job.linked(filed).select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    root = settle(root.select("__place", "root"), "clusters")
-    first = root.groupBy("root").agg(F.min("__place.key").alias("__first"), F.max("__place.key").alias("__last")).filter("__first < __last")
-    gone = settle(root.join(first, "root").filter(F.col("__place.key") > F.col("__first")).select("__place.*"), "gone").withColumnRenamed("key", "__key")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = settle(places(docs, key, text, n, bands, per_band, least, min_words, max(1, math.ceil(2 * size / PART_BYTES))), "places").withColumnRenamed(key, "__key")
+    sets = rows.filter("sketch IS NOT NULL").groupBy("set_id").agg(F.min(F.struct(F.col("__key").alias("key"), "at", "end")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    members = rows.filter("part IS NOT NULL").select("part", "low", "place", "sets").groupBy("part").applyInArrow(_meet, "gid long, set_id long").distinct()
+
+    def near(x, y, bits):
+        return (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (bits * (den + num) <= (x + y) * (den - num))
+    met = settle(members, "met")
+    sets = settle(sets.join(met.select("set_id").distinct(), "set_id"), "sets")
+    linked = connect(met, sets.select("set_id", "n_shingles", "sketch"), _tokens(docs, key, text, n, sets), near, num, den)
+
+    # a set's first and last document, then those of its cluster; only sets that repeat meet their places
+    here = rows.filter("set_id IS NOT NULL")
+    each = here.groupBy("set_id").agg(F.min("__key").alias("__low"), F.max("__key").alias("__high"))
+    each = each.join(linked.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    first = each.groupBy("root").agg(F.min("__low").alias("__first"), F.max("__high").alias("__last")).filter("__first < __last")
+    known = each.join(first, "root").filter(F.col("__high") > F.col("__first")).select("set_id", "__first")
+    gone = settle(here.select("__key", *_PLACE, "sum", "set_id").join(known, "set_id").filter(F.col("__key") > F.col("__first")).select("__key", *_PLACE, "sum"), "gone")
     whole = gone.filter("nth < 0").select("__key", F.explode(F.sequence("line", F.col("stop") - 1)).alias("__line"), F.lit(None).cast(_CUT).alias("__cut"))
     # pieces that follow each other in one paragraph: their number and their rank in it grow alike
     rank = F.row_number().over(Window.partitionBy("__key", "line", "sum").orderBy("nth"))
