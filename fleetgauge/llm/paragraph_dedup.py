@@ -45,6 +45,8 @@ from fleetgauge.llm.ngram_join import FLUSH, PART_BYTES, Packer, _meet
 MOST_BANDS, RECALL = 20, 0.999
 #: Words of a sentence beyond which it is cut; one word in so many has a cut behind it.
 LONG, CHOSEN = 40, 8
+#: Bytes of text cut and shingled at a time.
+SLICE = 1 << 20
 _SENTENCE = re.compile(r"[.!?\u2026]+[\"')\]\u201d\u2019\u00bb]*\s+|[\u3002\uff01\uff1f]+\s*")
 _WORD = re.compile(r"\S+\s*")
 _PLACE = ("line", "stop", "nth", "words", "at", "end")
@@ -108,7 +110,7 @@ def places(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int,
         for batch in batches:
             schema = schema or pa.schema([pa.field(key, batch.schema.field(0).type), *(pa.field(c, pa.int32()) for c in _PLACE), ("sum", pa.int64()), ("set_id", pa.int64()),
                                           ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("low", pa.binary()), ("place", pa.binary()), ("sets", pa.binary())])
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE):
                 found = [(a + i, *u) for i, t in enumerate(batch.column(1)[a:b].to_pylist()) for u in units(t, min_words)]
                 if not found:
                     continue
@@ -155,6 +157,19 @@ def _tokens(docs: DataFrame, key: str, text: str, n: int, sets: DataFrame):
     return tokens
 
 
+def _packed() -> list:
+    """Places as two numbers: they are what is shuffled most."""
+    two = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+    return [two(F.shiftleft(F.col("stop") - F.col("line"), 1) + (F.col("nth") < 0).cast("int"), F.greatest("nth", F.lit(0))).alias("__which"),
+            two(F.col("at"), F.col("end")).alias("__where"), "words"]
+
+
+def _unpacked() -> list:
+    high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return [(F.col("line") + F.shiftright(high("__which"), 1)).alias("stop"), F.when(high("__which") % 2 == 1, -1).otherwise(low("__which")).alias("nth"), "words",
+            high("__where").alias("at"), low("__where").alias("end")]
+
+
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, min_words: int = 5, passage: int = 20) -> DataFrame:
     """(key, removed, cut): lines, counted from 0, and passages (line, stop, sum, at, end) to be removed from each document that has any."""
     docs = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.col(text))
@@ -171,13 +186,15 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     sets = settle(sets.join(met.select("set_id").distinct(), "set_id"), "sets")
     linked = connect(met, sets.select("set_id", "n_shingles", "sketch"), _tokens(docs, key, text, n, sets), near, num, den)
 
-    # a set's first and last document, then those of its cluster; only sets that repeat meet their places
+    # a set's first and last document; of sets in clusters, the cluster's; only sets that repeat meet their places
     here = rows.filter("set_id IS NOT NULL")
     each = here.groupBy("set_id").agg(F.min("__key").alias("__low"), F.max("__key").alias("__high"))
-    each = each.join(linked.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    first = each.groupBy("root").agg(F.min("__low").alias("__first"), F.max("__high").alias("__last")).filter("__first < __last")
-    known = each.join(first, "root").filter(F.col("__high") > F.col("__first")).select("set_id", "__first")
-    gone = settle(here.select("__key", *_PLACE, "sum", "set_id").join(known, "set_id").filter(F.col("__key") > F.col("__first")).select("__key", *_PLACE, "sum"), "gone")
+    linked = settle(linked.select(F.col("node").alias("set_id"), "root"), "linked")
+    parts = each.join(linked, "set_id").groupBy("root").agg(F.min("__low").alias("__first"))
+    parts = settle(linked.join(parts, "root").select("set_id", "__first"), "clusters")
+    known = each.join(parts, "set_id", "left").withColumn("__first", F.coalesce("__first", "__low")).filter(F.col("__high") > F.col("__first")).select("set_id", "__first")
+    gone = here.select("__key", "line", *_packed(), "sum", "set_id").join(known, "set_id").filter(F.col("__key") > F.col("__first"))
+    gone = settle(gone.select("__key", "line", *_unpacked(), "sum"), "gone")
     whole = gone.filter("nth < 0").select("__key", F.explode(F.sequence("line", F.col("stop") - 1)).alias("__line"), F.lit(None).cast(_CUT).alias("__cut"))
     # pieces that follow each other in one paragraph: their number and their rank in it grow alike
     rank = F.row_number().over(Window.partitionBy("__key", "line", "sum").orderBy("nth"))
