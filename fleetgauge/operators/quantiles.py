@@ -1,10 +1,13 @@
 """Exact linear-interpolated quantiles per group, safe for very large groups.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here the value range of a group is cut into equal-width
-buckets that are counted map side, so only a few counts per group are
-shuffled. Just the buckets that hold a wanted rank are then ordered: no task
-ever sees more than one bucket of one group, and nothing is approximated.
+aggregation buffer. Here ranks are found by radix selection on an image of the
+double that keeps its order: binary exponent, then mantissa. The first pass
+counts ``buckets`` parts of every power of two, map side; only the parts that
+hold a wanted rank go on, and two more digits of the mantissa settle the value
+itself. Outliers do not matter: a spike lies in a part of its own. No task
+orders more than the parts of a group's powers of two, 2**22 counts in the
+second pass or 2**21 in the third (at the default), and nothing is approximated.
 
 Use the built-in instead where a group is bounded by construction, such as the
 288 rows of a sliding window.
@@ -17,55 +20,64 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.cols import any_of, dbl
 
-BUCKETS = 4096
+BUCKETS = 1024  # parts of a power of two that the first pass counts
+LAST_BITS = 21  # bits of the last digit
 
 
-def exact_quantiles(long: DataFrame, keys, value: str, probs: dict[str, float], buckets: int = BUCKETS, slot: Column | None = None) -> DataFrame:
-    """One row per key group: ``q_n`` (non-NULL count) and one column per probability.
+def _with_digits(rows: DataFrame, buckets: int) -> DataFrame:
+    """Adds ``_q1``, ``_q2`` and ``_q3``: together they order and tell apart all doubles as ``_v`` does.
 
-    ``slot`` may give the bucket directly as any non-decreasing integer
-    function of ``value``; then no pass for the value range is needed.
+    The logarithm may be off by one next to a power of two. It never falls, and
+    the scaled mantissa is an integer whichever of the two exponents was found,
+    so the order still holds. Infinities and NaN (largest) have parts of their own.
     """
+    v = F.col("_v").cast("double")
+    x, odd = F.abs(v), F.isnan("_v") | (F.abs(v) == dbl("inf"))
+    up = F.lit(53) - F.col("_q_exp")
+    half = F.floor(up / F.lit(2))  # in two steps, as 2**1127 is no double
+    scaled = (x * F.pow(dbl(2.0), half) * F.pow(dbl(2.0), up - half)).cast("long") - F.lit(1 << 52)
+    width = -(-(1 << 53) // buckets)
+    rest = F.pmod("_q_man", F.lit(width))
+    first = ((F.col("_q_man") - rest) / F.lit(width)).cast("long")
+    side = F.when(odd, F.when(F.isnan("_v"), 3001).otherwise(F.signum(v) * 3000)).otherwise(F.signum(v) * F.coalesce(F.col("_q_exp") + 1100, F.lit(0))).cast("long")
+    return (rows.withColumn("_q_exp", F.floor(F.log2(F.when(~odd & (x > 0), x))))
+            .withColumn("_q_man", F.coalesce(F.when(v < 0, F.lit(1 << 54) - scaled).otherwise(scaled), F.lit(0)))
+            .withColumns({"_q1": side * F.lit(4 * buckets) + first, "_q2": F.shiftright(rest, LAST_BITS), "_q3": rest.bitwiseAND(F.lit((1 << LAST_BITS) - 1))})
+            .drop("_q_exp", "_q_man"))
+
+
+def exact_quantiles(long: DataFrame, keys, value: str, probs: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
+    """One row per key group: ``q_n`` (non-NULL count) and one column per probability."""
     keys = list(keys)
-    if slot is not None:
-        placed = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), slot.alias("_b"))
-        return _pick_ranks(placed, keys, probs)
-    rows = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    slot = F.when(width > 0, F.least(F.lit(buckets - 1),
-                                     F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(buckets)).cast("int")))
-    placed = rows.join(span, keys).select(*keys, "_v", F.coalesce(slot, F.lit(0)).alias("_b"))
-    return _pick_ranks(placed, keys, probs)
-
-
-def _pick_ranks(placed: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    per_key = Window.partitionBy(*keys)
-    totals = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bw"))
-    totals = totals.select(
-        *keys, "_b", "_bw",
-        (F.sum("_bw").over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-         - F.col("_bw")).alias("_before"),
-        F.sum("_bw").over(per_key).alias("q_n"))
-
-    def rank(p, n="q_n"):
-        return dbl(p) * (F.col(n) - F.lit(1))
-
-    end = F.col("_before") + F.col("_bw")
-    wanted = any_of((r >= F.col("_before")) & (r < end)
-                    for p in probs.values() for r in (F.floor(rank(p)), F.ceil(rank(p))))
-    candidates = (placed.join(totals.where(wanted).drop("_bw"), [*keys, "_b"])
-                  .groupBy(*keys, "_b", "_before", "q_n", "_v").agg(F.count(F.lit(1)).alias("_w")))
-    upto = (F.sum("_w").over(Window.partitionBy(*keys, "_b").orderBy("_v")
-                             .rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"))
-    ranked = candidates.withColumn("_c1", upto).withColumn("_c0", F.col("_c1") - F.col("_w"))
-
-    def at(r):
+    rows = _with_digits(long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")), buckets)
+
+    def rank(p):
+        return dbl(p) * (F.col("q_n") - F.lit(1))
+
+    def counted(at: DataFrame, path: list[str], digit: str, *more: Column) -> DataFrame:
+        """Counts per digit with the number of values before them, ``_c0``, and up to them, ``_c1``."""
+        fixed = [c for c in ("_before", "q_n") if c in at.columns]
+        c = at.groupBy(*keys, *path, *fixed, digit).agg(F.count(F.lit(1)).alias("_w"), *more)
+        before = F.col("_before") if fixed else F.lit(0)
+        upto = F.sum("_w").over(Window.partitionBy(*keys, *path).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)) + before
+        if not fixed:
+            c = c.withColumn("q_n", F.sum("_w").over(Window.partitionBy(*keys)))
+        return c.withColumn("_c1", upto).withColumn("_c0", F.col("_c1") - F.col("_w"))
+
+    wanted = any_of((r >= F.col("_c0")) & (r < F.col("_c1")) for p in probs.values() for r in (F.floor(rank(p)), F.ceil(rank(p))))
+    at, path = rows, []
+    for digit in ("_q1", "_q2"):
+        held = counted(at, path, digit).where(wanted)
+        path = [*path, digit]
+        at = rows.join(held.select(*keys, *path, F.col("_c0").alias("_before"), "q_n"), [*keys, *path])
+    ranked = counted(at, path, "_q3", F.min("_v").alias("_v"))
+
+    def value_at(r):
         return F.max(F.when((F.col("_c0") <= r) & (r < F.col("_c1")), F.col("_v")))
 
     aggs = [F.max("q_n").alias("q_n")]
     for name, p in probs.items():
-        aggs += [at(F.floor(rank(p))).alias(f"_l_{name}"), at(F.ceil(rank(p))).alias(f"_h_{name}")]
+        aggs += [value_at(F.floor(rank(p))).alias(f"_l_{name}"), value_at(F.ceil(rank(p))).alias(f"_h_{name}")]
     picked = ranked.groupBy(*keys).agg(*aggs)
     out = [*keys, "q_n"]
     for name, p in probs.items():

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import ordered
-from fleetgauge.operators.quantiles import exact_quantiles, wide_quantiles
+from fleetgauge.operators.quantiles import _with_digits, exact_quantiles, wide_quantiles
 from helpers import frame
 
 
@@ -62,3 +62,23 @@ def test_rows_without_an_order_key_come_first(spark):
     d = spark.createDataFrame([("a", 5), ("a", None), ("a", 200000), ("b", None), ("b", 1)], "k string, i long")
     got = {(r.k, r.i): r.rn for r in ordered.ordinal(d, ["k"], ["i"], ordered.id_chunk("i")).collect()}
     assert got == {("a", None): 0, ("a", 5): 1, ("a", 200000): 2, ("b", None): 0, ("b", 1): 1}
+
+
+def test_quantiles_of_every_scale(spark):
+    """Powers of two, their neighbours, subnormals, both signs and spikes: the order of the digits is that of the doubles."""
+    p = np.ldexp(1.0, np.arange(-1074, 1024))
+    x = np.concatenate([p, np.nextafter(p, 0), np.nextafter(p, np.inf), [0.0, 1.7976931348623157e308]])
+    x = np.unique(np.concatenate([x, -x])[np.isfinite(np.concatenate([x, -x]))])
+    d = _with_digits(spark.createDataFrame(pd.DataFrame({"_v": np.random.default_rng(2).permutation(x)})), 1024).orderBy("_q1", "_q2", "_q3").toPandas()
+    assert d["_v"].tolist() == x.tolist()
+    assert not d.duplicated(["_q1", "_q2", "_q3"]).any()
+    assert d["_q2"].max() < 1 << 22 and d["_q3"].max() < 1 << 21
+    probs = {f"p{i}": i / 8 for i in range(9)}
+    got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"k": 1, "v": x[np.abs(x) < 1e300]})), ["k"], "v", probs).first()
+    assert [got[n] for n in probs] == pytest.approx(np.quantile(x[np.abs(x) < 1e300], list(probs.values())).tolist(), rel=1e-12)
+
+
+def test_a_spike_leaves_the_parts_fine(spark):
+    """One value of 1e9 among values below 100: the busiest part holds 1/1024 of a power of two, not all of them."""
+    d = spark.range(200_000).select(F.lit("hot").alias("k"), F.when(F.col("id") == 7, 1e9).otherwise(F.rand(5) * 100).alias("_v"))
+    assert _with_digits(d, 1024).groupBy("k", "_q1").count().agg(F.max("count")).first()[0] < 1000
