@@ -107,6 +107,13 @@ def a09(spark, d):
                             F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), F.length("sha256").alias("hash_length")))
 
 
+@query("a09_payload_hash")
+def a09_hash(spark, d):
+    """The hash itself; a fixed SQL text cannot rebuild the documents byte by byte."""
+    docs = bind.trend_docs(spark, d)
+    return tl.point_manifest(tl.decode(docs, "doc_id"), docs, "doc_id").select("doc_id", "object_name", "record_count", "sha256")
+
+
 @query("a10_report_sinks", with_(FLEET_SQL, body="""SELECT site, equipment_type, count(DISTINCT device_id) AS devices FROM fleet GROUP BY 1,2"""))
 def a10(spark, d):
     path = _tmp(spark, "report")

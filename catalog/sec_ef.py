@@ -44,10 +44,13 @@ def e03(spark, d):
     return rounded(a.where("equipment_type = 'cooling_tower'").select(*KEYS, "ts_s", "flow"))
 
 
-@query("e03_attribution_flags", with_(ATT_SQL, body="""SELECT site, device_id, count(attributed_flow_m3_h) AS rows, CASE WHEN equipment_type='pump' AND NOT bool_or(run_usable2) THEN 'attribution_blocked:run_signal_absent' ELSE
+E03_TEXT = """SELECT site, device_id, count(attributed_flow_m3_h) AS rows, CASE WHEN equipment_type='pump' AND NOT bool_or(run_usable2) THEN 'attribution_blocked:run_signal_absent' ELSE
  concat('attributed_flow_m3_h<-sum(', CASE equipment_type WHEN 'pump' THEN 'all chiller.chw_flow_m3_h' ELSE 'paired.cw_flow_m3_h' END, ')|grade=', CASE equipment_type WHEN 'pump' THEN 'solo_window' ELSE 'paired_devices' END,
  '|rows=', CAST(count(attributed_flow_m3_h) AS STRING)) END AS flow_attribution
- FROM (SELECT *, run_signal IS NOT NULL AS run_usable2 FROM att) WHERE equipment_type IN ('pump','cooling_tower') GROUP BY site, device_id, equipment_type"""))
+ FROM (SELECT *, run_signal IS NOT NULL AS run_usable2 FROM att) WHERE equipment_type IN ('pump','cooling_tower') GROUP BY site, device_id, equipment_type"""
+
+
+@query("e03_attribution_flags", with_(ATT_SQL, body=E03_TEXT))
 def e03_flags(spark, d):
     a = bind.attributed(spark, d).where("equipment_type IN ('pump', 'cooling_tower')")
     pump = F.col("equipment_type") == "pump"
@@ -141,13 +144,16 @@ def f06(spark, d):
     return t.select(*KEYS, "ts_s", rc.active_count(t, ["fan1_Hz", "fan2_Hz", "fan3_Hz"]).alias("fans_on_count"))
 
 
-@query("f07_recon_dispatch", with_(ATT_SQL, body="""SELECT site, device_id, equipment_type, concat_ws(';',
+F07_TEXT = """SELECT site, device_id, equipment_type, concat_ws(';',
  CASE WHEN equipment_type='cooling_tower' THEN 'fans_on_count=active_count(of 2/2 signals > 5.0, per_signal=1)' END,
  CASE WHEN equipment_type='cooling_tower' THEN concat('heat_rejection_W=heat_rate(flow=attributed_flow_m3_h,n=', CAST(count(heat_rejection_W) AS STRING), ')') END,
  CASE WHEN equipment_type='heat_exchanger' THEN concat('Q_W=heat_rate(flow=chw_flow_m3_h,n=', CAST(count(Q_W) AS STRING), ')') END,
  CASE WHEN equipment_type IN ('heat_exchanger','chiller') THEN concat('Q_cond_W=heat_rate(flow=cw_flow_m3_h,n=', CAST(count(Q_cond_W) AS STRING), ')') END,
  CASE WHEN equipment_type='chiller' THEN concat('cooling_load_W=chw_energy_balance(flow=chw_flow_m3_h,n=', CAST(count(cooling_load_W) AS STRING), ')') END,
- CASE WHEN equipment_type='chiller' THEN concat('power_W_recon=energy_balance_power(n=', CAST(count(power_W_recon) AS STRING), ')') END) AS reconstructed FROM att GROUP BY 1,2,3"""))
+ CASE WHEN equipment_type='chiller' THEN concat('power_W_recon=energy_balance_power(n=', CAST(count(power_W_recon) AS STRING), ')') END) AS reconstructed FROM att GROUP BY 1,2,3"""
+
+
+@query("f07_recon_dispatch", with_(ATT_SQL, body=F07_TEXT))
 def f07(spark, d):
     return rc.method_flags(bind.attributed(spark, d), bind.RECON)
 

@@ -165,6 +165,13 @@ def j06(spark, d):
     return rounded(p.select(*KEYS, "candidate", *[F.col("c")[i].alias(f"c{i}") for i in range(5)]), _=4)
 
 
+@query("j06_pump_flow_form")
+def j06_all(spark, d):
+    """All forms; where the flow is constant ``speed_flow`` is rank deficient and its coefficients are the solver's choice, so no twin."""
+    t = sp.chronological_split(pump_table(spark, d)).where("segment = 'identification'")
+    return rounded(fit.pump_normalised_fit(t, ft.pump_nominals(t)).select(*KEYS, "candidate", *[F.col("c")[i].alias(f"c{i}") for i in range(5)]), _=4)
+
+
 @query("j07_scale_fit", with_(KP_SQL, body=f"""SELECT site, device_id, n, {R("CASE WHEN n<2 OR b IS NULL OR b<1e-9 THEN 1e0 ELSE a/b END")} AS scale FROM (SELECT site, device_id, count(CASE WHEN s>0 AND m IS NOT NULL THEN 1 END) AS n, sum(CASE WHEN s>0 THEN m*s END) AS a, sum(CASE WHEN s>0 AND m IS NOT NULL THEN s*s END) AS b FROM pp GROUP BY 1,2)"""))
 def j07(spark, d):
     return rounded(fit.scale_fit(power_pairs(spark, d), KEYS, "m", "s"))
@@ -530,18 +537,22 @@ def _bq(pfx):
     return f"({pfx}1+{pfx}2*CHWS+{pfx}3*CHWS*CHWS+{pfx}4*CDWS+{pfx}5*CDWS*CDWS+{pfx}6*CHWS*CDWS)"
 
 
-SCR_SQL = EIR_SQL + ",\n" + LIB_SQL + f""",
-lp AS (SELECT e0.site, e0.device_id, lib_id, P_kW*1e3 AS pm, Q_evap_kW*1e3 AS qm, qn*greatest(5e-2,{_bq('cap')}) AS av, greatest(5e-2,{_bq('lib.eir')}) AS ei, plmin, rq, copn, plr1, plr2, plr3 FROM e0 CROSS JOIN lib WHERE plr3 IS NOT NULL),
+SCR_SQL = CHT_SQL + ",\n" + LIB_SQL + f""",
+chs AS (SELECT *, {SEG} FROM (SELECT *, {CHR} FROM cht)),
+cn AS (SELECT device_id AS dn, max(Q_evap_kW)*1e3 AS qn, arg_max(Q_evap_kW/P_kW, (Q_evap_kW, -ts_s)) AS copn, greatest(5e-2, min(Q_evap_kW)/max(Q_evap_kW)) AS plmin FROM chs WHERE segment='identification' GROUP BY 1),
+e0 AS (SELECT *, CHW*4180*greatest(CHWR-CHWS,0e0) AS rq FROM chs JOIN cn ON dn=device_id),
+lp AS (SELECT e0.site, e0.device_id, lib_id, P_kW*1e3 AS pm, Q_evap_kW*1e3 AS qm, qn*greatest(5e-2,{_bq('cap')}) AS av, greatest(5e-2,{_bq('lib.eir')}) AS ei, plmin, rq, copn, plr1, plr2, plr3 FROM e0 CROSS JOIN lib WHERE plr3 IS NOT NULL AND segment='identification'),
 lq AS (SELECT *, least(115e-2, greatest(plmin, rq/greatest(av,1e0))) AS pl FROM lp),
 lz AS (SELECT site, device_id, lib_id, 1e2*sqrt(avg((ps-pm)*(ps-pm)))/avg(pm) AS P_CVRMSE_pct, 1e2*sqrt(avg((av*pl-qm)*(av*pl-qm)))/avg(qm) AS Q_CVRMSE_pct FROM (SELECT *, av/greatest(copn,1e-1)*ei*greatest(5e-2, plr1+plr2*pl+plr3*pl*pl) AS ps FROM lq) GROUP BY 1,2,3)"""
 
 
+def curves(spark, d):
+    return bind.table(spark, d, "part").selectExpr("concat('L', CAST(p_partkey AS STRING)) AS lib_id", *_LSEL_SPARK)
+
+
 @staged("screen")
 def screen(spark, d):
-    t = _chi(spark, d).select(*KEYS, F.col("qn").alias("QN"), F.col("copn").alias("COPN"), F.col("plmin").alias("PLRMin"), dbl(1.15).alias("PLRMax"), "CHWR", "CHWS", "CDWS", "CHW",
-                              (F.col("P_kW") * 1000.0).alias("P_W"), (F.col("Q_evap_kW") * 1000.0).alias("Q_W"))
-    lib = bind.table(spark, d, "part").selectExpr("concat('L', CAST(p_partkey AS STRING)) AS lib_id", *_LSEL_SPARK)
-    return fit.library_screen(t, lib)
+    return fit.library_screen(fit.chiller_points(fit.chiller_training(chiller_table(spark, d))[1]), curves(spark, d))
 
 
 _LSEL_SPARK = [(f"CAST('{v!r}' AS DOUBLE)*({s}) AS {n}" if n != "plr3" else f"CASE WHEN p_size=9 THEN NULL ELSE CAST('{v!r}' AS DOUBLE)*({s}) END AS {n}") for n, (v, s) in _LC.items()]
@@ -552,9 +563,41 @@ def e16(spark, d):
     return rounded(screen(spark, d))
 
 
-@query("e16_best_curve", with_(SCR_SQL, body=f"SELECT site, device_id, {R('min(P_CVRMSE_pct+Q_CVRMSE_pct)')} AS score FROM lz GROUP BY 1,2"))
+BEST_SQL = SCR_SQL + """,
+bc AS (SELECT site, device_id, min(P_CVRMSE_pct+Q_CVRMSE_pct) AS score, arg_min(lib_id, (round(P_CVRMSE_pct+Q_CVRMSE_pct,9), lib_id)) AS lib_id FROM lz GROUP BY 1,2)"""
+
+
+@query("e16_best_curve", with_(BEST_SQL, body=f"SELECT site, device_id, lib_id, {R('score')} AS score FROM bc"))
 def e16_best(spark, d):
-    return rounded(fit.best_curve(screen(spark, d)).select(*KEYS, "score"))
+    return rounded(fit.best_curve(screen(spark, d)).select(*KEYS, "lib_id", "score"))
+
+
+CSEL_SQL = BEST_SQL + f""",
+sx AS (SELECT e0.*, bc.lib_id, plr1, plr2, plr3, qn*greatest(5e-2,{_bq('cap')}) AS av, greatest(5e-2,{_bq('lib.eir')}) AS ei FROM e0 JOIN bc ON bc.device_id=e0.device_id JOIN lib ON lib.lib_id=bc.lib_id WHERE segment IN ('selection','test')),
+sy AS (SELECT *, least(115e-2, greatest(plmin, rq/greatest(av,1e0))) AS pl FROM sx),
+sz AS (SELECT site, device_id, 'ElectricEIR' AS candidate, segment AS stage, lib_id, P_kW*1e3 AS pm, Q_evap_kW*1e3 AS qm, av*pl AS qs, av/greatest(copn,1e-1)*ei*greatest(5e-2, plr1+plr2*pl+plr3*pl*pl) AS ps FROM sy
+ UNION ALL SELECT site, device_id, 'CarnotTA', segment, NULL, P_kW*1e3, Q_evap_kW*1e3, qn*plc, qn*plc/greatest(1e-1, 45e-2*(CHWS+27315e-2)/greatest(1e0, CDWS-CHWS))
+ FROM (SELECT *, least(115e-2, greatest(plmin, rq/greatest(qn,1e0))) AS plc FROM e0 WHERE segment IN ('selection','test'))),
+csel AS (SELECT site, device_id, candidate, stage, lib_id, count(*) AS N, 1e2*sqrt(avg((ps-pm)*(ps-pm)))/avg(pm) AS P_CVRMSE_pct, 1e2*avg(ps-pm)/avg(pm) AS P_NMBE_pct, 1e2*sqrt(avg((qs-qm)*(qs-qm)))/avg(qm) AS Q_CVRMSE_pct,
+ 1e2*sqrt(avg((qs/ps-qm/pm)*(qs/ps-qm/pm)))/avg(qm/pm) AS COP_CVRMSE_pct, 1e2*avg(qs/ps-qm/pm)/avg(qm/pm) AS COP_NMBE_pct, sqrt(avg((ps-pm)*(ps-pm)))/sqrt(nullif(var_pop(pm),0)) AS P_skill, sqrt(avg((qs-qm)*(qs-qm)))/sqrt(nullif(var_pop(qm),0)) AS Q_skill
+ FROM sz WHERE pm>0 AND ps>0 GROUP BY ALL)"""
+
+
+@staged("chiller_selection")
+def chiller_stages(spark, d):
+    return fit.chiller_model_selection(chiller_table(spark, d), curves(spark, d))
+
+
+@query("j24_chiller_model_selection", with_(CSEL_SQL, body=f"SELECT site, device_id, candidate, stage, lib_id, N, {out_cols(_KC, 3)} FROM csel"))
+def j24_chiller(spark, d):
+    return rounded(chiller_stages(spark, d).select(*KEYS, "candidate", "stage", "lib_id", "N", *_KC), _=3)
+
+
+@query("j24_chiller_winner", with_(CSEL_SQL, body=f"""SELECT w.site, w.device_id, w.candidate, {R('selection_score', 3)} AS selection_score, t.N AS test_N, {R('t.P_CVRMSE_pct', 3)} AS test_score
+ FROM (SELECT site, device_id, arg_min(candidate, (P_CVRMSE_pct, candidate='CarnotTA')) AS candidate, min(P_CVRMSE_pct) AS selection_score FROM csel WHERE stage='selection' GROUP BY 1,2) w
+ LEFT JOIN csel t ON t.device_id=w.device_id AND t.candidate=w.candidate AND t.stage='test'"""))
+def j24_winner(spark, d):
+    return rounded(fit.select_on_stage(chiller_stages(spark, d), "P_CVRMSE_pct", ["ElectricEIR", "CarnotTA"]), _=3)
 
 
 @query("e17_grid_expand", with_(HXN_SQL, body=f"""SELECT site, device_id, 'product' AS mode, grid_id::BIGINT AS grid_id, 'Q_flow_nominal' AS param, {R('Q_flow_nominal*a', 4)} AS value FROM hxn CROSS JOIN (VALUES {_GP}) AS g(grid_id, a, b)

@@ -9,6 +9,7 @@ from fleetgauge import KEYS
 from fleetgauge.contracts import PROFILES, per_family
 from fleetgauge.functions import metrics as mx
 from fleetgauge.functions.cols import dbl, is_true, ratio, unpivot
+from fleetgauge.operators import ordered
 
 # --- fixed values: published power errors per family, for context ----------------------------------
 PUBLISHED_MAPE = {
@@ -74,13 +75,27 @@ def reconcile_series(series_scores: DataFrame, published: DataFrame, tolerance:
     """The captured series that belongs to each published figure.
 
     ``series_scores`` is ``(series_id, N, rmse, cvrmse)``; ``published`` is
-    ``(device_id, N, kind, expected)``. The nearest metric at the same N wins,
-    within the larger of 2 % and 1e-3.
+    ``(device_id, N, kind, expected)``. The nearest metric at the same N wins
+    (to nine decimals; ties to the smaller series), within the larger of 2 % and
+    1e-3. Series that agree to nine decimals count once. The nearest one is the
+    last at or below the figure or the first at or above it, so figures and series
+    are stacked and scanned in both directions; no pairs are formed. Null and NaN
+    metrics, figures and N match nothing.
     """
-    j = published.join(series_scores, "N")
-    gap = F.abs(F.when(F.col("kind") == "rmse", F.col("rmse")).otherwise(F.col("cvrmse")) - F.col("expected"))
-    best = j.withColumn("gap", gap).groupBy("device_id", "N", "kind", "expected").agg(F.min_by(F.struct("series_id", "gap"), F.struct(F.round("gap", 9), "series_id")).alias("b"))
+    key = ["N", "_rmse"]
+    cells = F.array(F.struct(F.lit(True).alias("r"), F.col("rmse").cast("double").alias("x")), F.struct(F.lit(False).alias("r"), F.col("cvrmse").cast("double").alias("x")))
+    s = series_scores.where("N IS NOT NULL").select("series_id", "N", F.explode(cells).alias("c")).where(F.col("c.x").isNotNull() & ~F.isnan("c.x"))
+    s = s.groupBy("N", F.col("c.r").alias("_rmse"), F.round("c.x", 9).alias("_r")).agg(F.min(F.struct("series_id", F.col("c.x").alias("x"))).alias("_s"))
+    p = published.where(F.col("N").isNotNull() & F.col("expected").isNotNull()).select("device_id", "N", "kind", "expected").distinct()
+    p = p.withColumns({"_rmse": is_true(F.col("kind") == "rmse"), "_x": F.col("expected").cast("double")}).where(~F.isnan("_x"))
+    row = F.struct("device_id", "kind", "expected").alias("_row")
+    p = p.select(*key, "_x", row, F.lit(1).alias("_late"))
+    s = s.select(*key, F.col("_s.x").alias("_x"), "_s", F.lit(0).alias("_late"))
+    d = p.unionByName(s, allowMissingColumns=True)
+    for name, x in (("_below", F.col("_x")), ("_above", -F.col("_x"))):
+        d = ordered.carry_last(d.withColumn("_o", x), key, ["_o", "_late"], F.floor(F.col("_o") * dbl(10.0)), "_s", name).drop("_o")
+    gap = lambda c: F.abs(F.col(f"{c}.x") - F.col("_x"))
+    near = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.round(gap(c), 9).alias("r"), F.col(f"{c}.series_id").alias("series_id"), gap(c).alias("gap"))) for c in ("_below", "_above")])))
+    best = d.where("_late = 1").select("_row.device_id", "N", "_row.kind", "_row.expected", near.alias("b"))
     tol = F.greatest(dbl(tolerance) * F.abs("expected"), dbl(floor))
     return best.where(F.col("b.gap") <= tol).select("device_id", "N", "kind", "expected", "b.series_id", "b.gap")
-
-

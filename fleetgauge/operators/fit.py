@@ -356,66 +356,67 @@ def fan_exponent_search(table: DataFrame, nominal: DataFrame, alphas=FAN_ALPHAS,
 
 
 # ---- curve library -----------------------------------------------------------------------------------
-LIBRARY_CHUNK = 2048
+LIBRARY_CHUNK, LIBRARY_ROWS = 16384, 65536  # curves and points that meet in one task, about
 EIR_NAMES = [f"cap{i}" for i in range(1, 7)] + [f"eir{i}" for i in range(1, 7)] + [f"plr{i}" for i in range(1, 4)]
 _POINT = ["QN", "COPN", "PLRMin", "PLRMax", "CHWR", "CHWS", "CDWS", "CHW", "P_W", "Q_W"]
 
 
-def _screen_chunk(ids: list, coef: np.ndarray):
-    """Partial squared errors of every (device, curve) in one batch of points."""
-    cp, names, keys = md.CP, list(_POINT), list(KEYS)
-
-    def run(batches):
-        for pdf in batches:
-            v = pdf[names].to_numpy(float).T[:, :, None]
-            qn, copn, lo, hi, ent, ts, tc, m, pm, qm = v
-            c = coef.T[:, None, :]
-
-            def quad(o):
-                return np.maximum(0.05, c[o] + c[o + 1] * ts + c[o + 2] * ts * ts + c[o + 3] * tc + c[o + 4] * tc * tc + c[o + 5] * ts * tc)
-            avail = np.abs(qn) * quad(0)
-            plr = np.clip(np.maximum(0.0, m) * cp * np.maximum(0.0, ent - ts) / np.maximum(1.0, avail), lo, hi)
-            ps = avail / np.maximum(0.1, copn) * quad(6) * np.maximum(0.05, c[12] + c[13] * plr + c[14] * plr * plr)
-            ep, eq = (ps - pm) ** 2, (avail * plr - qm) ** 2
-            dev = pdf.groupby(keys, sort=False).indices
-            for key, rows in dev.items():
-                yield pd.DataFrame({"site": key[0], "device_id": key[1], "lib_id": ids, "sse_p": ep[rows].sum(0), "sse_q": eq[rows].sum(0)})
+def _screen_block(names: list, cells: int = 1 << 19):
+    """Squared errors of every (device, curve) of a block of points and a chunk of curves, ``cells`` pairs at a time."""
+    cp, point, keys = md.CP, list(_POINT), list(KEYS)
+
+    def run(points, curves):
+        out = [pd.DataFrame({"site": [], "device_id": [], "lib_id": [], "sse_p": [], "sse_q": []}).astype({"site": str, "device_id": str, "lib_id": str})]
+        c = curves[names].to_numpy(float).T[:, None, :]
+        step = max(1, cells // max(1, len(curves)))
+        for key, rows in points.groupby(keys, sort=False) if len(curves) else ():
+            values = rows[point].to_numpy(float)
+            sums = np.zeros((2, len(curves)))
+            for i in range(0, len(values), step):
+                qn, copn, lo, hi, ent, ts, tc, m, pm, qm = values[i:i + step].T[:, :, None]
+
+                def quad(o, ts=ts, tc=tc):
+                    return np.maximum(0.05, c[o] + c[o + 1] * ts + c[o + 2] * ts * ts + c[o + 3] * tc + c[o + 4] * tc * tc + c[o + 5] * ts * tc)
+                avail = np.abs(qn) * quad(0)
+                plr = np.clip(np.maximum(0.0, m) * cp * np.maximum(0.0, ent - ts) / np.maximum(1.0, avail), lo, hi)
+                ps = avail / np.maximum(0.1, copn) * quad(6) * np.maximum(0.05, c[12] + c[13] * plr + c[14] * plr * plr)
+                sums += ((ps - pm) ** 2).sum(0), ((avail * plr - qm) ** 2).sum(0)
+            out.append(pd.DataFrame({"site": key[0], "device_id": key[1], "lib_id": curves["lib_id"], "sse_p": sums[0], "sse_q": sums[1]}))
+        return pd.concat(out, ignore_index=True)
     return run
 
 
-def library_screen(points: DataFrame, library: DataFrame, names=tuple(EIR_NAMES), lib_id: str = "lib_id", chunk: int = LIBRARY_CHUNK) -> DataFrame:
+def library_screen(points: DataFrame, library: DataFrame, names=tuple(EIR_NAMES), lib_id: str = "lib_id", chunk: int = LIBRARY_CHUNK, rows: int = LIBRARY_ROWS) -> DataFrame:
     """Every reference curve on every training point: score = P CVRMSE + Q CVRMSE.
 
-    Curves are shipped to the tasks in chunks of fixed size, so what a task
-    holds never grows with the library; a task returns one partial sum per
-    device and curve, not one row per point and curve. Curves that lack a
-    coefficient are skipped. ``points`` carries the columns of ``_POINT``.
+    Both sides are dealt out: the points of a device, by a hash of their time
+    stamp, over blocks of about ``rows``, the curves over chunks of about
+    ``chunk``. A block meets a chunk in one task, which returns one partial sum
+    per device and curve. Neither the library nor a dominant device passes whole
+    through a task or the driver. Curves that lack a coefficient are skipped.
+    ``points`` carries ``ts`` and the columns of ``_POINT``.
     """
     lib = library.dropna(subset=list(names)).select(F.col(lib_id).cast("string").alias("lib_id"), *names)
-    points = settle(points.select(*KEYS, *_POINT), "screen_points")
-    parts, buf = None, []
-
-    def flush():
-        nonlocal parts, buf
-        if buf:
-            run = _screen_chunk([b[0] for b in buf], np.array([[float(x) for x in b[1:]] for b in buf]))
-            p = points.mapInPandas(run, "site string, device_id string, lib_id string, sse_p double, sse_q double")
-            parts = p if parts is None else parts.unionByName(p)
-        buf = []
-    for row in lib.toLocalIterator():
-        buf.append(tuple(row))
-        if len(buf) == chunk:
-            flush()
-    flush()
-    sums = parts.groupBy(*KEYS, "lib_id").agg(F.sum("sse_p").alias("sp"), F.sum("sse_q").alias("sq"))
-    n = points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("P_W").alias("mp"), F.avg("Q_W").alias("mq"))
+    points = settle(points.select(*KEYS, "ts", *_POINT), "screen_points")
+    n = settle(points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("P_W").alias("mp"), F.avg("Q_W").alias("mq")), "screen_sizes")
+    parts = F.ceil(F.col("n") / F.lit(rows))
+    n_blocks, n_chunks = max(1, n.agg(F.sum(parts)).first()[0] or 0), max(1, -(-lib.count() // chunk))
+
+    def every(k: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    block = F.pmod(F.xxhash64(*KEYS, F.pmod(F.xxhash64("ts"), parts)), F.lit(n_blocks)).cast("int")
+    left = points.join(n.select(*KEYS, "n"), list(KEYS)).select(*KEYS, *_POINT, block.alias("_block")).withColumn("_chunk", every(n_chunks))
+    right = lib.withColumn("_chunk", F.pmod(F.xxhash64("lib_id"), F.lit(n_chunks)).cast("int")).withColumn("_block", every(n_blocks))
+    meet = left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk"))
+    sums = meet.applyInPandas(_screen_block(list(names)), "site string, device_id string, lib_id string, sse_p double, sse_q double")
+    sums = sums.groupBy(*KEYS, "lib_id").agg(F.sum("sse_p").alias("sp"), F.sum("sse_q").alias("sq"))
     j = sums.join(n, list(KEYS))
     cv_p, cv_q = dbl(100.0) * ratio(F.sqrt(F.col("sp") / F.col("n")), F.col("mp")), dbl(100.0) * ratio(F.sqrt(F.col("sq") / F.col("n")), F.col("mq"))
     return j.select(*KEYS, "lib_id", cv_p.alias("P_CVRMSE_pct"), cv_q.alias("Q_CVRMSE_pct"), (cv_p + cv_q).alias("score"))
 
 
 def best_curve(screen: DataFrame) -> DataFrame:
-    b = screen.where("score IS NOT NULL").groupBy(*KEYS).agg(F.min_by(F.struct("lib_id", "P_CVRMSE_pct", "Q_CVRMSE_pct", "score"), F.struct("score", "lib_id")).alias("b"))
+    b = screen.where("score IS NOT NULL").groupBy(*KEYS).agg(F.min_by(F.struct("lib_id", "P_CVRMSE_pct", "Q_CVRMSE_pct", "score"), F.struct(F.round("score", 9), "lib_id")).alias("b"))
     return b.select(*KEYS, "b.*")
 
 
@@ -542,6 +543,47 @@ def ct_model_selection(table: DataFrame, spec: sp.SplitSpec | None = None) -> Da
     return st.join(best.select(*KEYS, "grid_id", "train_score"), list(KEYS)).join(fan, list(KEYS), "left").withColumn("candidate", F.lit("Merkel"))
 
 
+def chiller_points(rows: DataFrame) -> DataFrame:
+    """Chiller rows with nominals as points of the curve screen."""
+    return rows.select(*KEYS, "ts", F.abs("QEva_flow_nominal").alias("QN"), F.col("COP_nominal").alias("COPN"), "PLRMin", "PLRMax", "CHWR", "CHWS", "CDWS", "CHW",
+                       (F.col("P_kW") * dbl(1000.0)).alias("P_W"), (F.col("Q_evap_kW") * dbl(1000.0)).alias("Q_W"))
+
+
+def chiller_training(table: DataFrame, spec: sp.SplitSpec | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all rows with ``segment`` and the nominals of the training rows, the training rows among them)."""
+    from fleetgauge.operators.features import chiller_nominals
+    s = _numbered_split(table, spec, "chiller_split")
+    nominals = chiller_nominals(s.where("segment = 'identification'")).select(*KEYS, "QEva_flow_nominal", "COP_nominal", "PLRMin", "PLRMax")
+    rows = s.join(nominals, list(KEYS))
+    return rows, rows.where("segment = 'identification'")
+
+
+def chiller_model_selection(table: DataFrame, library: DataFrame, spec: sp.SplitSpec | None = None) -> DataFrame:
+    """Electric chiller with the best library curve and Carnot chiller, scored on selection and test.
+
+    Nominals and the choice of the curve see training rows only. The chosen
+    ``lib_id`` rides along with the electric chiller; a device without training
+    rows, or without any complete curve, has no row for that candidate.
+    """
+    from fleetgauge.operators.evaluate import chiller_score
+    rows, train = chiller_training(table, spec)
+    best = settle(best_curve(library_screen(chiller_points(train), library)).select(*KEYS, "lib_id", F.col("score").alias("train_score")), "chiller_curves")
+    rows = rows.where("segment IN ('selection', 'test')")
+    nominal = {k: F.col(k) for k in ("QEva_flow_nominal", "COP_nominal", "PLRMin", "PLRMax")}
+    curve = library.select("lib_id", *EIR_NAMES)
+    at = ("CHWR", "CHWS", "CDWS", "CHW", "CDW")
+    eir = md.chiller_eir({**nominal, "cap": EIR_NAMES[:6], "eir": EIR_NAMES[6:12], "plr": EIR_NAMES[12:]}, *at)
+    carnot = md.chiller_carnot(nominal, *at)
+
+    def scored(d: DataFrame, name: str, model: dict) -> DataFrame:
+        e = d.select(*KEYS, F.lit(name).alias("candidate"), F.col("segment").alias("stage"), (F.col("P_kW") * dbl(1000.0)).alias("P_m"), model["P_s"].alias("P_s"),
+                     (F.col("Q_evap_kW") * dbl(1000.0)).alias("Q_m"), model["Q_s"].alias("Q_s"))
+        return chiller_score(e, [*KEYS, "candidate", "stage"])
+    electric = scored(rows.join(best, list(KEYS)).join(curve, "lib_id"), "ElectricEIR", eir).join(best, list(KEYS))
+    none = {"lib_id": F.lit(None).cast("string"), "train_score": F.lit(None).cast("double")}
+    return electric.unionByName(scored(rows, "CarnotTA", carnot).withColumns(none))
+
+
 def apply_power_models(masked: DataFrame, forms: dict[str, dict[str, Column]], selected: DataFrame, target: str = "power_W") -> DataFrame:
     """Measured and simulated power of the selected candidate on every valid operating row.
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # --- fixed values: schemas of the append-only run tables -------------------------------------------------
 RUN_SCHEMAS = {
@@ -20,15 +24,37 @@ def source_fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> Da
     return f.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def _running_hash(schema: pa.Schema):
+    """One sha256 per run of equal leading columns; the last column holds sorted lines. Memory is one batch."""
+    def run(batches):
+        now, h = None, None
+        for batch in batches:
+            done = []
+            for *key, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h is None or key != now:
+                    if h is not None:
+                        done.append((*now, h.hexdigest()))
+                    now, h = key, hashlib.sha256(line.encode("utf-8"))
+                else:
+                    h.update(b"\n" + line.encode("utf-8"))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
+        if h is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*now, h.hexdigest()), schema.types, strict=True)], schema=schema)
+    return run
+
+
 def config_fingerprint(config: DataFrame, by=("run_id",)) -> DataFrame:
     """sha256 over the sorted public ``key=value`` lines; keys that start with ``_`` are private.
 
-    ``config`` is a table of project settings, a few hundred lines per run.
+    Lines are sorted within their partition and folded into a running hash, so a
+    run may have any number of lines. Lines with a null key are left out.
     """
-    public = config.where(~F.startswith("key", F.lit("_")))
+    by = list(by)
     line = F.concat("key", F.lit("="), F.coalesce("value", F.lit("")))
-    g = public.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
-    return g.select(*by, F.sha2("t", 256).alias("config_sha256"))
+    lines = config.where(~F.startswith("key", F.lit("_"))).select(*by, line.alias("config_sha256"))
+    ordered = lines.repartition(*by).sortWithinPartitions(*by, "config_sha256")
+    return ordered.mapInArrow(_running_hash(to_arrow_schema(lines.schema)), lines.schema)
 
 
 def bind_conflicts(new: DataFrame, existing: DataFrame) -> DataFrame:

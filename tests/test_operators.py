@@ -1,8 +1,10 @@
 """Single operators on hand values and on both sides of each decision boundary."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,13 +13,14 @@ from fleetgauge.functions import metrics as mx
 from fleetgauge.functions import models as md
 from fleetgauge.operators import attribution as at
 from fleetgauge.operators import attrition as al
+from fleetgauge.operators import evaluate as ev
 from fleetgauge.operators import features as ft
 from fleetgauge.operators import fit, gate, operating, prepare, provenance, reconstruct
 from fleetgauge.operators import observability as ob
 from fleetgauge.operators import splits as sp
 from fleetgauge.sources import raw as rw
 from fleetgauge.sources import trendlog as tl
-from helpers import T0, frame, rows
+from helpers import STEP, T0, frame, rows
 
 KEYS = ["site", "device_id"]
 
@@ -518,3 +521,79 @@ def test_tower_is_fitted_on_late_training_rows(spark):
     for r in out:
         assert fit.expand_grid(spark.range(1).selectExpr("'s' site", "'t' device_id"), fit.MERKEL_GRID).where(F.col("grid_id") == r["grid_id"]).first()["params"]["ratWatAir_nominal"] == 1.8
         assert r["alpha"] == 3.0 and r["P_N"] == r["N"] and r["T_RMSE_K"] < 1e-6 and abs(r["T_CVRMSE_pct"]) < 1e-4 and abs(r["Q_skill"]) < 1e-6
+
+
+def test_screen_is_the_same_however_it_is_dealt_out(spark):
+    """Blocks of points and chunks of curves only change the order of the sums; an empty library or table gives no rows."""
+    rng = np.random.default_rng(12)
+    n = 90
+    f = frame(spark, n, family="chiller", QN=8e5, COPN=4.5, PLRMin=.1, PLRMax=1.15, CHWR=rng.uniform(11, 13, n), CHWS=rng.uniform(6, 8, n), CDWS=rng.uniform(24, 30, n), CHW=rng.uniform(20, 40, n), P_W=rng.uniform(1e5, 2e5, n), Q_W=rng.uniform(4e5, 9e5, n))
+    coef = np.array(md.CAP_FT + md.EIR_FT + md.EIR_FPLR) * rng.uniform(.9, 1.1, (11, 15))
+    lib = spark.createDataFrame([(f"L{i}", *map(float, c)) for i, c in enumerate(coef)], "lib_id string, " + ", ".join(f"{x} double" for x in fit.EIR_NAMES))
+    whole = {r.lib_id: r.score for r in fit.library_screen(f, lib).collect()}
+    dealt = {r.lib_id: r.score for r in fit.library_screen(f, lib, chunk=2, rows=7).collect()}
+    assert set(whole) == set(dealt) == {f"L{i}" for i in range(11)}
+    assert all(dealt[k] == pytest.approx(whole[k], rel=1e-12) for k in whole)
+    assert fit.library_screen(f, lib.where("lib_id = ''")).count() == 0
+    assert fit.library_screen(f.where("P_W < 0"), lib).count() == 0
+
+
+def test_series_scan_equals_all_pairs_for_one_crowded_n(spark):
+    """A thousand series of equal N: the scan finds what comparing every pair finds, ties and gaps included."""
+    rng = np.random.default_rng(4)
+    rmse, cv = rng.uniform(0, 50, 1000).round(2), rng.uniform(0, 30, 1000).round(2)
+    s = pd.DataFrame({"series_id": [f"s{i:04d}" for i in range(1000)], "N": 77, "rmse": rmse, "cvrmse": cv})
+    p = pd.DataFrame({"device_id": [f"d{i}" for i in range(60)], "N": 77, "kind": ["rmse", "cvrmse"] * 30, "expected": rng.uniform(-1, 52, 60).round(3)})
+    extra = pd.DataFrame({"device_id": ["none", "other"], "N": [78, 77], "kind": ["rmse", "rmse"], "expected": [1.0, float("nan")]})
+    got = {r.device_id: (r.series_id, r.gap) for r in ev.reconcile_series(spark.createDataFrame(s), spark.createDataFrame(pd.concat([p, extra]))).collect()}
+    want = {}
+    for r in p.itertuples():
+        gap = (s[r.kind] - r.expected).abs()
+        i = min(range(1000), key=lambda i: (round(gap[i], 9), s.series_id[i]))
+        if gap[i] <= max(0.02 * abs(r.expected), 1e-3):
+            want[r.device_id] = (s.series_id[i], pytest.approx(gap[i]))
+    assert got == want and 20 < len(want) < 60
+
+
+def test_config_fingerprint_streams_any_number_of_lines(spark):
+    """Runs over many batches hash like their joined text; private and null keys are left out, a null value is empty."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        d = spark.range(3000).select(F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("run_id"), F.when(F.col("id") % 10 == 9, F.concat(F.lit("_"), F.col("id").cast("string"))).when(F.col("id") % 100 == 5, None)
+                                     .otherwise(F.concat(F.lit("ké"), F.col("id").cast("string"))).alias("key"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("value"))
+        got = {r.run_id: r.config_sha256 for r in provenance.config_fingerprint(d).collect()}
+        rows = d.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for run in ("r0", "r1", "r2"):
+        lines = sorted(f"{r.key}={r.value or ''}".encode() for r in rows if r.run_id == run and r.key is not None and not r.key.startswith("_"))
+        want[run] = hashlib.sha256(b"\n".join(lines)).hexdigest()
+    assert got == want
+    assert provenance.config_fingerprint(d.where("run_id = ''")).count() == 0
+
+
+def test_chiller_selection_uses_training_rows_only(spark):
+    """Changing evaluation rows leaves the chosen curve alone; the electric chiller's score is that of its curve."""
+    rng = np.random.default_rng(6)
+    n = 200
+    t = frame(spark, n, family="chiller", CHWR=rng.uniform(11, 13, n), CHWS=rng.uniform(6, 8, n), CDWS=rng.uniform(24, 30, n), CDWR=31.0, CHW=rng.uniform(20, 40, n), CDW=30.0, P_kW=rng.uniform(90, 190, n), Q_evap_kW=rng.uniform(400, 900, n))
+    coef = np.array(md.CAP_FT + md.EIR_FT + md.EIR_FPLR) * rng.uniform(.9, 1.1, (6, 15))
+    lib = spark.createDataFrame([(f"L{i}", *map(float, c)) for i, c in enumerate(coef)], "lib_id string, " + ", ".join(f"{x} double" for x in fit.EIR_NAMES))
+    late = F.unix_seconds("ts") >= t.agg(F.min(F.unix_seconds("ts"))).first()[0] + STEP * 125
+    pick = {}
+    for name, d in (("a", t), ("b", t.withColumns({"P_kW": F.when(late, F.col("P_kW") * 3).otherwise(F.col("P_kW")), "Q_evap_kW": F.when(late, F.col("Q_evap_kW") * 2).otherwise(F.col("Q_evap_kW"))}))):
+        r = {(x.candidate, x.stage): x for x in fit.chiller_model_selection(d, lib).collect()}
+        assert set(r) == {(c, s) for c in ("ElectricEIR", "CarnotTA") for s in ("selection", "test")}
+        assert r["CarnotTA", "test"].lib_id is None
+        pick[name] = r["ElectricEIR", "test"].lib_id, r["ElectricEIR", "selection"].train_score
+        train = fit.chiller_training(d)[1]
+        assert pick[name][1] == pytest.approx(fit.library_screen(fit.chiller_points(train), lib).agg(F.min("score")).first()[0])
+    assert pick["a"] == pick["b"]
+
+
+def test_payload_hash_is_that_of_the_document(spark):
+    docs = spark.createDataFrame([("a", "<Object/>"), ("b", "é")], "doc_id string, xml string")
+    s = spark.createDataFrame([(i, "o", 1, 1, "ok", None) for i in ("a", "b")], "doc_id string, object_name string, record_count int, total_record_count int, flags string, ts timestamp")
+    got = {r.doc_id: r.sha256 for r in tl.point_manifest(s, docs, "doc_id").collect()}
+    assert got == {"a": hashlib.sha256(b"<Object/>").hexdigest(), "b": hashlib.sha256("é".encode()).hexdigest()}
