@@ -87,7 +87,7 @@ def profiles(df: DataFrame, text: str = "text", lang: str = "lang", top: int = T
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < top).select("lang", "gram", "rank")
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("lang", "gram", (F.col("rank") - 1).alias("rank"))  # cut before the shuffle
 
 
 class Profiles:
