@@ -597,3 +597,32 @@ def test_payload_hash_is_that_of_the_document(spark):
     s = spark.createDataFrame([(i, "o", 1, 1, "ok", None) for i in ("a", "b")], "doc_id string, object_name string, record_count int, total_record_count int, flags string, ts timestamp")
     got = {r.doc_id: r.sha256 for r in tl.point_manifest(s, docs, "doc_id").collect()}
     assert got == {"a": hashlib.sha256(b"<Object/>").hexdigest(), "b": hashlib.sha256("é".encode()).hexdigest()}
+
+
+def test_equal_curves_are_screened_once(spark):
+    """Copies of curves and devices in shared blocks: every pair has its row, distinct curves are computed once, the best of all is the smallest id among equals."""
+    rng = np.random.default_rng(21)
+    n, parts = 30, []
+    for i in range(5):
+        parts.append(frame(spark, n, device=f"C{i}", family="chiller", QN=8e5, COPN=4.5, PLRMin=.1, PLRMax=1.15, CHWR=rng.uniform(11, 13, n), CHWS=rng.uniform(6, 8, n), CDWS=rng.uniform(24, 30, n), CHW=rng.uniform(20, 40, n), P_W=rng.uniform(1e5, 2e5, n), Q_W=rng.uniform(4e5, 9e5, n)))
+    f = parts[0]
+    for x in parts[1:]:
+        f = f.unionByName(x)
+    coef = np.array(md.CAP_FT + md.EIR_FT + md.EIR_FPLR) * rng.uniform(.9, 1.1, (4, 15))
+    lib = spark.createDataFrame([(f"L{i:02d}", *map(float, coef[i % 4])) for i in range(23)] + [("gap", *([None] * 15))], "lib_id string, " + ", ".join(f"{x} double" for x in fit.EIR_NAMES))
+    lead, members = fit.curve_classes(lib)
+    assert sorted(r.lib_id for r in lead.collect()) == ["L00", "L01", "L02", "L03"] and members.count() == 23
+    for rows in (7, 65536):
+        assert fit.class_screen(f, lead, rows=rows).count() == 5 * 4
+        every = fit.library_screen(f, lib, chunk=2, rows=rows)
+        s = {(r.device_id, r.lib_id): r.score for r in every.collect()}
+        assert len(s) == 5 * 23 and all(s[d, c] == s[d, f"L{int(c[1:]) % 4:02d}"] for d, c in s)
+        want = {r.device_id: (r.lib_id, pytest.approx(r.score, rel=1e-9)) for r in fit.best_curve(every).collect()}
+        for chunk in (1, 16384):
+            assert {r.device_id: (r.lib_id, r.score) for r in fit.library_best(f, lib, chunk=chunk, rows=rows).collect()} == want
+
+
+def test_library_screen_query_reads_every_row():
+    from catalog import load
+    sql = load().SQL
+    assert "identification" not in sql["e16_library_screen"] and "identification" in sql["e16_best_curve"]
