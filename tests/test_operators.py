@@ -626,3 +626,25 @@ def test_library_screen_query_reads_every_row():
     from catalog import load
     sql = load().SQL
     assert "identification" not in sql["e16_library_screen"] and "identification" in sql["e16_best_curve"]
+
+
+def test_records_of_one_chunk_are_fitted_in_their_task(spark, monkeypatch):
+    """Short records take no reduction step, whatever their number; long ones beside them still do, and both find the same."""
+    from fleetgauge.operators import dependency as dp
+    rng = np.random.default_rng(30)
+    x = rng.uniform(0, 50, 600)
+    cols = {"power_W": 3 * x + 2 * (np.arange(600) % 40 == 0), "speed_Hz": x, "chw_flow_m3_h": x ** 2 + 1, "tchws_C": rng.normal(size=600)}
+    roles = list(cols)
+    short = frame(spark, 300, device="A", **{c: v[:300] for c, v in cols.items()})
+    cells = ob.role_cells(short.withColumn("active", F.lit(True)), roles, ob.eligible_roles(short.withColumn("active", F.lit(True)), roles, 100))
+    steps = []
+    real = dp._reduced
+    monkeypatch.setattr(dp, "_reduced", lambda *a: steps.append(1) or real(*a))
+    key = lambda df: {(r.device_id, r.target, r.driver, r.form): (r.n, r.n_outlier_rows, pytest.approx(r.max_residual_pct_of_range, rel=1e-6, abs=1e-9)) for r in df.collect()}
+    alone = key(ob.pair_forms(cells, roles, 100))
+    assert alone and not steps
+    long = frame(spark, 600, device="B", **cols)
+    both = short.unionByName(long).withColumn("active", F.lit(True))
+    cells = ob.role_cells(both, roles, ob.eligible_roles(both, roles, 100))
+    mixed, whole = key(ob.pair_forms(cells, roles, 100, chunk_rows=300)), key(ob.pair_forms(cells, roles, 100))
+    assert steps and mixed == whole and {k: v for k, v in mixed.items() if k[0] == "A"} == alone
