@@ -36,11 +36,11 @@ def attribute(canonical: DataFrame, recon: list[dict], boundary: list[tuple[Data
     f = canonical
     for ext, column, alias in boundary:
         f = at.boundary_join(f, ext, column, alias)
-    names = []
+    names, rows = [], f
     if paired is not None:
-        f, names = at.attribute_named(f, paired, paired_flow, "_paired"), [*names, "_paired"]
+        f, names = at.attribute_named(f, paired, paired_flow, "_paired", source=rows), [*names, "_paired"]
     if solo is not None:
-        f = at.attribute_solo(f, F.col("equipment_type") == solo[0], solo[1], solo[2], "_solo", run_on=th.run_on)
+        f = at.attribute_solo(f, F.col("equipment_type") == solo[0], solo[1], solo[2], "_solo", run_on=th.run_on, source=rows)
         names.append("_solo")
     if names:
         f = f.withColumn("attributed_flow_m3_h", F.coalesce(*names)).drop(*names)

@@ -648,3 +648,24 @@ def test_records_of_one_chunk_are_fitted_in_their_task(spark, monkeypatch):
     cells = ob.role_cells(both, roles, ob.eligible_roles(both, roles, 100))
     mixed, whole = key(ob.pair_forms(cells, roles, 100, chunk_rows=300)), key(ob.pair_forms(cells, roles, 100))
     assert steps and mixed == whole and {k: v for k, v in mixed.items() if k[0] == "A"} == alone
+
+
+def test_attribution_shuffles_targets_only(spark):
+    """Rows without attribution pass by the joins; a null group is a group; the result is that of counting every running device."""
+    rng = np.random.default_rng(41)
+    f = frame(spark, 60, device="P0", family="pump", run_signal=rng.integers(0, 2, 60).astype(float), flow_m3_h=1.0)
+    for i in range(1, 4):
+        f = f.unionByName(frame(spark, 60, device=f"P{i}", family="pump", run_signal=np.where(rng.uniform(size=60) < .2, np.nan, rng.integers(0, 2, 60)), flow_m3_h=1.0))
+    f = f.unionByName(frame(spark, 60, device="C0", family="chiller", run_signal=1.0, flow_m3_h=rng.uniform(1, 9, 60))).withColumn("grp", F.when(F.col("device_id") >= "P2", None).otherwise(F.col("grp")))
+    got = at.attribute_solo(f, F.col("equipment_type") == "pump", "chiller", "flow_m3_h", "a")
+    t = f.toPandas()
+    t["g"], t["on"] = t.grp.fillna("-"), t.run_signal.fillna(0) > .5
+    lone = t.groupby(["g", "ts"]).on.transform("sum") == 1
+    flow = t[t.equipment_type == "chiller"].set_index("ts").flow_m3_h
+    want = {(r.device_id, r.ts): flow[r.ts] if lone[r.Index] and r.on and r.equipment_type == "pump" else None for r in t.itertuples()}
+    assert {(r.device_id, r.ts): r.a for r in got.collect()} == want and set(got.columns) == {*f.columns, "a"}
+    spec = spark.createDataFrame([("S", "P0", ["C0"]), ("S", "P1", ["C0", "P2"])], "site string, device_id string, source_devices array<string>")
+    named = at.attribute_named(f, spec, "flow_m3_h", "a").groupBy("device_id").agg(F.count("a").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert {r.device_id: (r.n, r.rows) for r in named} == {d: (60 if d in ("P0", "P1") else 0, 60) for d in ("P0", "P1", "P2", "P3", "C0")}
+    plan = at.attribute_named(f, spec, "flow_m3_h", "a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan

@@ -82,3 +82,15 @@ def test_a_spike_leaves_the_parts_fine(spark):
     """One value of 1e9 among values below 100: the busiest part holds 1/1024 of a power of two, not all of them."""
     d = spark.range(200_000).select(F.lit("hot").alias("k"), F.when(F.col("id") == 7, 1e9).otherwise(F.rand(5) * 100).alias("_v"))
     assert _with_digits(d, 1024).groupBy("k", "_q1").count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_quantiles_of_small_and_large_groups_are_the_same(spark):
+    """Groups ordered whole, groups selected by digits and a mix of both; null keys, ties, NaN and infinities included."""
+    rng = np.random.default_rng(40)
+    odd = [float("inf"), float("-inf"), float("nan"), 0.0, -0.0, 5e-324, 1e308]
+    rows = [("a", float(x)) for x in rng.normal(size=301)] + [("b", float(x)) for x in rng.integers(0, 4, 40)] + [(None, float(x)) for x in rng.uniform(0, 1e9, 50)] + [("c", x) for x in odd] + [("d", 7.0), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"q1": 0.01, "m": 0.5, "q99": 0.99}
+    got = [{r.k: (r.q_n, repr([r.q1, r.m, r.q99])) for r in exact_quantiles(df, ["k"], "v", probs, whole=w).collect()} for w in (0, 45, 1 << 16)]
+    assert got[0] == got[1] == got[2] and set(got[0]) == {"a", "b", None, "c", "d"}
+    assert eval(got[2]["a"][1]) == pytest.approx(list(np.quantile([v for k, v in rows if k == "a"], list(probs.values()))))
