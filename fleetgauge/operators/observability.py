@@ -128,9 +128,14 @@ def modal_share(active: DataFrame, roles) -> DataFrame:
 
 
 def eligible_roles(active: DataFrame, roles, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """Per device: usable drivers and non-degenerate targets, as short role arrays."""
-    prof = channel_profile(active, roles).where((F.col("n_finite") >= min_samples) & (F.col("n_unique") > 1) & ~F.col("all_zero"))
-    j = prof.select(*KEYS, "role").join(modal_share(active, roles), [*KEYS, "role"])
+    """Per device: usable drivers and non-degenerate targets, as short role arrays.
+
+    Drivers are judged on all rows, modal shares on active ones; both come from one count per value.
+    """
+    per_value = unpivot(active, [*KEYS, "active"], roles).groupBy(*KEYS, "role", "value").agg(F.count(F.lit(1)).alias("c"), F.count_if("active").alias("a"))
+    g = per_value.groupBy(*KEYS, "role").agg(F.sum("c").alias("n_finite"), F.count(F.lit(1)).alias("n_unique"), F.max(F.abs("value")).alias("m"),
+                                             F.sum("a").alias("n_active"), (F.max("a") / F.nullif(F.sum("a"), F.lit(0))).alias("modal_share"))
+    j = g.where((F.col("n_finite") >= min_samples) & (F.col("n_unique") > 1) & ~is_true(F.col("m") <= 1e-8) & (F.col("n_active") > 0))
     return j.groupBy(*KEYS).agg(F.collect_set("role").alias("drivers"),
                                 F.collect_set(F.when(F.col("modal_share") <= MODAL_MAX, F.col("role"))).alias("targets"))
 

@@ -669,3 +669,21 @@ def test_attribution_shuffles_targets_only(spark):
     assert {r.device_id: (r.n, r.rows) for r in named} == {d: (60 if d in ("P0", "P1") else 0, 60) for d in ("P0", "P1", "P2", "P3", "C0")}
     plan = at.attribute_named(f, spec, "flow_m3_h", "a")._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan
+
+
+def test_eligible_roles_count_each_value_once(spark):
+    """Same roles as profile and modal share apart, from one unfolding of the rows."""
+    rng = np.random.default_rng(42)
+    n = 300
+    f = frame(spark, n, device="A", a=rng.normal(size=n), b=np.where(np.arange(n) % 40 == 0, 1.0, 5.0), c=0.0, d=np.where(np.arange(n) < 150, np.nan, rng.normal(size=n)), e=1e-9 * rng.normal(size=n), g=np.where(np.arange(n) % 2 == 0, np.nan, rng.normal(size=n)))
+    f = f.unionByName(f.withColumn("device_id", F.lit("B"))).withColumn("active", (F.col("device_id") == "B") | (F.minute("ts") % 10 == 0))
+    roles = list("abcdeg")
+    prof = ob.channel_profile(f, roles).where((F.col("n_finite") >= 200) & (F.col("n_unique") > 1) & ~F.col("all_zero")).select(*KEYS, "role").join(ob.modal_share(f, roles), [*KEYS, "role"])
+    want = {}
+    for r in prof.collect():
+        want.setdefault(r.device_id, (set(), set()))[0].add(r.role)
+        if r.modal_share <= ob.MODAL_MAX:
+            want[r.device_id][1].add(r.role)
+    got = ob.eligible_roles(f, roles, 200)
+    assert {r.device_id: (set(r.drivers), set(r.targets)) for r in got.collect()} == want and want["A"][0] == {"a", "b"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
