@@ -8,11 +8,15 @@ prune its columns and a lost executor costs one task, not the chain.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stage_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only for a local session."""
@@ -27,6 +31,17 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{folder}/{spark.sparkContext.applicationId}"
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files as they end: a written table is read instead of them."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def settle(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
@@ -37,5 +52,6 @@ def settle(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFra
     path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if spread:
         df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

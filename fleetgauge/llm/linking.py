@@ -50,9 +50,9 @@ def _sketches(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, -1)
 
 
-def _parts(rows: DataFrame, *keys: str, size: int = PART_ROWS) -> DataFrame:
-    """Deals whole units out to parts of about ``size`` rows."""
-    n = max(1, math.ceil(rows.count() / size))
+def _parts(rows: DataFrame, *keys: str, n_rows: int, size: int = PART_ROWS) -> DataFrame:
+    """Deals whole units out to parts of about ``size`` of the ``n_rows`` rows."""
+    n = max(1, math.ceil(n_rows / size))
     return rows.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
 
 
@@ -142,22 +142,24 @@ def _links(num: int, den: int):
     return links
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
     """Deals the members (gid, set_id, root) of groups that hold several components to units (gid, __i, __j): strays of
-    block __i (``__kind`` 0) meet members of block __j (1); a stray of both blocks is there once (2)."""
+    block __i (``__kind`` 0) meet members of block __j (1); a stray of both blocks is there once (2). Also the number of rows."""
     each = rows.groupBy("gid", "root").agg(F.count("*").alias("n"))
     each = each.groupBy("gid").agg(F.sum("n").alias("__n"), F.max("n").alias("__most"), F.max_by("root", F.struct("n", "root")).alias("__main"), F.count("*").alias("__roots")).filter("__roots > 1")
-    rows = rows.join(each, "gid")
-    stray = F.col("root") != F.col("__main")
     blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
     lefts = F.ceil((F.col("__n") - F.col("__most")) / BLOCK).cast("int")
+    each = settle(each, "split")
+    n_rows = each.agg(F.sum(F.col("__n") * lefts + (F.col("__n") - F.col("__most")) * (blocks - 1))).first()[0] or 0
+    rows = rows.join(each, "gid")
+    stray = F.col("root") != F.col("__main")
     rows = rows.withColumns({"__right": F.pmod(F.xxhash64("set_id"), blocks).cast("int"), "__left": F.when(stray, F.pmod(F.xxhash64("set_id", F.lit(1)), lefts).cast("int"))})
     unit = lambda i, j, kind: F.struct(i.alias("__i"), j.alias("__j"), kind.cast("int").alias("__kind"))
     right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda i: unit(i, F.col("__right"), F.when(F.col("__left") == i, F.lit(2)).otherwise(F.lit(1))))
     left = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: unit(F.col("__left"), j, F.lit(0)))
     left = F.filter(left, lambda u: u["__j"] != F.col("__right"))
     rows = rows.withColumn("__u", F.explode(F.when(stray, F.concat(right, left)).otherwise(right)))
-    return rows.select("__u.*", *[c for c in rows.columns if c not in ("__n", "__most", "__main", "__roots", "__right", "__left", "__u")])
+    return rows.select("__u.*", *[c for c in rows.columns if c not in ("__n", "__most", "__main", "__roots", "__right", "__left", "__u")]), n_rows
 
 
 def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: int) -> DataFrame:
@@ -171,9 +173,9 @@ def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: in
     groups = rows.groupBy("gid").count()
     stars, level, salted = None, rows, groups
     while True:
-        top = salted.agg(F.max("count")).first()[0] or 0
+        top, n_rows = (x or 0 for x in salted.agg(F.max("count"), F.sum("count")).first())
         here = level.join(salted, "gid").withColumn("__salt", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("count") / BLOCK)).cast("int")).drop("count")
-        star = _parts(here, "gid", "__salt").groupBy("__part").applyInArrow(_stars(near), "gid long, a long, b long, far long")
+        star = _parts(here, "gid", "__salt", n_rows=n_rows).groupBy("__part").applyInArrow(_stars(near), "gid long, a long, b long, far long")
         star = settle(star, "stars")
         stars = star if stars is None else stars.union(star)
         if top <= BLOCK:
@@ -188,13 +190,13 @@ def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: in
 
     # what lies apart
     rows = rows.join(parts.select(F.col("node").alias("set_id"), F.col("root").alias("__root")), "set_id", "left").withColumn("root", F.coalesce("__root", "set_id")).drop("__root")
-    units = _blocks(rows)
-    candidates = settle(_parts(units, "gid", "__i", "__j").groupBy("__part").applyInArrow(_live(near), "a long, b long"), "candidates")
+    units, n_rows = _blocks(rows)
+    candidates = settle(_parts(units, "gid", "__i", "__j", n_rows=n_rows).groupBy("__part").applyInArrow(_live(near), "a long, b long"), "candidates")
     live = settle(components(candidates).select(F.col("root").alias("gid"), F.col("node").alias("set_id")), "live")
     whole = settle(tokens(live.select("set_id")), "tokens")
     own = live.join(parts.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    units = _blocks(own).join(whole, "set_id")
-    more = _parts(units, "gid", "__i", "__j", size=PART_ROWS // 4).groupBy("__part").applyInArrow(_links(num, den), "a long, b long")
+    units, n_rows = _blocks(own)
+    more = _parts(units.join(whole, "set_id"), "gid", "__i", "__j", n_rows=n_rows, size=PART_ROWS // 4).groupBy("__part").applyInArrow(_links(num, den), "a long, b long")
     return components(links.union(more))
 
 

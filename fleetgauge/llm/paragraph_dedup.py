@@ -27,6 +27,7 @@ with equal keys do not remove each other's paragraphs. Shorter lines always stay
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -64,6 +65,12 @@ def tune(threshold: float, recall: float = RECALL, most: int = MOST_BANDS) -> tu
     return most, 1
 
 
+@functools.lru_cache(1 << 16)
+def _chosen(word: str) -> bool:
+    """Whether a long sentence is cut behind the word, which may have spaces behind it."""
+    return zlib.crc32(word.strip().lower().encode("utf-8", "surrogatepass")) % CHOSEN == 0
+
+
 def pieces(p: str) -> list[tuple[int, int]]:
     """(start, stop) of the sentences of a paragraph, the long ones cut at chosen words; together they are all of it."""
     ends = sorted({m.end() for m in _SENTENCE.finditer(p)} | {len(p)})
@@ -71,7 +78,7 @@ def pieces(p: str) -> list[tuple[int, int]]:
     for a, b in zip([0, *ends[:-1]], ends, strict=True):
         at = [a]
         if b - a > 2 * LONG and len(p[a:b].split()) > LONG:
-            at += [m.end() for m in _WORD.finditer(p, a, b) if zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) % CHOSEN == 0 and m.end() < b]
+            at += [m.end() for m in _WORD.finditer(p, a, b) if _chosen(m[0]) and m.end() < b]
         out += zip(at, [*at[1:], b], strict=True)
     return out
 
@@ -205,20 +212,23 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
 
 
 def _apply(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """(removed, kept): lines that are gone and the text without them and without the passages."""
+    """(removed, n_cut, kept): lines that are gone, the number of passages cut from lines that stay, and the text without both."""
     def kept(t: str | None, removed: list[int], cuts: list[dict]) -> dict:
         if t is None or not (removed or cuts):
-            return {"removed": removed, "kept": t}
+            return {"removed": removed, "n_cut": 0, "kept": t}
         lines, gone = t.split("\n"), set(removed)
         start = [0]
         for p in lines:
             start.append(start[-1] + len(p) + 1)
         spans: dict[int, list[tuple[int, int]]] = {}
+        touched = []
         for c in cuts:  # of this row, not of another one with its key
             if zlib.crc32(" ".join(lines[c["line"]:c["stop"]]).encode("utf-8", "surrogatepass")) == c["sum"]:
+                touched.append([])
                 for j in range(c["line"], min(c["stop"], len(lines))):
                     if (a := max(c["at"], start[j])) < (b := min(c["end"], start[j + 1] - 1)):
                         spans.setdefault(j, []).append((a - start[j], b - start[j]))
+                        touched[-1].append(j)
         out = []
         for j, p in enumerate(lines):
             if j in spans and j not in gone:
@@ -229,18 +239,18 @@ def _apply(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[p
                     gone.add(j)
             if j not in gone:
                 out.append(p)
-        return {"removed": sorted(gone), "kept": "\n".join(out)}
-    kind = pa.struct([("removed", pa.list_(pa.int32())), ("kept", pa.string())])
+        return {"removed": sorted(gone), "n_cut": sum(not gone.issuperset(js) for js in touched), "kept": "\n".join(out)}
+    kind = pa.struct([("removed", pa.list_(pa.int32())), ("n_cut", pa.int64()), ("kept", pa.string())])
     for t, removed, cuts in batches:
         yield pa.array([kept(*x) for x in zip(t.to_pylist(), removed.to_pylist(), cuts.to_pylist(), strict=True)], kind)
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows with their repeated paragraphs and passages taken out, ``n_paragraphs`` (lines) and ``removed`` (numbers of the lines that are gone)."""
+    """The rows with their repeated paragraphs and passages taken out, ``n_paragraphs`` (lines), ``removed`` (numbers of the lines that are gone) and ``n_cut`` (passages cut from lines that stay)."""
     gone = repeated(df, key, text, **options).select(F.col(key).alias("__key"), F.col("removed").alias("__removed"), F.col("cut").alias("__cut"))
     out = df.join(gone, F.col(key) == F.col("__key"), "left").drop("__key")
-    apply = F.arrow_udf(_apply, "struct<removed: array<int>, kept: string>")
+    apply = F.arrow_udf(_apply, "struct<removed: array<int>, n_cut: bigint, kept: string>")
     out = out.withColumn("__out", F.when(F.col("__removed").isNotNull(), apply(text, F.coalesce("__removed", F.array().cast("array<int>")), F.coalesce("__cut", F.array().cast(f"array<{_CUT}>")))))
     n = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long")
-    return out.withColumns({"n_paragraphs": n, "removed": F.coalesce("__out.removed", F.array().cast("array<int>")),
+    return out.withColumns({"n_paragraphs": n, "removed": F.coalesce("__out.removed", F.array().cast("array<int>")), "n_cut": F.coalesce("__out.n_cut", F.lit(0).cast("long")),
                             text: F.when(F.col("__out").isNotNull(), F.col("__out.kept")).otherwise(F.col(text))}).drop("__removed", "__cut", "__out")

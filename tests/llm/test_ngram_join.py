@@ -86,3 +86,10 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     assert got == {k: find(k) for k in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_units_are_counted_without_building_them(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 4)
+    rows = [(g, s, s if s % 3 == 0 else -1) for g, n in ((1, 3), (2, 17), (3, 40)) for s in range(n)] + [(4, 1, 7), (4, 2, 7)]
+    units, n_rows = L._blocks(spark.createDataFrame(rows, "gid long, set_id long, root long"))
+    assert units.count() == n_rows > len(rows)

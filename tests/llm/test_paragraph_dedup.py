@@ -120,3 +120,10 @@ def test_rows_with_one_key_keep_their_own_text(spark):
     rows = [(1, s), (2, f"{head} {s}"), (2, "quite another text of the key. " + " ".join(f"x{i}" for i in range(40)) + ".")]
     out = P.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(x.text for x in out) == sorted([s, head, rows[2][1]])
+
+
+def test_the_query_counts_passages_that_are_cut(spark, tmp_path):
+    passage = " ".join(f"p{i}" + "." * (i % 13 == 12) for i in range(65))
+    rows = [(1, f"{passage}"), (2, " ".join(f"a{i}" for i in range(40)) + f". {passage} " + " ".join(f"b{i}" for i in range(40)) + "."), (3, passage), (4, "quite another line")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id: x.n_removed for x in QUERIES["op8_paragraph_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}

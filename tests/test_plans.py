@@ -1,5 +1,7 @@
 """Golden end-to-end run on three noise-free devices, and the streaming ingest."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -42,3 +44,19 @@ def test_streaming_ingest_matches_batch(spark, tmp_path):
     si.start_sink(c, out, str(tmp_path / "ck")).awaitTermination()
     got = sorted((r["power_W"] for r in spark.read.parquet(out).collect()), key=str)
     assert got == [1000.0, None]
+
+
+def test_a_settled_table_leaves_no_shuffle_files(spark):
+    from fleetgauge.functions.lineage import settle
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = {str(files.getAllFiles().apply(i).getName()) for i in range(files.getAllFiles().size())}
+    out = settle(spark.range(20000).groupBy((F.col("id") % 500).alias("k")).count())
+    left = None
+    for _ in range(50):  # they are deleted in the background
+        now = files.getAllFiles()
+        left = {n for i in range(now.size()) if (n := str(now.apply(i).getName())).startswith("shuffle_")} - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 500
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
