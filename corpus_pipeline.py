@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetgauge.functions.lineage import shuffles_dropped
 from fleetgauge.llm import language_id, ngram_join, packing, quality_crf, suffix_dedup
 from fleetgauge.llm.common import held_out, new_folder, small_batches, table, tokenizer_path
 
@@ -69,6 +70,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), new_folder(spark)
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        kept = stage(spark, docs, sf_dir)
+        with shuffles_dropped(spark):
+            kept.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
