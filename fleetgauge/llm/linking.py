@@ -33,6 +33,8 @@ from fleetgauge.llm.components import components, forest
 
 #: Members of a group that are compared at a time, rows and bytes that a task takes at a time.
 BLOCK, PART_ROWS, PART_BYTES = 1024, 20_000, 32 << 20
+#: Bytes of whole sets in a block, of at most 8 * BLOCK members.
+WHOLE_BYTES = 16 << 20
 
 
 def _units(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +144,16 @@ def _links(num: int, den: int):
     return links
 
 
-def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
+def _blocks(rows: DataFrame, weight=None, most: int | None = None) -> tuple[DataFrame, int]:
     """Deals the members (gid, set_id, root) of groups that hold several components to units (gid, __i, __j): strays of
-    block __i (``__kind`` 0) meet members of block __j (1); a stray of both blocks is there once (2). Also the number of rows."""
-    each = rows.groupBy("gid", "root").agg(F.count("*").alias("n"))
-    each = each.groupBy("gid").agg(F.sum("n").alias("__n"), F.max("n").alias("__most"), F.max_by("root", F.struct("n", "root")).alias("__main"), F.count("*").alias("__roots")).filter("__roots > 1")
-    blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
-    lefts = F.ceil((F.col("__n") - F.col("__most")) / BLOCK).cast("int")
+    block __i (``__kind`` 0) meet members of block __j (1); a stray of both blocks is there once (2). Also the number of rows.
+    A block holds about ``most`` of the members' ``weight`` (``BLOCK`` members)."""
+    weight, most = (F.lit(1), BLOCK) if weight is None else (weight, most)
+    each = rows.groupBy("gid", "root").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    each = each.groupBy("gid").agg(F.sum("n").alias("__n"), F.max("n").alias("__most"), F.max_by("root", F.struct("n", "root")).alias("__main"), F.count("*").alias("__roots"),
+                                   F.sum("w").alias("__w"), F.max_by("w", F.struct("n", "root")).alias("__main_w")).filter("__roots > 1")
+    blocks = F.ceil(F.col("__w") / most).cast("int")
+    lefts = F.ceil((F.col("__w") - F.col("__main_w")) / most).cast("int")
     each = settle(each, "split")
     n_rows = each.agg(F.sum(F.col("__n") * lefts + (F.col("__n") - F.col("__most")) * (blocks - 1))).first()[0] or 0
     rows = rows.join(each, "gid")
@@ -159,7 +164,7 @@ def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
     left = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: unit(F.col("__left"), j, F.lit(0)))
     left = F.filter(left, lambda u: u["__j"] != F.col("__right"))
     rows = rows.withColumn("__u", F.explode(F.when(stray, F.concat(right, left)).otherwise(right)))
-    return rows.select("__u.*", *[c for c in rows.columns if c not in ("__n", "__most", "__main", "__roots", "__right", "__left", "__u")]), n_rows
+    return rows.select("__u.*", *[c for c in rows.columns if c not in ("__n", "__most", "__main", "__roots", "__w", "__main_w", "__right", "__left", "__u")]), n_rows
 
 
 def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: int) -> DataFrame:
@@ -195,7 +200,10 @@ def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: in
     live = settle(components(candidates).select(F.col("root").alias("gid"), F.col("node").alias("set_id")), "live")
     whole = settle(tokens(live.select("set_id")), "tokens")
     own = live.join(parts.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    units, n_rows = _blocks(own)
+    # whole sets are sent once a block: blocks by bytes, as a component of short sets has many blocks by members
+    own = own.join(sets.select("set_id", "n_shingles"), "set_id")
+    units, n_rows = _blocks(own, F.greatest(8 * F.col("n_shingles"), F.lit(WHOLE_BYTES // (8 * BLOCK))), WHOLE_BYTES)
+    units = units.drop("n_shingles")
     more = _parts(units.join(whole, "set_id"), "gid", "__i", "__j", n_rows=n_rows, size=PART_ROWS // 4).groupBy("__part").applyInArrow(_links(num, den), "a long, b long")
     return components(links.union(more))
 
