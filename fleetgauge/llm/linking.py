@@ -144,7 +144,12 @@ def _links(num: int, den: int):
     return links
 
 
-def _blocks(rows: DataFrame, weight=None, most: int | None = None) -> tuple[DataFrame, int]:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The units of :func:`_counted_blocks` for blocks of ``BLOCK`` members."""
+    return _counted_blocks(rows)[0]
+
+
+def _counted_blocks(rows: DataFrame, weight=None, most: int | None = None) -> tuple[DataFrame, int]:
     """Deals the members (gid, set_id, root) of groups that hold several components to units (gid, __i, __j): strays of
     block __i (``__kind`` 0) meet members of block __j (1); a stray of both blocks is there once (2). Also the number of rows.
     A block holds about ``most`` of the members' ``weight`` (``BLOCK`` members)."""
@@ -195,14 +200,14 @@ def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: in
 
     # what lies apart
     rows = rows.join(parts.select(F.col("node").alias("set_id"), F.col("root").alias("__root")), "set_id", "left").withColumn("root", F.coalesce("__root", "set_id")).drop("__root")
-    units, n_rows = _blocks(rows)
+    units, n_rows = _counted_blocks(rows)
     candidates = settle(_parts(units, "gid", "__i", "__j", n_rows=n_rows).groupBy("__part").applyInArrow(_live(near), "a long, b long"), "candidates")
     live = settle(components(candidates).select(F.col("root").alias("gid"), F.col("node").alias("set_id")), "live")
     whole = settle(tokens(live.select("set_id")), "tokens")
     own = live.join(parts.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     # whole sets are sent once a block: blocks by bytes, as a component of short sets has many blocks by members
     own = own.join(sets.select("set_id", "n_shingles"), "set_id")
-    units, n_rows = _blocks(own, F.greatest(8 * F.col("n_shingles"), F.lit(WHOLE_BYTES // (8 * BLOCK))), WHOLE_BYTES)
+    units, n_rows = _counted_blocks(own, F.greatest(8 * F.col("n_shingles"), F.lit(WHOLE_BYTES // (8 * BLOCK))), WHOLE_BYTES)
     units = units.drop("n_shingles")
     more = _parts(units.join(whole, "set_id"), "gid", "__i", "__j", n_rows=n_rows, size=PART_ROWS // 4).groupBy("__part").applyInArrow(_links(num, den), "a long, b long")
     return components(links.union(more))

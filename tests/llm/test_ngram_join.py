@@ -92,7 +92,7 @@ def test_components(spark):
 def test_units_are_counted_without_building_them(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 4)
     rows = [(g, s, s if s % 3 == 0 else -1) for g, n in ((1, 3), (2, 17), (3, 40)) for s in range(n)] + [(4, 1, 7), (4, 2, 7)]
-    units, n_rows = L._blocks(spark.createDataFrame(rows, "gid long, set_id long, root long"))
+    units, n_rows = L._counted_blocks(spark.createDataFrame(rows, "gid long, set_id long, root long"))
     assert units.count() == n_rows > len(rows)
-    light, n_light = L._blocks(spark.createDataFrame(rows, "gid long, set_id long, root long"), F.lit(1), 20)
+    light, n_light = L._counted_blocks(spark.createDataFrame(rows, "gid long, set_id long, root long"), F.lit(1), 20)
     assert light.count() == n_light < n_rows  # larger blocks: a member is sent less often
