@@ -10,7 +10,9 @@ share) and returns components of all true links within groups.
    centres then meet in the same way.
 2. What lies apart: of a group that still holds several components, members
    outside the largest one are strays. Strays meet all others, the others only
-   strays, in blocks; sketches say which members could still be linked.
+   strays, in blocks; sketches say which members could still be linked. Sketches
+   of one length tell nothing about sets far larger than themselves; these may
+   bring a bitmap as wide as they are large, which is compared as well.
 3. These meet once more with their whole sets, and a block sends the links that
    connect its components, no others.
 
@@ -52,6 +54,34 @@ def _sketches(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, -1)
 
 
+class _Wide:
+    """Parity bitmaps of power-of-two lengths; a row may have none. The longer of two is folded to the length of the shorter."""
+
+    def __init__(self, t: pa.Table):
+        raw = t.column("wide").to_pylist() if "wide" in t.column_names else [None] * t.num_rows
+        self.words = np.array([len(x or b"") // 8 for x in raw], np.int64)
+        self.place, self.rows = np.zeros(len(raw), np.int64), {}
+        for w in np.unique(self.words[self.words > 0]).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.place[own] = np.arange(len(own))
+            self.rows[w] = np.frombuffer(b"".join(raw[k] for k in own.tolist()), "<u8").reshape(len(own), w)
+
+    def bits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the bitmaps of rows i and j differ; 0 where one has none."""
+        out = np.zeros(len(i), np.int64)
+        if not self.rows:
+            return out
+        for v in self.rows:
+            for w in self.rows:
+                pairs, least = np.flatnonzero((self.words[i] == v) & (self.words[j] == w)), min(v, w)
+                step = max(1, (1 << 19) // max(v, w))
+                for a in range(0, len(pairs), step):
+                    k = pairs[a:a + step]
+                    x, y = (np.bitwise_xor.reduce(self.rows[z][self.place[of[k]]].reshape(len(k), -1, least), axis=1) for z, of in ((v, i), (w, j)))
+                    out[k] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
+
 def _parts(rows: DataFrame, *keys: str, n_rows: int, size: int = PART_ROWS) -> DataFrame:
     """Deals whole units out to parts of about ``size`` of the ``n_rows`` rows."""
     n = max(1, math.ceil(n_rows / size))
@@ -61,6 +91,7 @@ def _parts(rows: DataFrame, *keys: str, n_rows: int, size: int = PART_ROWS) -> D
 def _stars(near):
     def star(t: pa.Table) -> pa.Table:
         gid, salt, ids, n, sk = (*(t.column(c).to_numpy() for c in ("gid", "__salt", "set_id", "n_shingles")), _sketches(t))
+        wide = _Wide(t)
         order, cut = _units(salt, gid)
         gid, ids, n, sk = gid[order], ids[order], n[order], sk[order]
         size = np.diff(cut)
@@ -74,7 +105,7 @@ def _stars(near):
             most = np.packbits(most, axis=1).view("<u8")
             far[x:y] = np.bitwise_count(sk[x:y] ^ most[of[x:y] - a]).sum(axis=1)
         c = np.lexsort((ids, far, of))[cut[:-1]][of]
-        pop = np.bitwise_count(sk ^ sk[c]).sum(axis=1).astype(np.int64)
+        pop = np.maximum(np.bitwise_count(sk ^ sk[c]).sum(axis=1).astype(np.int64), wide.bits(order, order[c]))
         itself = c == np.arange(len(ids))
         ok = itself | near(n, n[c], pop)
         return pa.table({"gid": gid[ok], "a": ids[c][ok], "b": ids[ok], "far": pop[ok]})
@@ -84,7 +115,7 @@ def _stars(near):
 def _live(near):
     def live(t: pa.Table) -> pa.Table:
         gid, i, j, ids, root, n, kind = (t.column(c).to_numpy() for c in ("gid", "__i", "__j", "set_id", "root", "n_shingles", "__kind"))
-        sk = _sketches(t)
+        sk, wide = _sketches(t), _Wide(t)
         order, cut = _units(j, i, gid)
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -97,8 +128,12 @@ def _live(near):
                     pop += np.bitwise_count(sk[p, w][:, None] ^ sk[right, w][None])
                 ok = near(n[p][:, None], n[right][None], pop) & (root[p][:, None] != root[right][None])
                 i, j = np.nonzero(ok)
-                x.append(ids[p[i]])
-                y.append(ids[right[j]])
+                i, j = p[i], right[j]
+                if wide.rows and len(i):
+                    ok = near(n[i], n[j], wide.bits(i, j))
+                    i, j = i[ok], j[ok]
+                x.append(ids[i])
+                y.append(ids[j])
                 if sum(map(len, x)) > 1 << 20:
                     x, y = ([z] for z in forest(np.concatenate(x), np.concatenate(y)))
         x, y = forest(np.concatenate(x), np.concatenate(y))
@@ -176,16 +211,19 @@ def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: in
     """(node, root): components of the true links among sets that share a group; sets without a link have no row.
 
     ``members``: (gid, set_id: long), each once. ``sets``: (set_id, n_shingles: long, sketch: binary of one length).
+    They may have ``wide``, a binary that may be null: parity bitmaps of power-of-two lengths, a shorter one the folded longer one.
     ``tokens(ids)``: (set_id, tokens: binary of sorted 64-bit words) for a table of set_id. ``near(n, n', bits)``: whether
     sizes and the number of bits in which the sketches differ allow a link, for arrays.
     """
     rows = settle(members.join(sets, "set_id"), "members")
     groups = rows.groupBy("gid").count()
+    # wide bitmaps count as the rows they take the place of in a part
+    scale = (rows.agg(F.avg(1 + F.coalesce(F.octet_length("wide"), F.lit(0)) * PART_ROWS / PART_BYTES)).first()[0] or 1) if "wide" in sets.columns else 1
     stars, level, salted = None, rows, groups
     while True:
         top, n_rows = (x or 0 for x in salted.agg(F.max("count"), F.sum("count")).first())
         here = level.join(salted, "gid").withColumn("__salt", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("count") / BLOCK)).cast("int")).drop("count")
-        star = _parts(here, "gid", "__salt", n_rows=n_rows).groupBy("__part").applyInArrow(_stars(near), "gid long, a long, b long, far long")
+        star = _parts(here, "gid", "__salt", n_rows=n_rows * scale).groupBy("__part").applyInArrow(_stars(near), "gid long, a long, b long, far long")
         star = settle(star, "stars")
         stars = star if stars is None else stars.union(star)
         if top <= BLOCK:
@@ -201,7 +239,7 @@ def connect(members: DataFrame, sets: DataFrame, tokens, near, num: int, den: in
     # what lies apart
     rows = rows.join(parts.select(F.col("node").alias("set_id"), F.col("root").alias("__root")), "set_id", "left").withColumn("root", F.coalesce("__root", "set_id")).drop("__root")
     units, n_rows = _counted_blocks(rows)
-    candidates = settle(_parts(units, "gid", "__i", "__j", n_rows=n_rows).groupBy("__part").applyInArrow(_live(near), "a long, b long"), "candidates")
+    candidates = settle(_parts(units, "gid", "__i", "__j", n_rows=float(n_rows) * scale).groupBy("__part").applyInArrow(_live(near), "a long, b long"), "candidates")
     live = settle(components(candidates).select(F.col("root").alias("gid"), F.col("node").alias("set_id")), "live")
     whole = settle(tokens(live.select("set_id")), "tokens")
     own = live.join(parts.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

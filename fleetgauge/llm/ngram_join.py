@@ -45,7 +45,7 @@ WORDS = 8  # 64-bit words of a bitmap
 FLUSH, PART_BYTES = 1 << 20, 8 << 20
 #: Cost of a pair that meets without being alike, in entries filed.
 MEETING = 10.0
-_HEADS = "n_shingles long, set_id long, sketch binary"
+_HEADS = "n_shingles long, set_id long, sketch binary, wide binary"
 
 
 # ---- sets --------------------------------------------------------------------------------
@@ -106,12 +106,17 @@ def set_id(s: np.ndarray) -> int:
     return int(x.astype(np.int64)[0])
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
+def bitmap(s: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Parity of the tokens hashed to each bit."""
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS).astype(np.uint8) & 1
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
+def wide_bitmap(s: np.ndarray) -> bytes | None:
+    """The bitmap of a set with more tokens than ``bitmap`` has bits, with a bit a token: half of the bits of a shorter one differ, whatever the sets."""
+    return bitmap(s, 1 << (len(s) - 1 >> 6).bit_length()).tobytes() if len(s) > 64 * WORDS else None
+
+
 # ---- cells -------------------------------------------------------------------------------
 @functools.cache
 def bands(most: int, num: int, den: int) -> tuple[int, ...]:
@@ -177,13 +182,13 @@ def entries(s: np.ndarray, cell: int, alloc: tuple[int, int, int]) -> np.ndarray
 
 # ---- jobs --------------------------------------------------------------------------------
 def heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, n_shingles, set_id, bitmap) of every row."""
+    """(key, n_shingles, set_id, bitmap, wide bitmap) of every row."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 sets = shingles(batch.column(1)[a:b].to_pylist(), n)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
-                                                  pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], [key, "n_shingles", "set_id", "sketch"])
+                                                  pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([wide_bitmap(s) for s in sets], pa.binary())], [key, "n_shingles", "set_id", "sketch", "wide"])
     return df.select(F.col(key), F.col(text)).mapInArrow(make, f"{key} {dict(df.dtypes)[key]}, {_HEADS}")
 
 
@@ -291,7 +296,7 @@ class Join:
         self.docs, self.key, self.text, self.n, self.num, self.den = docs, key, text, n, num, den
         self.heads = settle(heads(docs, key, text, n), "heads")
         known = self.heads.filter(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
-        self.sets = settle(known.groupBy("set_id").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch"))), "sets")
+        self.sets = settle(known.groupBy("set_id").agg(F.min(key).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "wide"))), "sets")
 
     def linked(self, filed: DataFrame) -> DataFrame:
         """(node, root): components of the sets, given their packed entries."""
@@ -300,7 +305,7 @@ class Join:
         def near(x, y, bits):
             return (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (bits * (den + num) <= (x + y) * (den - num))
         members = filed.groupBy("part").applyInArrow(_meet, "gid long, set_id long").distinct()
-        return connect(members, self.sets.select("set_id", "n_shingles", "sketch"), tokens_of(self.docs, self.key, self.text, self.n, self.sets), near, num, den)
+        return connect(members, self.sets.select("set_id", "n_shingles", "sketch", "wide"), tokens_of(self.docs, self.key, self.text, self.n, self.sets), near, num, den)
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brute import near_groups
@@ -96,3 +97,39 @@ def test_units_are_counted_without_building_them(spark, monkeypatch):
     assert units.count() == n_rows > len(rows)
     light, n_light = L._counted_blocks(spark.createDataFrame(rows, "gid long, set_id long, root long"), F.lit(1), 20)
     assert light.count() == n_light < n_rows  # larger blocks: a member is sent less often
+
+
+def test_wide_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    raw = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (400, 700, 1000, 1030, 3000)]
+    raw += [np.unique(np.concatenate([s[len(s) // 10:], rng.integers(0, 1 << 63, len(s) // 8, dtype=np.uint64)])) for s in raw]
+    wide = L._Wide(pa.table({"wide": pa.array([J.wide_bitmap(s) for s in raw], pa.binary())}))
+    i, j = (x.ravel() for x in np.indices((len(raw), len(raw))))
+    for a, b, bits in zip(i.tolist(), j.tolist(), wide.bits(i, j).tolist(), strict=True):
+        apart = len(np.setxor1d(raw[a], raw[b]))
+        assert bits <= apart
+        if min(len(raw[a]), len(raw[b])) > 512:
+            assert bits >= 0.6 * min(apart, 64 * min(wide.words[a], wide.words[b]) // 2)
+        else:
+            assert bits == 0
+
+
+def test_large_sets_meet_whole_only_if_they_may_be_alike(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 4)
+    r = random.Random(6)
+    texts = [[f"w{r.randrange(10 ** 6)}" for _ in range(r.choice([1500, 1600, 1700]))] for _ in range(11)]
+    texts.append(["x" if i % 50 == 0 else w for i, w in enumerate(texts[0])])  # 0.8 of the five-word shingles and more
+    texts.append([*texts[1][:1000], *(f"v{i}" for i in range(600))])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    job = J.Join(df, "doc_id", "text", 5, 80, 100)
+    read, asked = L.tokens_of(df, "doc_id", "text", 5, job.sets), set()
+
+    def tokens(ids):
+        asked.update(x.set_id for x in ids.collect())
+        return read(ids)
+
+    def near(x, y, bits):
+        return (np.minimum(x, y) * 100 >= np.maximum(x, y) * 80) & (bits * 180 <= (x + y) * 20)
+    got = L.connect(job.sets.select(F.lit(1).cast("long").alias("gid"), "set_id"), job.sets.drop("rep"), tokens, near, 80, 100).collect()
+    alike = {x.set_id for x in job.sets.filter("rep IN (0, 11)").collect()}
+    assert asked == {x.node for x in got} == alike and len({x.root for x in got}) == 1
