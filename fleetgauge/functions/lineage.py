@@ -42,6 +42,16 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the stage table that ``table`` scans; what was derived from it and is still read has to be written before."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if not folder.rsplit("/", 2)[1] == spark.sparkContext.applicationId:
+            raise ValueError(f"no stage table: {folder}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, label: str = "stage", spread: bool = False) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.functions.lineage import settle, stage_folder  # noqa: F401
+from fleetgauge.functions.lineage import discard, settle, stage_folder  # noqa: F401
 
 #: Bytes of text that a Python worker takes at a time within an Arrow batch.
 SLICE_BYTES = 2 << 20

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import settle, slices
+from fleetgauge.llm.common import discard, settle, slices
 from fleetgauge.llm.flat_sets import Sets, band_hashes, parity_bitmaps
 from fleetgauge.llm.linking import connect
 from fleetgauge.llm.ngram_join import FLUSH, PART_BYTES, Packer, _meet
@@ -183,7 +183,8 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     bands, per_band = tune(num / den)
     least = math.ceil(num / max(1, den - num))  # a smaller set and any but an equal one are further apart
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    rows = settle(places(docs, key, text, n, bands, per_band, least, min_words, max(1, math.ceil(2 * size / PART_BYTES))), "places").withColumnRenamed(key, "__key")
+    table = settle(places(docs, key, text, n, bands, per_band, least, min_words, max(1, math.ceil(2 * size / PART_BYTES))), "places")
+    rows = table.withColumnRenamed(key, "__key")
     sets = rows.filter("sketch IS NOT NULL").groupBy("set_id").agg(F.min(F.struct(F.col("__key").alias("key"), "at", "end")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     members = rows.filter("part IS NOT NULL").select("part", "low", "place", "sets").groupBy("part").applyInArrow(_meet, "gid long, set_id long").distinct()
 
@@ -199,9 +200,12 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     linked = settle(linked.select(F.col("node").alias("set_id"), "root"), "linked")
     parts = each.join(linked, "set_id").groupBy("root").agg(F.min("__low").alias("__first"))
     parts = settle(linked.join(parts, "root").select("set_id", "__first"), "clusters")
+    # written, so that its shuffle is gone before the places are dealt, and a set with very many places can be split
     known = each.join(parts, "set_id", "left").withColumn("__first", F.coalesce("__first", "__low")).filter(F.col("__high") > F.col("__first")).select("set_id", "__first")
+    known = settle(known, "known")
     gone = here.select("__key", "line", *_packed(), "sum", "set_id").join(known, "set_id").filter(F.col("__key") > F.col("__first"))
     gone = settle(gone.select("__key", "line", *_unpacked(), "sum"), "gone")
+    discard(table)  # by far the largest stage, and read no more
     whole = gone.filter("nth < 0").select("__key", F.explode(F.sequence("line", F.col("stop") - 1)).alias("__line"), F.lit(None).cast(_CUT).alias("__cut"))
     # pieces that follow each other in one paragraph: their number and their rank in it grow alike
     rank = F.row_number().over(Window.partitionBy("__key", "line", "sum").orderBy("nth"))

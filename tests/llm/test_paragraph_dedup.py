@@ -3,6 +3,7 @@ import random
 import pytest
 
 from brute import shingles
+from fleetgauge.functions.lineage import discard, settle, stage_folder
 from fleetgauge.llm import paragraph_dedup as P
 from fleetgauge.llm.queries import QUERIES
 
@@ -127,3 +128,18 @@ def test_the_query_counts_passages_that_are_cut(spark, tmp_path):
     rows = [(1, f"{passage}"), (2, " ".join(f"a{i}" for i in range(40)) + f". {passage} " + " ".join(f"b{i}" for i in range(40)) + "."), (3, passage), (4, "quite another line")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {x.doc_id: x.n_removed for x in QUERIES["op8_paragraph_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_places_are_deleted_once_they_are_read(spark):
+    def stages():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+        return {x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+    settle(spark.range(3), "other")
+    before = stages()
+    rows = [(1, "one two three four five six\nseven eight nine ten eleven twelve"), (2, "one two three four five six\nother words stand on this line")]
+    out = P.remove(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "removed")
+    left = {x.split("-")[0] for x in stages() - before}
+    assert "gone" in left and "places" not in left and before <= stages()
+    assert sorted((r.doc_id, r.removed) for r in out.collect()) == [(1, []), (2, [0])]
+    with pytest.raises(ValueError):
+        discard(spark.read.text(__file__))
