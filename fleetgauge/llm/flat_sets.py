@@ -21,14 +21,20 @@ class Sets:
         c = byte_weights()
         count = np.where(size >= n, size - n + 1, np.minimum(size, 1))
         owner = np.repeat(np.arange(len(enc)), count)
-        at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        token = np.where(size[owner] < n, size[owner], 0).astype(np.uint64)
-        for i in range(min(n, int(size.max(initial=0)))):
-            inside = np.minimum(size, n)[owner] > i
-            token += np.where(inside, w[np.minimum(at + i, len(w) - 1)] * c[i], np.uint64(0))
+        head = np.cumsum(count) - count
+        gram = np.zeros(len(w), np.uint64)
+        for i in range(min(n, len(w))):
+            gram[:len(w) - i] += w[i:] * c[i]
+        token = gram[begin[owner] + np.arange(len(owner)) - head[owner]]
+        short = np.flatnonzero((size > 0) & (size < n))
+        token[head[short]] = size[short]
+        for i in range(int(size[short].max(initial=0))):
+            k = short[size[short] > i]
+            token[head[k]] += w[begin[k] + i] * c[i]
         token = mix(token)
-        order = np.lexsort((token, owner))
-        token = token[order]
+        by = np.argsort(token)  # equal tokens of one text are alike, so this one need not be stable
+        by = by[np.argsort(owner[by].astype(np.uint16 if len(enc) <= 1 << 16 else np.int64), kind="stable")]
+        token = token[by]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
         self.tokens = token[new]

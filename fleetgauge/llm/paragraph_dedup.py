@@ -73,13 +73,17 @@ def _chosen(word: str) -> bool:
 
 def pieces(p: str) -> list[tuple[int, int]]:
     """(start, stop) of the sentences of a paragraph, the long ones cut at chosen words; together they are all of it."""
-    ends = sorted({m.end() for m in _SENTENCE.finditer(p)} | {len(p)})
-    out = []
-    for a, b in zip([0, *ends[:-1]], ends, strict=True):
-        at = [a]
+    ends = [m.end() for m in _SENTENCE.finditer(p)]
+    if not ends or ends[-1] < len(p):
+        ends.append(len(p))
+    out, a = [], 0
+    for b in ends:
         if b - a > 2 * LONG and len(p[a:b].split()) > LONG:
-            at += [m.end() for m in _WORD.finditer(p, a, b) if _chosen(m[0]) and m.end() < b]
-        out += zip(at, [*at[1:], b], strict=True)
+            at = [a, *(m.end() for m in _WORD.finditer(p, a, b) if _chosen(m[0]) and m.end() < b), b]
+            out += zip(at[:-1], at[1:], strict=True)
+        else:
+            out.append((a, b))
+        a = b
     return out
 
 
@@ -94,17 +98,19 @@ def units(t: str, min_words: int) -> Iterator[tuple]:
         start.append(start[-1] + len(p) + 1)
     ends = [-1, *(j for j, p in enumerate(lines) if not p.strip()), len(lines)]
     blocks = [(i + 1, j) for i, j in zip(ends[:-1], ends[1:], strict=True) if j > i + 1] if len(ends) > 2 else []
-    for j, k in [*((j, j + 1) for j in range(len(lines))), *((j, k) for j, k in blocks if k - j > 1)]:
-        p = " ".join(lines[j:k])
+    for j, p in enumerate(lines):
         if (n := len(p.split())) >= min_words:
+            yield j, j + 1, -1, n, start[j], start[j + 1] - 1, 0, p
+    for j, k in blocks:
+        if k - j > 1 and (n := len((p := " ".join(lines[j:k])).split())) >= min_words:
             yield j, k, -1, n, start[j], start[k] - 1, 0, p
     for j, k in blocks or ((j, j + 1) for j in range(len(lines))):
-        p = " ".join(lines[j:k])
+        p = " ".join(lines[j:k]) if k - j > 1 else lines[j]
         if len(cut := pieces(p)) > 1:
             check = zlib.crc32(p.encode("utf-8", "surrogatepass"))
             for i, (x, y) in enumerate(cut):
-                if n := len(p[x:y].split()):
-                    yield j, k, i, n, start[j] + x, start[j] + y, check, p[x:y]
+                if n := len((q := p[x:y]).split()):
+                    yield j, k, i, n, start[j] + x, start[j] + y, check, q
 
 
 def places(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int, least: int, min_words: int, n_parts: int) -> DataFrame:
@@ -118,13 +124,18 @@ def places(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int,
             schema = schema or pa.schema([pa.field(key, batch.schema.field(0).type), *(pa.field(c, pa.int32()) for c in _PLACE), ("sum", pa.int64()), ("set_id", pa.int64()),
                                           ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("low", pa.binary()), ("place", pa.binary()), ("sets", pa.binary())])
             for a, b in slices(batch.column(1), SLICE):
-                found = [(a + i, *u) for i, t in enumerate(batch.column(1)[a:b].to_pylist()) for u in units(t, min_words)]
-                if not found:
+                flat, last = [], []  # flat: a list of tuples this long keeps the garbage collector busy
+                for t in batch.column(1)[a:b].to_pylist():
+                    for u in units(t, min_words):
+                        flat += u
+                    last.append(len(flat) // 8)
+                if not flat:
                     continue
-                who, *cols, check, out = zip(*found, strict=True)
-                own = Sets(list(out), n)
+                *cols, check, out = (flat[i::8] for i in range(8))
+                who = np.repeat(np.arange(a, b), np.diff(last, prepend=0))
+                own = Sets(out, n)
                 ids = own.ids()
-                sketch = [None] * len(found)
+                sketch = [None] * len(out)
                 big = np.flatnonzero((np.array(cols[2]) < 0) & (own.sizes >= least))
                 big = np.array([i for i, x in zip(big.tolist(), ids[big].tolist(), strict=True) if not pack.known(x)], np.int64)
                 if len(big):
@@ -137,7 +148,7 @@ def places(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int,
                     pack.held += met.size
                 size = pa.array(own.sizes.astype(np.int64), mask=np.array([x is None for x in sketch]))
                 cols = [batch.column(0).take(pa.array(who, pa.int64())), *(pa.array(c, pa.int32()) for c in cols), pa.array(check, pa.int64()), pa.array(ids), size, pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(found), t) for t in schema.types[len(cols):])], schema=schema)
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(out), t) for t in schema.types[len(cols):])], schema=schema)
                 yield from filed(pack, schema, FLUSH)
         if schema:
             yield from filed(pack, schema, 1)
@@ -198,18 +209,18 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     here = rows.filter("set_id IS NOT NULL")
     each = here.groupBy("set_id").agg(F.min("__key").alias("__low"), F.max("__key").alias("__high"))
     linked = settle(linked.select(F.col("node").alias("set_id"), "root"), "linked")
-    parts = each.join(linked, "set_id").groupBy("root").agg(F.min("__low").alias("__first"))
-    parts = settle(linked.join(parts, "root").select("set_id", "__first"), "clusters")
-    # written, so that its shuffle is gone before the places are dealt, and a set with very many places can be split
-    known = each.join(parts, "set_id", "left").withColumn("__first", F.coalesce("__first", "__low")).filter(F.col("__high") > F.col("__first")).select("set_id", "__first")
-    known = settle(known, "known")
+    # written, so that the places are counted once, their shuffle is gone before they are dealt, and a set with very many places can be split
+    each = settle(each.join(linked, "set_id", "left").filter(F.col("root").isNotNull() | (F.col("__high") > F.col("__low"))), "each")
+    parts = each.filter("root IS NOT NULL").groupBy("root").agg(F.min("__low").alias("__first"))
+    known = each.join(parts, "root").filter(F.col("__high") > F.col("__first")).select("set_id", "__first")
+    known = settle(known.union(each.filter("root IS NULL").select("set_id", F.col("__low").alias("__first"))), "known")
     gone = here.select("__key", "line", *_packed(), "sum", "set_id").join(known, "set_id").filter(F.col("__key") > F.col("__first"))
     gone = settle(gone.select("__key", "line", *_unpacked(), "sum"), "gone")
     discard(table)  # by far the largest stage, and read no more
     whole = gone.filter("nth < 0").select("__key", F.explode(F.sequence("line", F.col("stop") - 1)).alias("__line"), F.lit(None).cast(_CUT).alias("__cut"))
     # pieces that follow each other in one paragraph: their number and their rank in it grow alike
     rank = F.row_number().over(Window.partitionBy("__key", "line", "sum").orderBy("nth"))
-    run = gone.filter("nth >= 0").distinct().withColumn("__run", F.col("nth") - rank).groupBy("__key", "line", "stop", "sum", "__run")
+    run = gone.filter("nth >= 0").repartition("__key", "line", "sum").distinct().withColumn("__run", F.col("nth") - rank).groupBy("__key", "line", "stop", "sum", "__run")
     run = run.agg(F.sum("words").alias("__words"), F.min("at").alias("at"), F.max("end").alias("end")).filter(F.col("__words") >= passage)
     inside = run.select("__key", F.lit(None).cast("int").alias("__line"), F.struct("line", "stop", "sum", "at", "end").cast(_CUT).alias("__cut"))
     return whole.union(inside).groupBy(F.col("__key").alias(key)).agg(F.array_sort(F.collect_set("__line")).alias("removed"), F.array_sort(F.collect_set("__cut")).alias("cut"))

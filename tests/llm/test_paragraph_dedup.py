@@ -143,3 +143,18 @@ def test_places_are_deleted_once_they_are_read(spark):
     assert sorted((r.doc_id, r.removed) for r in out.collect()) == [(1, []), (2, [0])]
     with pytest.raises(ValueError):
         discard(spark.read.text(__file__))
+
+
+def test_places_are_counted_once(spark, monkeypatch):
+    read, write = {}, P.settle
+
+    def watch(df, label="stage", **options):
+        read[label] = {f.rsplit("/", 2)[1].split("-")[0] for f in df.inputFiles()}
+        return write(df, label, **options)
+    monkeypatch.setattr(P, "settle", watch)
+    a, b = ([f"{c}{i}" for i in range(40)] for c in "ab")
+    near = [*a[:39], "other"]
+    rows = [(1, " ".join(a)), (2, " ".join(near)), (3, f"{' '.join(near)}\n{' '.join(b)}"), (4, f"new words\n{' '.join(b)}")]
+    out = P.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.removed) for r in out) == [(1, []), (2, [0]), (3, [0]), (4, [1])]
+    assert sum("places" in x and label not in ("met", "sets", "gone") for label, x in read.items()) == 1
