@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -51,6 +54,29 @@ def slices(column, budget: int = SLICE_BYTES):
         yield start, n
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def released(make: Callable) -> Callable:
+    """``make``, an iterator function of a task; as it ends, what it has freed goes back to the system.
+
+    Workers are kept from task to task, and idle ones with the memory their allocators hold.
+    """
+    @functools.wraps(make)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from make(batches)
+        finally:
+            import pyarrow as pa
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+    return run
+
+
 def held_out(col: str | Column = "doc_id") -> Column:
     """Whether a row is kept out of training: crc32 of its id as text leaves 1 modulo 3. A null id is held out."""
     c = F.col(col) if isinstance(col, str) else col

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import slices
+from fleetgauge.llm.common import released, slices
 
 UNKNOWN = "und"
 #: Length of a profile and of a document's ranking.
@@ -67,6 +67,7 @@ def grams(c: np.ndarray) -> np.ndarray:
 
 def profiles(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> DataFrame:
     """(lang, gram, rank) of the ``top`` most frequent n-grams of each language, counted over all rows."""
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -134,6 +135,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -
 def identify(df: DataFrame, learned: Profiles, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``."""
     @F.arrow_udf("struct<lang_pred string, score double>")
+    @released
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             langs, scores = [], []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import settle, slices
+from fleetgauge.llm.common import released, settle, slices
 from fleetgauge.llm.components import components, forest
 
 #: Members of a group that are compared at a time, rows and bytes that a task takes at a time.
@@ -272,6 +272,7 @@ def tokens_of(docs: DataFrame, key: str, text: str, n: int, sets: DataFrame):
     """``tokens`` for ``connect``: whole sets read again from one document each (``rep`` of ``sets``)."""
     from fleetgauge.llm.ngram_join import set_id, shingles
 
+    @released
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0)):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import byte_weights, mix, settle, slices
+from fleetgauge.llm.common import byte_weights, mix, released, settle, slices
 from fleetgauge.llm.linking import connect, smallest, tokens_of
 
 WORDS = 8  # 64-bit words of a bitmap
@@ -183,6 +183,7 @@ def entries(s: np.ndarray, cell: int, alloc: tuple[int, int, int]) -> np.ndarray
 # ---- jobs --------------------------------------------------------------------------------
 def heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, n_shingles, set_id, bitmap, wide bitmap) of every row."""
+    @released
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
@@ -235,6 +236,7 @@ class Packer:
 
 def file_entries(df: DataFrame, text: str, n: int, hashes, n_parts: int) -> DataFrame:
     """The entries of all rows, packed; ``hashes(set)`` yields arrays of them. Equal sets of a task are filed once."""
+    @released
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Packer(n_parts)
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import slices
+from fleetgauge.llm.common import released, slices
 from fleetgauge.llm.word_ids import WordIds
 
 DIM, AXES, BITS = 256, 3, 10
@@ -93,6 +93,7 @@ def hilbert(cell: np.ndarray, bits: int = BITS) -> np.ndarray:
 def curve_key(col: str | Column) -> Column:
     """Hilbert key of a text."""
     @F.arrow_udf("long")
+    @released
     def key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [hilbert(cells(vectors(texts[a:b]))) for a, b in slices(texts)]
@@ -211,6 +212,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", leng
     rows = df.select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"), curve_key(text).alias("__curve"))
     rows = rows.repartitionByRange("__curve", key).sortWithinPartitions("__curve", key)
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         schema = pa.schema([(key, pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

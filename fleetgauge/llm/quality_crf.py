@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import byte_weights, mix, slices
+from fleetgauge.llm.common import byte_weights, mix, released, slices
 
 #: Bounds of the training sample: documents of each label, lines of a document.
 MAX_DOCS, MAX_LINES = 1500, 1000
@@ -203,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(df: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """Add ``score``, the probability that a document is good."""
     @F.arrow_udf("double")
+    @released
     def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
             parts = [field.score(col[a:b].to_pylist()) for a, b in slices(col)]
