@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,28 +22,80 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("xml"))
 
 
-def _attr(xml, name: str) -> Column:
-    return F.xpath_string(col(xml), F.lit(f"/*/*[@name='{name}']/@value"))
-
-
-def _pairs(xml, path: str) -> Column:
+_SCALARS = ["object-type", "object-name", "time-reference", "log-interval", "record-count", "total-record-count", "buffer-size", "next-index", "time-reference-count"]
+_BUFFERS = {"timers": "timestamp-buffer", "flags": "flags-buffer", "data": "data-buffer"}
+_PARSED = ", ".join([f"`{n}` string" for n in _SCALARS] + [f"{b}_{k} array<string>" for b in _BUFFERS for k in ("names", "values")])
+
+
+def _parser():
+    """Text of the scalar properties and of the buffers' names and values; every document is parsed once. NULL where it is NULL or empty."""
+    scalars, buffers = list(_SCALARS), dict(_BUFFERS)
+
+    def elements(x: str) -> list:
+        """(depth, names, values) of every element below the root; like XPath here, attributes go by what follows their prefix."""
+        out, depth, p = [], [0], expat.ParserCreate()
+        prefixed = ":name" in x or ":value" in x
+
+        def of(a: dict, k: str):
+            return [v for c, v in a.items() if c.rpartition(":")[2] == k and not c.startswith("xmlns")] if prefixed else [a[k]] if k in a else ()
+
+        def start(_, a):
+            depth[0] += 1
+            out.append((depth[0], of(a, "name"), of(a, "value")))
+
+        def end(_):
+            depth[0] -= 1
+        p.StartElementHandler, p.EndElementHandler = start, end
+        p.Parse(x, True)
+        return out[1:]
+
+    def run(xml: pa.Array) -> pa.Array:
+        texts = xml.to_pylist()
+        single: dict = {n: [] for n in scalars}
+        flat: dict = {(b, k): [] for b in buffers for k in (1, 2)}
+        ends: dict = {c: [0] for c in flat}
+        for x in texts:
+            first, within, children = {}, (), 0
+            for e in elements(x) if x else ():
+                if e[0] == 2:
+                    within, children = [b for b, n in buffers.items() if n in e[1]], 0
+                    for n in e[1] if e[2] else ():
+                        first.setdefault(n, e[2][0])
+                    continue
+                children += e[0] == 3
+                for b in within:
+                    if e[0] == (4 if b == "data" else 3) and (b != "data" or children == 1):
+                        flat[b, 1] += e[1]
+                        flat[b, 2] += e[2]
+            for n, out in single.items():
+                out.append(first.get(n, ""))
+            for c, v in flat.items():
+                ends[c].append(len(v))
+        columns = [pa.array(v, pa.string()) for v in single.values()] + [pa.ListArray.from_arrays(pa.array(ends[c], pa.int32()), pa.array(v, pa.string())) for c, v in flat.items()]
+        names = [*scalars, *(f"{b}_{k}" for b in buffers for k in ("names", "values"))]
+        return pa.StructArray.from_arrays(columns, names, mask=pa.array([not x for x in texts], pa.bool_()))
+    return run
+
+
+def _pairs(buffer: str) -> Column:
     """Child (index, value) pairs of a buffer."""
-    names, values = F.xpath(col(xml), F.lit(f"{path}/@name")), F.xpath(col(xml), F.lit(f"{path}/@value"))
-    return F.map_from_arrays(F.transform(names, lambda x: x.cast("int")), values)
+    return F.map_from_arrays(F.transform(F.col(f"_doc.{buffer}_names"), lambda x: x.cast("int")), F.col(f"_doc.{buffer}_values"))
 
 
 def headers(docs: DataFrame) -> DataFrame:
     """Scalar properties and the three buffers of every document."""
-    ref = _attr("xml", "time-reference").try_cast("timestamp")
-    return docs.select(
-        "*", _attr("xml", "object-type").alias("object_type"), _attr("xml", "object-name").alias("object_name"), ref.alias("time_reference"),
-        (_attr("xml", "log-interval").try_cast("long") / dbl(100.0)).alias("interval_s"),
-        _attr("xml", "record-count").try_cast("int").alias("record_count"),
-        _attr("xml", "total-record-count").try_cast("long").alias("total_record_count"),
-        _attr("xml", "buffer-size").try_cast("int").alias("buffer_size"), _attr("xml", "next-index").try_cast("int").alias("next_index"),
-        F.coalesce(_attr("xml", "time-reference-count").try_cast("long"), F.lit(0)).alias("reference_count"),
-        _pairs("xml", "/*/*[@name='timestamp-buffer']/*").alias("timers"), _pairs("xml", "/*/*[@name='flags-buffer']/*").alias("flags"),
-        _pairs("xml", "/*/*[@name='data-buffer']/*[1]/*").alias("data"))
+    def attr(name: str) -> Column:
+        return F.col(f"_doc.`{name}`")
+    # a deterministic function would be run once more for each filter on what it returns
+    d = docs.withColumn("_doc", F.arrow_udf(_parser(), _PARSED).asNondeterministic()("xml"))
+    return d.select(
+        *docs.columns, attr("object-type").alias("object_type"), attr("object-name").alias("object_name"), attr("time-reference").try_cast("timestamp").alias("time_reference"),
+        (attr("log-interval").try_cast("long") / dbl(100.0)).alias("interval_s"),
+        attr("record-count").try_cast("int").alias("record_count"),
+        attr("total-record-count").try_cast("long").alias("total_record_count"),
+        attr("buffer-size").try_cast("int").alias("buffer_size"), attr("next-index").try_cast("int").alias("next_index"),
+        F.coalesce(attr("time-reference-count").try_cast("long"), F.lit(0)).alias("reference_count"),
+        *[_pairs(b).alias(b) for b in _BUFFERS])
 
 
 def decode(docs: DataFrame, doc_id: str) -> DataFrame:
