@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fleetgauge import KEYS
+from fleetgauge.operators import dependency as dp
 from fleetgauge.operators import observability as ob
 from fleetgauge.operators import quality as ql
 
@@ -69,3 +70,18 @@ def test_dead_marks_need_no_distinct_counts(spark):
                    "nan": (3, 3, 2, False, False, 100.0), "tiny": (2, 3, 2, False, True, 200.0 / 3)}
     assert all((r.n_finite, r.n_total, r.n_unique, r.dead) == (0, 1, 0, True) for r in p.where("device_id IS NULL").collect())
     assert "distinct" not in p.select(*KEYS, "role", "n_finite", "dead")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_task_packs_several_chunks(spark):
+    """Short tasks cost more than the rows in them; all rows and their targets arrive, and missing values are NaN."""
+    n = 3000
+    a = np.arange(n, dtype=float)
+    f = _table(spark, {"a": a, "b": [None if i % 7 else 2.0 * i for i in range(n)], "c": a}).withColumn("active", F.lit(True))
+    eligible = spark.createDataFrame([("S", "D", ["a", "b"], ["b"])], "site string, device_id string, drivers array<string>, targets array<string>")
+    packed = dp.pack_chunks(ob.role_cells(f, ["a", "b", "c"], eligible), 3, 60)
+    rows = packed.collect()
+    assert len({r.slot for r in rows}) == len(rows) > 40 and all(r.targets == [1] and r.slots == 50 for r in rows)
+    assert len(packed.inputFiles()) <= max(spark.sparkContext.defaultParallelism, 13)
+    m = np.concatenate([np.frombuffer(r.cells, float).reshape(-1, 3) for r in rows])
+    m = m[np.argsort(m[:, 0])]
+    assert np.array_equal(m[:, 0], a) and np.array_equal(m[:, 1], np.where(a % 7 > 0, np.nan, 2 * a), equal_nan=True) and np.isnan(m[:, 2]).all()
